@@ -264,11 +264,13 @@ def strip_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     Kept words are joined by one space in texts that lose any.
     """
 
+    names = docs.columns
+
     def run(batches):
         for b in batches:
             texts = [t if r is None else digest(t, r, window)[2] for t, r in zip(b.column(text_col).to_pylist(), b.column("_ranges").to_pylist())]
-            cols = [pa.array(texts, pa.binary()).cast(pa.string()) if c == text_col else b.column(c) for c in docs.columns]
-            yield pa.RecordBatch.from_arrays(cols, names=docs.columns)
+            cols = [pa.array(texts, pa.binary()).cast(pa.string()) if c == text_col else b.column(c) for c in names]
+            yield pa.RecordBatch.from_arrays(cols, names=names)
 
     rows = with_repeats(docs, id_col, text_col, window).withColumn(text_col, F.col(text_col).cast("binary"))
     return rows.mapInArrow(run, docs.schema)
