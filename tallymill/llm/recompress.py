@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, slices, small_side
+from .common import drop_scratch, materialize, slices, small_side
 
 WINDOW, ROUNDS = 35, 3
 _U = np.uint64
@@ -183,24 +183,36 @@ def _window_rows(window: int):
     return run
 
 
-def covered(n: int, ranges: bytes | None, window: int = WINDOW) -> np.ndarray:
-    """Mask of the words that windows lo..hi (pairs of 32-bit integers) cover."""
-    if not ranges:
-        return np.zeros(n, bool)
-    r = np.frombuffer(ranges, np.int32).reshape(-1, 2)
-    return np.cumsum(np.bincount(r[:, 0], minlength=n + 1) - np.bincount(r[:, 1] + window, minlength=n + 1))[:n] > 0
+def covered(n: int, ranges: bytes | None) -> np.ndarray:
+    """Mask of the words in ranges first..end - 1 (pairs of 32-bit integers)."""
+    out = np.zeros(n, bool)
+    for first, end in np.frombuffer(ranges or b"", np.int32).reshape(-1, 2).tolist():
+        out[first:end] = True
+    return out
+
 
+def merged(lo: np.ndarray, end: np.ndarray) -> bytes:
+    """Ranges lo..end - 1 joined where they meet or overlap, packed."""
+    order = np.argsort(lo, kind="stable")
+    lo, end = lo[order], np.maximum.accumulate(end[order])
+    new = np.concatenate([[True], lo[1:] > end[:-1]])
+    return np.stack([lo[new], end[np.append(np.flatnonzero(new)[1:] - 1, len(lo) - 1)]], 1).astype(np.int32).tobytes()
 
-def _pack(batches):
-    for b in batches:
-        v = b.column(2)
-        flat = np.stack([v.flatten().field(0).to_numpy(), v.flatten().field(1).to_numpy()], 1).astype(np.int32)
-        cut = v.offsets.to_numpy() - v.offsets[0].as_py()
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([flat[i:j].tobytes() for i, j in zip(cut, cut[1:])], pa.binary())], names=["id", "tk", "ranges"])
+
+def _pack(window: int):
+    def run(batches):
+        for b in batches:
+            v = b.column(2)
+            lo, hi = (v.flatten().field(k).to_numpy() for k in range(2))
+            cut = v.offsets.to_numpy() - v.offsets[0].as_py()
+            packed = pa.array([merged(lo[i:j], hi[i:j] + window) for i, j in zip(cut, cut[1:])], pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), packed], names=["id", "tk", "ranges"])
+
+    return run
 
 
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
-    """(id, tk, ranges): for each text that has repeated windows, ranges lo..hi of their first words, packed as 32-bit pairs.
+    """(id, tk, ranges): for each text that has repeated windows, the ranges of words they cover, packed as 32-bit pairs; materialised.
 
     tk is xxhash64 of the text; with it rows that repeat an id are told apart.
     """
@@ -208,7 +220,8 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", win
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("tk"), F.col(text_col).cast("binary").alias("t"))
     segs = materialize(rows.mapInArrow(_segment_rows(window), f"id {kind}, tk bigint, key bigint, sig bigint, lo int, hi int"))
     shared = segs.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    segs = materialize(segs.join(shared.hint("shuffle_hash"), "key", "left_semi"))
+    every, segs = segs, materialize(segs.join(shared.hint("shuffle_hash"), "key", "left_semi"))
+    drop_scratch(every)
     same = segs.groupBy("key", "sig").agg(F.count("*").alias("n"), F.min_by(F.struct("id", "tk", "lo", "hi"), F.struct("tk", "lo")).alias("one"))
     same = materialize(same)
     whole = segs.join(same.where("n > 1").select("key", "sig"), ["key", "sig"], "left_semi").select("id", "tk", "lo", "hi")
@@ -222,20 +235,23 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", win
     again = wins.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.max("many").alias("any_many")).where("n > 1 or any_many").select("h1", "h2")
     single = wins.where("not many").join(again, ["h1", "h2"], "left_semi").select("id", "tk", F.col("p").alias("lo"), F.col("p").alias("hi"))
     per_doc = whole.union(single).groupBy("id", "tk").agg(F.collect_list(F.struct("lo", "hi")).alias("r"))
-    return per_doc.mapInArrow(_pack, f"id {kind}, tk bigint, ranges binary")
+    found = materialize(per_doc.mapInArrow(_pack(window), f"id {kind}, tk bigint, ranges binary"))
+    for used in (segs, same, probe, wins):
+        drop_scratch(used)
+    return found
 
 
 def with_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
     """docs with a column `_ranges` (see repeats; null: none), joined without shuffling texts when the ranges are few."""
-    found = materialize(repeats(docs, id_col, text_col, window))
+    found = repeats(docs, id_col, text_col, window)
     side = small_side(found, "ranges").select(F.col("id").alias("_id"), F.col("tk").alias("_tk"), F.col("ranges").alias("_ranges"))
     return docs.join(side, F.col(id_col).eqNullSafe(F.col("_id")) & (F.xxhash64(text_col) == F.col("_tk")), "left").drop("_id", "_tk")
 
 
-def digest(raw: bytes | None, ranges: bytes | None, window: int = WINDOW) -> tuple[int, int, bytes]:
+def digest(raw: bytes | None, ranges: bytes | None) -> tuple[int, int, bytes]:
     """Number of words, number removed, and the kept words joined by one space."""
     words = raw.split() if raw else []
-    gone = covered(len(words), ranges, window)
+    gone = covered(len(words), ranges)
     n = int(gone.sum())
     return len(words), n, b" ".join([w for w, g in zip(words, gone.tolist()) if not g] if n else words)
 
@@ -250,7 +266,7 @@ def summaries(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
 
     def run(batches):
         for b in batches:
-            got = [digest(t, r, window) for t, r in zip(b.column(1).to_pylist(), b.column(2).to_pylist())]
+            got = [digest(t, r) for t, r in zip(b.column(1).to_pylist(), b.column(2).to_pylist())]
             cols = [pa.array([x[0] for x in got], pa.int64()), pa.array([x[1] for x in got], pa.int64()), pa.array([hashlib.sha256(x[2]).hexdigest() for x in got], pa.string())]
             yield pa.RecordBatch.from_arrays([b.column(0), *cols], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
 
@@ -268,7 +284,7 @@ def strip_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     def run(batches):
         for b in batches:
-            texts = [t if r is None else digest(t, r, window)[2] for t, r in zip(b.column(text_col).to_pylist(), b.column("_ranges").to_pylist())]
+            texts = [t if r is None else digest(t, r)[2] for t, r in zip(b.column(text_col).to_pylist(), b.column("_ranges").to_pylist())]
             cols = [pa.array(texts, pa.binary()).cast(pa.string()) if c == text_col else b.column(c) for c in names]
             yield pa.RecordBatch.from_arrays(cols, names=names)
 
