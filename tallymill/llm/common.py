@@ -1,43 +1,17 @@
-"""Shared helpers: scratch tables in the shared folder, word rules, graph components."""
+"""What the operators here share; scratch tables and components come from the library."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A word, as every operator here reads it.
-WORD = r"[^\x20\x09-\x0D]+"
-
-_LOCAL: dict = {}
-
+from ..operators.components import components
+from ..plans.scratch import drop_scratch, materialize, scratch_dir, small_side
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; a temporary one only in local mode without it."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        path = _LOCAL.setdefault("path", None) or tempfile.mkdtemp(prefix="spark-scratch-")
-        _LOCAL["path"] = path
-    return path.rstrip("/")
+__all__ = ["WORD", "components", "drop_scratch", "materialize", "scratch_dir", "slices", "small_side", "table", "word_count"]
 
-
-def materialize(df: DataFrame) -> DataFrame:
-    """Write df to a fresh table in the shared folder and read it back: cuts lineage, survives lost executors."""
-    path = f"{scratch_dir(df.sparkSession)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def drop_scratch(df: DataFrame) -> None:
-    """Remove a table made by materialize() that nothing reads any more."""
-    spark = df.sparkSession
-    for file in df.inputFiles()[:1]:
-        path = spark._jvm.org.apache.hadoop.fs.Path(file).getParent()
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+#: A word, as every operator here reads it.
+WORD = r"[^\x20\x09-\x0D]+"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *cols: str) -> DataFrame:
@@ -50,54 +24,6 @@ def word_count(text: Column | str) -> Column:
     return F.coalesce(F.regexp_count(F.col(text) if isinstance(text, str) else text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
-    if large:
-        both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        out = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-    else:
-        down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        least = down.groupBy("a").agg(F.min("b").alias("m"))
-        out = down.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        out = out.union(least.select("a", F.col("m").alias("b")))
-    return out.where("a <> b").distinct()
-
-
-def components(edges: DataFrame) -> DataFrame:
-    """Connected components of edges (a, b) of one orderable type: (node, root), root the smallest node.
-
-    Alternating large-star and small-star rounds; the number of edges never grows and the number of rounds is
-    logarithmic. Minima are partial aggregates, so a hub's neighbours are never gathered in a task. Null ends and
-    self loops are ignored; an empty table gives an empty table.
-    """
-    edges = materialize(edges.select("a", "b").where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    mark = lambda e: e.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()
-    before = mark(edges)
-    while before[0]:
-        after = materialize(_star(_star(edges, True), False))
-        drop_scratch(edges)
-        edges, now = after, mark(after)
-        if now == before:
-            break
-        before = now
-    roots = edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
-    return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).union(roots)
-
-
-#: Largest table that is broadcast; a larger one is joined by a shuffle.
-BROADCAST_BYTES = 24 << 20
-
-
-def small_side(df: DataFrame, *wide: str) -> DataFrame:
-    """A materialised df hinted for broadcast if its measured size allows, else for a shuffled hash join that builds it.
-
-    wide: its string, binary or array columns, by name.
-    """
-    width = sum((F.coalesce(F.octet_length(F.col(c).cast("binary")), F.lit(0)) for c in wide), F.lit(64))
-    size = df.agg(F.sum(width)).first()[0] or 0
-    return F.broadcast(df) if size <= BROADCAST_BYTES else df.hint("shuffle_hash")
-
-
 def slices(batches, column: int, most: int = 4 << 20):
     """Arrow batches cut so that a slice holds about `most` bytes of a binary column."""
     for b in batches:

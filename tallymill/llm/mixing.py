@@ -119,20 +119,20 @@ def mixed(docs: DataFrame, **how) -> DataFrame:
 
     n_chars, where docs has it, is counted again. Rows that repeat id, source and text are told apart by their place among equals.
     """
-    on = ["doc_id", "row_key"]
-    pieces = materialize(mix(docs, **how).where("lap is not null").select(*on, "place", "size", "first", "last"))
-    keyed = docs.withColumn("row_key", F.xxhash64("doc_id", "source", "text"))
+    on = ["_id", "_key"]
+    pieces = mix(docs, **how).where("lap is not null")
+    pieces = materialize(pieces.select(F.col("doc_id").alias("_id"), F.col("row_key").alias("_key"), "place", F.col("size").alias("_size"), F.col("first").alias("_first"), F.col("last").alias("_last")))
+    keyed = docs.withColumn("_row_key", F.xxhash64("doc_id", "source", "text"))
     repeats = pieces.groupBy(*on).agg(F.count_distinct("place").alias("n")).where("n > 1")
     if repeats.isEmpty():
-        pieces, keyed = pieces.withColumn("_no", F.lit(1)), keyed.withColumn("_no", F.lit(1))
+        pieces, keyed = pieces.withColumn("_piece_no", F.lit(1)), keyed.withColumn("_no", F.lit(1))
     else:
-        pieces = pieces.withColumn("_no", F.dense_rank().over(Window.partitionBy(*on).orderBy("place")))
-        keyed = keyed.withColumn("_no", F.row_number().over(Window.partitionBy(*on).orderBy(F.lit(1))))
-    side = pieces.select(F.col("doc_id").alias("_id"), F.col("row_key").alias("_key"), F.col("_no").alias("_piece_no"), "size", "first", "last").hint("shuffle_hash")
-    same = keyed["doc_id"].eqNullSafe(F.col("_id")) & (keyed["row_key"] == F.col("_key")) & (keyed["_no"] == F.col("_piece_no"))
-    cut = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), (F.col("first") + 1).cast("int"), (F.col("last") - F.col("first")).cast("int")), " ")
-    text = F.when((F.col("first") == 0) & (F.col("last") == F.col("size")), F.col("text")).otherwise(cut)
-    out = keyed.join(side, same).withColumn("text", text)
+        pieces = pieces.withColumn("_piece_no", F.dense_rank().over(Window.partitionBy(*on).orderBy("place")))
+        keyed = keyed.withColumn("_no", F.row_number().over(Window.partitionBy("doc_id", "_row_key").orderBy(F.lit(1))))
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_row_key") == F.col("_key")) & (F.col("_no") == F.col("_piece_no"))
+    cut = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), (F.col("_first") + 1).cast("int"), (F.col("_last") - F.col("_first")).cast("int")), " ")
+    text = F.when((F.col("_first") == 0) & (F.col("_last") == F.col("_size")), F.col("text")).otherwise(cut)
+    out = keyed.join(pieces.hint("shuffle_hash"), same).withColumn("text", text)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)
