@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 _LOCAL: dict = {}
 
@@ -38,14 +39,16 @@ def drop_scratch(df: DataFrame) -> None:
 
 
 #: Largest table that is broadcast; a larger one is joined by a shuffle.
-BROADCAST_BYTES = 24 << 20
+BROADCAST_BYTES = 64 << 20
 
 
 def small_side(df: DataFrame, *wide: str) -> DataFrame:
     """A materialised df hinted for broadcast if its measured size allows, else for a shuffled hash join that builds it.
 
-    wide: its string, binary or array columns, by name.
+    wide: its string, binary and array columns, by name; an array's elements count as 32 bytes each.
     """
-    width = sum((F.coalesce(F.octet_length(F.col(c).cast("binary")), F.lit(0)) for c in wide), F.lit(64))
+    arrays = {f.name for f in df.schema.fields if isinstance(f.dataType, ArrayType)}
+    bytes_of = lambda c: 32 * F.size(c) if c in arrays else F.octet_length(F.col(c).cast("binary"))
+    width = sum((F.greatest(F.coalesce(bytes_of(c), F.lit(0)), F.lit(0)) for c in wide), F.lit(64))
     size = df.agg(F.sum(width)).first()[0] or 0
     return F.broadcast(df) if size <= BROADCAST_BYTES else df.hint("shuffle_hash")
