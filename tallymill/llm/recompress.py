@@ -228,8 +228,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", win
     mixed = same.groupBy("key").agg(F.count("*").alias("k")).where("k > 1").select("key")
     probe = same.join(mixed, "key", "left_semi").select("one.*", (F.col("n") > 1).alias("many"))
     probe = materialize(probe.groupBy("id", "tk").agg(F.collect_list(F.struct("lo", "hi", "many")).alias("segs")))
-    known = small_side(probe.withColumnRenamed("id", "_id").withColumnRenamed("tk", "_tk").withColumn("_n", F.size("segs")))
-    of = known.select("_id", "_tk", "segs")
+    of = small_side(probe.select(F.col("id").alias("_id"), F.col("tk").alias("_tk"), "segs"), "segs")
     texts = rows.join(of, F.col("id").eqNullSafe(F.col("_id")) & (F.col("tk") == F.col("_tk"))).select("id", "tk", "t", "segs")
     wins = materialize(texts.mapInArrow(_window_rows(window), f"id {kind}, tk bigint, h1 bigint, h2 bigint, many boolean, p int"))
     again = wins.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.max("many").alias("any_many")).where("n > 1 or any_many").select("h1", "h2")
