@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .functions import text as T
@@ -12,30 +12,11 @@ from .operators import baskets as B
 from .operators import extract as X
 from .operators import graph as G
 from .operators import scoring as S
-from .plans import workload
 from .plans.scratch import scratch_dir
+from .register import ORACLE_SQL, QUERIES, query, read  # noqa: F401
 from .sources import logs
 from .streaming import counts as C
 
-QUERIES: dict = {name: workload.view_query(sql) for name, sql in workload.SQL.items()}
-ORACLE_SQL: dict[str, str] = dict(workload.SQL)
-
-
-def query(sql: str | None = None):
-    """Register a function under its name, with SQL that gives the same rows."""
-
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
-def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
 
 def order_suppliers(spark, sf_dir) -> DataFrame:
     return B.baskets(read(spark, sf_dir, "lineitem"), "l_orderkey", "l_suppkey")
