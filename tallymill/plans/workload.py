@@ -11,7 +11,7 @@ SQL = {
 WITH billed AS (SELECT l_orderkey, CAST(sum(CAST(l_extendedprice * (1 - l_discount) AS DECIMAL(18, 4))) AS DOUBLE) AS net FROM lineitem GROUP BY l_orderkey),
 late AS (SELECT DISTINCT l_orderkey FROM lineitem WHERE l_returnflag = 'R'),
 active AS (SELECT c_custkey, c_name FROM customer c WHERE EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey))
-SELECT o.o_orderkey, a.c_name, round(o.o_totalprice - coalesce(b.net, 0), 3) AS gap
+SELECT o.o_orderkey, a.c_name, round(o.o_totalprice - coalesce(b.net, 0), 4) AS gap
 FROM orders o JOIN active a ON a.c_custkey = o.o_custkey LEFT JOIN billed b ON b.l_orderkey = o.o_orderkey
 WHERE NOT EXISTS (SELECT 1 FROM late WHERE late.l_orderkey = o.o_orderkey) AND abs(o.o_totalprice - coalesce(b.net, 0)) > 1000""",
     "correlated_counts": """
