@@ -9,7 +9,7 @@ import zlib
 import numpy as np
 import pytest
 
-from tallymill.llm import bpe, mixing, nbsvm, onebit, queries, recompress, simhash, template, urlfilter, vafile, warc
+from tallymill.llm import bpe, mixing, nbsvm, onebit, queries, recompress, simhash, similar, template, urlfilter, vafile, warc
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, fp string, size int, ids string"
@@ -124,6 +124,51 @@ def test_keep_one_keeps_one_of_each_component(docs):
     assert {r.doc_id for r in kept.collect()} - {None} == {r[2] for r in rows} - {None}
 
 
+# Near-copies by shingles
+
+
+def brute_groups(texts, width=5):
+    """Root of each text under links at a Jaccard index of 0.8 or more."""
+    split = [words("".join(c.lower() if "A" <= c <= "Z" else c for c in t or "")) for t in texts]
+    sets = [{tuple(w[i : i + width]) for i in range(max(1, len(w) - width + 1))} for w in split]
+    root = list(range(len(sets)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, x in enumerate(sets):
+        for j, y in enumerate(sets[:i]):
+            if 5 * len(x & y) >= 4 * len(x | y):
+                root[find(i)] = find(j)
+    return [find(i) for i in range(len(sets))]
+
+
+def near_copies(seed=7):
+    """documents() and chains of texts, each with some words of the one before changed: about 0.7 to 0.95 alike."""
+    rnd, out = random.Random(seed), documents()
+    for i in range(30):
+        w = [f"w{rnd.randrange(10**6)}" for _ in range(rnd.choice([5, 6, 9, 10, 40, 100, 300]))]
+        for j in range(5):
+            out.append((1000 + 5 * i + j, " ".join(w).upper() if j == 2 else " ".join(w), None, "a", 1, None, None, None))
+            for _ in range(max(1, len(w) // rnd.choice([30, 60, 100]))):
+                w[rnd.randrange(len(w))] = f"w{rnd.randrange(10**6)}"
+    return out
+
+
+@pytest.mark.parametrize("block", [3, 2048])
+def test_near_copies_are_those_of_all_pairs(spark, none, block):
+    rows = near_copies()
+    least = {}
+    for g, r in zip(brute_groups([r[1] for r in rows]), rows):
+        least[g] = min(least.get(g, (True, 0)), (r[0] is None, r[0] or 0))
+    got = similar.keep_one(spark.createDataFrame(rows, DOCS), block=block)
+    assert got.columns == DOCS.replace(",", "").split()[::2]
+    assert sorted((r.doc_id is None, r.doc_id or 0) for r in got.collect()) == sorted(least.values())
+    assert similar.keep_one(none, block=block).count() == 0
+
+
 # Recompression
 
 
