@@ -36,6 +36,8 @@ WORDS = frozenset(
 )
 COMMENT_WORDS = frozenset("comment comments reply replies".split())
 ROOTS = frozenset("html body main article".split())
+#: In a class or id: what says that a page has, or hasn't, the thing named behind it or before it.
+BEFORE, AFTER = frozenset("has no not with without".split()), frozenset("enabled disabled on off open closed visible hidden".split())
 PIECE = re.compile(
     rf"<!--.*?(?:-->|\Z)|<({RAW})\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>|<[!?][^>]*>",
     re.DOTALL | re.IGNORECASE,
@@ -44,29 +46,48 @@ ATTRIBUTE = re.compile(r"""(class|id|role|style|hidden|aria-hidden)\s*(?:=\s*("[
 WORD = re.compile(r"[a-z]+")
 
 
-def _marks(tag: str, attributes: str) -> tuple[bool, bool, str]:
-    """Whether an element is outside the article, whether it is only so outside an article, and its name in paths."""
+def _names(value: str) -> list[str]:
+    """Words by which a class or id says what its element is: 'has-sidebar' and 'share-enabled' say what the page has."""
+    words = WORD.findall(value)
+    for i, w in enumerate(words):
+        if w in BEFORE:
+            del words[i:]
+            break
+    if len(words) > 1 and words[-1] in AFTER:
+        del words[-2:]
+    return [w for i, w in enumerate(words) if w != "widget" or i in (0, len(words) - 1)]
+
+
+def _marks(tag: str, attributes: str) -> tuple[bool, str, bool, str]:
+    """Whether an element is outside the article by its tag, role or style, or by its words ("words", "comment", or ""), whether it is only so outside an article, and its name in paths."""
     outside, names = tag in OUTSIDE, []
     words: set[str] = set()
     if attributes.strip():
         for key, value in ATTRIBUTE.findall(attributes):
             key, value = key.lower(), value.strip("\"'").lower()
             if key in ("class", "id"):
-                words.update(WORD.findall(value))
+                for name in value.split():
+                    words.update(_names(name))
                 if key == "class":
                     names = sorted(value.split())
             elif key == "role":
                 outside |= value in ROLES
             elif key == "hidden" or (key == "aria-hidden" and value == "true") or (key == "style" and re.search(r"display\s*:\s*none", value)):
                 outside = True
-    outside |= bool(words & (COMMENT_WORDS if tag in ROOTS else WORDS)) and tag not in ("html", "body")
-    return outside, tag == "header" or "header" in words and tag not in ROOTS, ".".join([tag, *names])
+    by = "" if tag in ("html", "body") else "comment" if words & COMMENT_WORDS else "words" if tag not in ROOTS and words & WORDS else ""
+    return outside, by, tag == "header" or "header" in words and tag not in ROOTS, ".".join([tag, *names])
 
 
 def parse(page: str) -> list[tuple[str, str, bool, int]]:
-    """Text blocks of a page in order: (path, text, outside, depth of article 0, main 1, body 2)."""
-    out: list[tuple[str, str, bool, int]] = []
-    stack: list[tuple[str, str, bool, int]] = [("", "", False, 2)]
+    """Text blocks of a page in order: (path, text, outside, depth of article 0, main 1, body 2).
+
+    A mark by words alone doesn't hold for an element that has the page's article: an article or main, or without any an
+    h1, with more than half of the text.
+    """
+    out: list[tuple[str, str, bool, int, tuple[int, ...], tuple[int, ...]]] = []
+    stack: list[tuple[str, str, bool, int, tuple[int, ...], tuple[int, ...]]] = [("", "", False, 2, (), ())]
+    marked: list[bool] = []  # of the elements marked by words: whether one has a heading
+    roots: list[tuple[int, ...]] = []  # of the articles and mains: the marked elements around one
     held: list[str] = []
     tokens: list[str] = []
     last = 0
@@ -76,7 +97,7 @@ def parse(page: str) -> list[tuple[str, str, bool, int]]:
         held.clear()
         if text:
             top = stack[-1]
-            out.append((top[1], text, top[2], top[3]))
+            out.append((top[1], text, *top[2:]))
 
     def pop_to(tag: str, stop: tuple[str, ...]) -> None:
         for i in range(len(stack) - 1, 0, -1):
@@ -115,21 +136,45 @@ def parse(page: str) -> list[tuple[str, str, bool, int]]:
             if tag in ("li", "dt", "dd", "tr", "td", "th"):
                 pop_to(tag, ("ul", "ol", "dl", "table"))
         above = stack[-1]
-        outside, outer, name = _marks(tag, attributes or "")
+        outside, by, outer, name = _marks(tag, attributes or "")
         kind = 0 if tag == "article" else min(above[3], 1) if tag == "main" else above[3]
         if attributes and attributes.rstrip().endswith("/") and not block:
             continue
-        if not block and not outside:
-            stack.append((tag, above[1], above[2], above[3]))
+        if not block and not outside and not by:
+            stack.append((tag, *above[1:]))
             continue
+        outside = above[2] or outside or by == "comment" or (outer and above[3] == 2)
+        around, within = above[4], above[5]
+        if tag in ("article", "main") and not outside:
+            within = (*within, len(roots))
+            roots.append(around)
+        if by == "words":
+            around = (*around, len(marked))
+            marked.append(False)
+        if tag == "h1":
+            for i in around:
+                marked[i] = True
         path = f"{above[1]}/{name}" if tag != above[0] or tag == "div" else above[1]
-        stack.append((tag, path[-200:], above[2] or outside or (outer and above[3] == 2), kind))
+        stack.append((tag, path[-200:], outside, kind, around, within))
         tokens.append(path)
     if last < len(page):
         held.append(page[last:])
     flush()
     parse.tokens = tokens
-    return out
+    held_by = [0] * len(marked)
+    held_in = [0] * len(roots)
+    total = 0
+    for _, text, outside, _, around, within in out if marked else ():
+        if not outside:
+            total += len(text)
+            for i in around:
+                held_by[i] += len(text)
+            for i in within:
+                held_in[i] += len(text)
+    real = {i for around, n in zip(roots, held_in) if 2 * n > total for i in around}
+    if not roots:
+        real = {i for i, n in enumerate(held_by) if marked[i] and 2 * n > total}
+    return [(path, text, outside or not real.issuperset(around), kind) for path, text, outside, kind, around, _ in out]
 
 
 def _token(path: str, text: str = "") -> int:

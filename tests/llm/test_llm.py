@@ -378,6 +378,16 @@ def test_main_text_of_a_page():
     assert template.main_text(template.parse("<div class=nav>x</div><p>only body<p>" + "y" * 100_000)) == "only body\n" + "y" * 100_000
 
 
+def test_class_words_of_wrappers_do_not_drop_the_article():
+    text = lambda page: template.main_text(template.parse(page))
+    for name in ("layout has-sidebar", "content no-sidebar", "post share-enabled", "with-comments", "elementor-widget-text", "sidebar", "page-menu"):
+        assert text(f'<body><div class="{name}"><article><h1>T</h1><p>the text</article></div><div class="menu">m</div>') == "T\nthe text", name
+        assert text(f'<body><div class="{name}"><h1>T</h1><p>the text</div><div class="menu">m</div>') == "T\nthe text", name
+    assert text('<p>a long text of the body</p><div class="related"><article>card</article><article>card</article></div>') == "a long text of the body"
+    assert text('<article>a</article><div id="comments"><article class="comment">a longer comment</article></div><div class="widget widget_text">w</div>') == "a"
+    assert text('<div id="comments"><article>a long comment</article></div><p>a') == "a"
+
+
 def test_template_takes_constant_texts(spark):
     rows = [(i, f"http://h.com/{i}", PAGE.format(f"text {i} " * 3 + "".join(f"<p>more {i} {j}" for j in range(6))), "k") for i in range(6)] + [(None, None, None, "k"), (50, "http://one.com/", PAGE.format("z"), "k")] + [(60, "http://h.com/0", "", "k")] * 2
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
