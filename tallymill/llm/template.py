@@ -2,10 +2,14 @@
 
 A page's tokens are its elements, by path, and its text blocks, by path and text. On each host, tokens that occur the
 same number of times on the same pages have one occurrence vector; it is kept as three sums over pages (pages, count,
-count times the page's hash), so classes come from a plain aggregation and no host's pages are gathered. The class of
-tokens that occur once on every page is the host's template; the others nest in it. What stands between template tokens
-are slots: text blocks of the template's own class are constant and go, the rest is kept if its slot lies in the
-article and not in an element that is marked as a menu, header, footer, sidebar, notice, advert, form or comment.
+count times the page's hash), so classes come from a plain aggregation and no host's pages are gathered. Classes on at
+least SHARE of the host's pages that aren't empty are candidates, whatever their counts. They nest by support: a token
+stands in the slot between the nearest tokens, elements or texts, that are once a page in classes of more pages (or as
+many, if it is not once a page itself). Where it stands (slot, and its number among the tokens of its class there) is counted over pages; a token is the template's
+at the places where it stands on SHARE of the pages. So a class is taken apart by slots, and what is out of order or
+strays over slots isn't template. Text blocks at a place of the template are constant and go; the rest is kept if it
+lies in the article and not in an element that is marked as a menu, header, footer, sidebar, notice, advert, form or
+comment.
 """
 
 from __future__ import annotations
@@ -22,6 +26,8 @@ from .common import materialize, slices, small_side
 from .urlfilter import host_path
 
 MIN_PAGES = 5
+#: Part of a host's pages that a class, and a place of a token, must be on.
+SHARE = 0.5
 #: Fixed values of HTML: elements that break text into blocks, that have no content, whose content isn't text for readers.
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead title tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -89,7 +95,7 @@ def parse(page: str) -> list[tuple[str, str, bool, int]]:
     marked: list[bool] = []  # of the elements marked by words: whether one has a heading
     roots: list[tuple[int, ...]] = []  # of the articles and mains: the marked elements around one
     held: list[str] = []
-    tokens: list[str] = []
+    tokens: list[tuple[int, str]] = []  # elements with the number of text blocks before
     last = 0
 
     def flush():
@@ -156,7 +162,7 @@ def parse(page: str) -> list[tuple[str, str, bool, int]]:
                 marked[i] = True
         path = f"{above[1]}/{name}" if tag != above[0] or tag == "div" else above[1]
         stack.append((tag, path[-200:], outside, kind, around, within))
-        tokens.append(path)
+        tokens.append((len(out), path))
     if last < len(page):
         held.append(page[last:])
     flush()
@@ -181,17 +187,53 @@ def _token(path: str, text: str = "") -> int:
     return xxhash.xxh64_intdigest(f"{path}\n{text}") >> 1
 
 
-def main_text(blocks: list[tuple[str, str, bool, int]], constant: frozenset[int] | None = None) -> str:
-    """The article's blocks: those of articles, else of main, else of the body; the template's constant texts go unless they are most of it."""
-    inside = [b for b in blocks if not b[2]]
+def events(blocks: list[tuple[str, str, bool, int]], elements: list[tuple[int, str]]) -> list[tuple[int, int]]:
+    """Tokens of a page in order, each with the number of its text block, or -1 for an element."""
+    out, at = [], 0
+    for before, path in [*elements, (len(blocks), "")]:
+        out += [(_token(blocks[i][0], blocks[i][1]), i) for i in range(at, before)]
+        at = before
+        out.append((_token(path), -1))
+    return out[:-1]
+
+
+def places(page: list[tuple[int, int]], classes: dict[int, tuple[int, int, bool]]) -> list[tuple[int, int]]:
+    """For each occurrence of a class's token on a page: a hash of the token and where it stands, and its text block.
+
+    classes: by token, its class, the pages it is on, and whether it is once on each.
+    """
+    known = [(t, block, *classes[t]) for t, block in page if t in classes]
+    bounds: dict[tuple[int, bool], list[list[int]]] = {}
+    for level, single in {k[3:] for k in known}:
+        sides = []
+        for way in (known, known[::-1]):
+            near, side = 0, []
+            for t, _, _, pages, once in way:
+                side.append(near)
+                if once and (pages > level or pages == level and not single):
+                    near = t
+            sides.append(side)
+        bounds[level, single] = [sides[0], sides[1][::-1]]
+    ranks: dict[tuple[int, int, int], dict[int, int]] = {}
+    out = []
+    for i, (t, block, kind, *level) in enumerate(known):
+        left, right = (side[i] for side in bounds[tuple(level)])
+        seen = ranks.setdefault((kind, left, right), {})
+        out.append((xxhash.xxh64_intdigest(f"{t} {left} {right} {seen.setdefault(t, len(seen))}") >> 1, block))
+    return out
+
+
+def main_text(blocks: list[tuple[str, str, bool, int]], constant: set[int] | None = None) -> str:
+    """The article's blocks: those of articles, else of main, else of the body; constant ones, by number, go unless they are most of it."""
+    inside = [(i, b) for i, b in enumerate(blocks) if not b[2]]
     if inside:
-        kind = min(b[3] for b in inside)
-        inside = [b for b in inside if b[3] == kind]
+        kind = min(b[3] for _, b in inside)
+        inside = [x for x in inside if x[1][3] == kind]
     if constant:
-        slots = [b for b in inside if _token(b[0], b[1]) not in constant]
+        slots = [x for x in inside if x[0] not in constant]
         if 2 * len(slots) >= len(inside):
             inside = slots
-    return "\n".join(b[1] for b in inside)
+    return "\n".join(b[1] for _, b in inside)
 
 
 def _token_rows(batches):
@@ -200,13 +242,10 @@ def _token_rows(batches):
         sums: dict[tuple[str, int], list[int]] = {}
         for host, page, data in zip(*(c.to_pylist() for c in b.columns)):
             counts: dict[int, int] = {}
-            for path, text, _, _ in parse(data.decode("utf-8", "replace")):
-                t = _token(path, text)
-                counts[t] = counts.get(t, 0) + 1
-            for path in parse.tokens:
-                t = _token(path)
+            for t, _ in events(parse(data.decode("utf-8", "replace")), parse.tokens):
                 counts[t] = counts.get(t, 0) + 1
-            counts[0] = 1  # the page itself
+            if counts:
+                counts[0] = 1  # the page itself
             for t, n in counts.items():
                 s = sums.setdefault((host, t), [0, 0, 0])
                 s[0] += 1
@@ -217,18 +256,46 @@ def _token_rows(batches):
         yield pa.RecordBatch.from_arrays(cols, names=["host", "token", "pages", "count", "vector"])
 
 
-def templates(pages: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
-    """(host, tokens ARRAY<BIGINT>): for each host of at least min_pages pages, the class of tokens that are once on every page.
+def _classes(tokens, kinds, pages, counts) -> dict[int, tuple[int, int, bool]]:
+    return {t: (k, p, n == p) for t, k, p, n in zip(tokens, kinds, pages, counts)}
 
-    A class is no larger than a page has tokens, so a host's row is small however many pages it has. pages has host and html.
+
+def _place_rows(batches):
+    """Pages for each host and place of a batch."""
+    for b in slices(batches, 1):
+        sums: dict[tuple[str, int], int] = {}
+        last = classes = None
+        for host, data, *arrays in zip(*(c.to_pylist() for c in b.columns)):
+            if host != last:
+                last, classes = host, _classes(*arrays)
+            for place in {x for x, _ in places(events(parse(data.decode("utf-8", "replace")), parse.tokens), classes)}:
+                sums[host, place] = sums.get((host, place), 0) + 1
+        cols = [pa.array([k[0] for k in sums], pa.string()), pa.array([k[1] for k in sums], pa.int64()), pa.array(list(sums.values()), pa.int64())]
+        yield pa.RecordBatch.from_arrays(cols, names=["host", "place", "pages"])
+
+
+ARRAYS = ["tokens", "kinds", "pages", "counts"]
+
+
+def templates(pages: DataFrame, min_pages: int = MIN_PAGES, share: float = SHARE) -> DataFrame:
+    """(host, tokens, kinds, pages, counts, places), arrays: for each host of at least min_pages pages that aren't empty, its classes and the places of its template.
+
+    What is on a share of the pages is no more than a page's tokens divided by the share, so a host's row is small
+    however many pages it has. pages has page_id, host and html.
     """
-    rows = pages.select("host", F.xxhash64("page_id", "html").alias("page"), F.coalesce(F.col("html").cast("binary"), F.lit(b"")).alias("raw"))
+    raw = F.coalesce(F.col("html").cast("binary"), F.lit(b"")).alias("raw")
+    rows = pages.select("host", F.xxhash64("page_id", "html").alias("page"), raw)
     sums = rows.mapInArrow(_token_rows, "host string, token bigint, pages bigint, count bigint, vector bigint")
     vector = F.pmod(F.sum(F.col("vector").cast("decimal(38,0)")), F.lit(2**61).cast("decimal(38,0)")).cast("bigint")
     sums = materialize(sums.groupBy("host", "token").agg(F.sum("pages").alias("pages"), F.sum("count").alias("count"), vector.alias("vector")))
-    same = ["host", "pages", "count", "vector"]
-    roots = sums.where("token = 0").where(F.col("pages") >= min_pages).select(*same)
-    return sums.where("token <> 0").join(roots, same).groupBy("host").agg(F.collect_list("token").alias("tokens"))
+    least = sums.where("token = 0").where(F.col("pages") >= min_pages).select("host", F.greatest(F.lit(min_pages), F.ceil(F.col("pages") * share)).alias("least"))
+    often = sums.where("token <> 0").join(least, "host").where("pages >= least")
+    each = F.collect_list(F.struct("token", F.xxhash64("pages", "count", "vector").alias("kind"), "pages", "count"))
+    classes = materialize(often.groupBy("host", "least").agg(each.alias("l")).select("host", "least", *(F.col(f"l.{a[:-1] if a != 'pages' else a}").alias(a) for a in ARRAYS)))
+    kept = pages.select("host", raw).join(small_side(classes, "host", *ARRAYS), "host").select("host", "raw", *ARRAYS)
+    found = kept.mapInArrow(_place_rows, "host string, place bigint, pages bigint").groupBy("host", "place").agg(F.sum("pages").alias("n"))
+    valid = found.join(classes.select("host", "least"), "host").where("n >= least").groupBy("host").agg(F.collect_list("place").alias("places"))
+    return classes.drop("least").join(valid, "host")
 
 
 def extract(pages: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
@@ -239,20 +306,19 @@ def extract(pages: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
     repeat. Other columns are ignored. No rows in, none out.
     """
     rows = pages.select("page_id", "url", host_path(F.col("url"))[0].alias("host"), "html")
-    known = small_side(materialize(templates(rows, min_pages)), "host", "tokens")
+    known = small_side(materialize(templates(rows, min_pages)), "host", *ARRAYS, "places")
     kind = pages.schema["page_id"].dataType.simpleString()
 
     def run(batches):
-        sets: dict[str, frozenset] = {}
         for b in slices(batches, 3):
-            texts = []
-            for host, tokens, data in zip(*(b.column(i).to_pylist() for i in (2, 4, 3))):
-                if tokens and host not in sets:
-                    if len(sets) > 1000:
-                        sets.clear()
-                    sets[host] = frozenset(tokens)
-                texts.append(main_text(parse(data.decode("utf-8", "replace")), sets.get(host) if tokens else None))
+            texts, last, classes, valid = [], None, {}, frozenset()
+            for host, data, found, *arrays in zip(*(b.column(i).to_pylist() for i in (2, 3, 8, 4, 5, 6, 7))):
+                if found and host != last:
+                    last, classes, valid = host, _classes(*arrays), frozenset(found)
+                blocks = parse(data.decode("utf-8", "replace"))
+                constant = {i for x, i in places(events(blocks, parse.tokens), classes) if x in valid} if found else None
+                texts.append(main_text(blocks, constant))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     raw = F.coalesce(F.col("html").cast("binary"), F.lit(b"")).alias("raw")
-    return rows.join(known, "host", "left").select("page_id", "url", "host", raw, "tokens").mapInArrow(run, f"page_id {kind}, url string, text string, n_chars bigint")
+    return rows.join(known, "host", "left").select("page_id", "url", "host", raw, *ARRAYS, "places").mapInArrow(run, f"page_id {kind}, url string, text string, n_chars bigint")

@@ -400,6 +400,15 @@ def test_template_takes_constant_texts(spark):
     assert template.extract(pages.where("false")).count() == 0
 
 
+def test_template_outlasts_odd_pages_and_keeps_to_its_places(spark):
+    page = "<html><body><div class='top'>Site</div><main><h1>t {0}</h1><p>Share this<p>text {0}<p>more {0}<h2></h2><p>and {0}{1}</main><div class='end'>Read more</div>"
+    html = [page.format(i, "<p>Share this" if i == 3 else "") for i in range(8)] + ["", None, "<p>another layout<p>Share this"]
+    pages = spark.createDataFrame([(i, f"http://h.com/{i}", h) for i, h in enumerate(html)], "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in template.extract(pages).collect()}
+    assert all(got[i] == f"t {i}\ntext {i}\nmore {i}\nand {i}" + "\nShare this" * (i == 3) for i in range(8))
+    assert got[8] == got[9] == "" and got[10] == "another layout\nShare this"
+
+
 # Vector search
 
 
