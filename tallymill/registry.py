@@ -315,7 +315,7 @@ def stream_counts(spark, sf_dir):
 
 @query("SELECT date_trunc('day', ts) AS day, event_type AS item, count(*) AS n FROM events GROUP BY 1, 2")
 def stream_windows(spark, sf_dir):
-    rows = C.drain(C.windowed(C.read_table(spark, sf_dir, "events"), "ts", "event_type", late="3650 days"), ["w", "item"])
+    rows = C.drain(C.windowed(C.read_table(spark, sf_dir, "events"), "ts", "event_type"), ["w", "item"])
     return rows.select(F.col("w.start").alias("day"), "item", "n")
 
 

@@ -22,9 +22,10 @@ def counts(stream: DataFrame, key: str, value: str) -> DataFrame:
     return stream.groupBy(F.col(key).alias("item")).agg(F.count("*").alias("n"), F.round(F.sum(value), 4).alias("total"))
 
 
-def windowed(stream: DataFrame, ts: str, key: str, width: str = "1 day", late: str = "2 days") -> DataFrame:
-    """Rows for each key and window of event time, late rows dropped."""
-    return stream.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, late).groupBy(F.window(ts, width).alias("w"), F.col(key).alias("item")).agg(F.count("*").alias("n"))
+def windowed(stream: DataFrame, ts: str, key: str, width: str = "1 day", late: str | None = None) -> DataFrame:
+    """Rows for each key and window of event time; with `late`, for streams without an end, later rows are dropped."""
+    stream = stream.withColumn(ts, F.col(ts).cast("timestamp"))
+    return (stream.withWatermark(ts, late) if late else stream).groupBy(F.window(ts, width).alias("w"), F.col(key).alias("item")).agg(F.count("*").alias("n"))
 
 
 def drain(result: DataFrame, keys: list[str]) -> DataFrame:

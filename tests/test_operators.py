@@ -104,3 +104,13 @@ def test_text_functions(spark, function, value, expected):
 def test_split_name(spark):
     got = [tuple(r[0]) for r in spark.createDataFrame([("t",), ("s.t",), ("d.s.t",), ("a.b.c.d",)], "c string").select(T.split_name(F.col("c"))).collect()]
     assert got == [(None, None, "t"), (None, "s", "t"), ("d", "s", "t"), ("a", "b.c", "d")]
+
+
+def test_stream_windows_count_rows_older_than_an_early_outlier(spark, tmp_path):
+    from tallymill import registry
+
+    for ts in ["2099-01-01", *["2020-01-01"] * 20]:
+        part = spark.sql(f"SELECT TIMESTAMP'{ts} 00:00:00' AS ts, 'click' AS event_type").coalesce(1)
+        part.write.mode("append").parquet(f"{tmp_path}/events.parquet")
+    got = registry.stream_windows(spark, str(tmp_path)).collect()
+    assert sorted((r.day.year, r.n) for r in got) == [(2020, 20), (2099, 1)]
