@@ -19,10 +19,10 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import free_name, quoted, slices
 
 #: Unicode's White_Space; the contractions of the pattern, by length.
 WHITE_SPACE = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
@@ -32,7 +32,8 @@ ONE_LETTER, TWO_LETTERS = "stmd", ("re", "ve", "ll")
 LETTER, NUMBER, OTHER, SPACE, WHITE, APO1, APO2, SEP = range(8)
 EDGE, NEED1, NEED2 = 5, 6, 7
 _SEPARATOR = 0x110000
-CACHE_PIECES = 300_000
+#: Bytes that a codec's cache of pieces may take, each counted with its ids and what Python adds.
+CACHE_BYTES, ENTRY_BYTES = 16 << 20, 200
 
 
 @cache
@@ -141,7 +142,7 @@ def load_ranks(path: str) -> dict[bytes, int]:
 class PairTable:
     """Ranks of pairs of ids whose bytes joined are a token: open addressing in two arrays."""
 
-    EMPTY, SIZE_BITS = np.uint64(2**64 - 1), 21
+    EMPTY, SIZE_BITS = np.uint64(2**64 - 1), 19
 
     def __init__(self, ranks: dict[bytes, int]):
         pairs = {}
@@ -183,10 +184,10 @@ NO_RANK = np.int32(2**31 - 1)
 
 
 class Codec:
-    """Encoder and decoder of one vocabulary; pieces met are cached, at most CACHE_PIECES of them and those of one call."""
+    """Encoder and decoder of one vocabulary; pieces met are cached in CACHE_BYTES, and for one call those of its texts."""
 
     def __init__(self, ranks: dict[bytes, int]):
-        self.ranks, self.cache = ranks, {}
+        self.ranks, self.cache, self.cached = ranks, {}, 0
         self.vocab = {r: t for t, r in ranks.items()}
         self.pairs = PairTable(ranks)
         self.byte_ids = np.array([ranks[bytes([i])] for i in range(256)], np.int64)
@@ -264,12 +265,21 @@ class Codec:
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         lists = pretokenize(texts)
         new = set(chain.from_iterable(lists))
-        if len(self.cache) > CACHE_PIECES:
-            self.cache.clear()
         new = [p for p in new if p not in self.cache]
-        self.cache.update(zip(new, self.merge([p.encode() for p in new])))
-        get = self.cache.__getitem__
-        return [np.frombuffer(b"".join(map(get, pieces)), "<u4") for pieces in lists]
+        ids = self.merge([p.encode() for p in new])
+        size = ENTRY_BYTES * len(new) + sum(map(len, new)) + sum(map(len, ids))
+        if self.cached + size > CACHE_BYTES and self.cache:
+            again = set(chain.from_iterable(lists)) & self.cache.keys()
+            new, ids = [*new, *again], [*ids, *map(self.cache.__getitem__, again)]
+            size += ENTRY_BYTES * len(again)
+            self.cache, self.cached = {}, 0
+        self.cache.update(zip(new, ids))
+        self.cached += size
+        get, out = self.cache.__getitem__, []
+        for i, pieces in enumerate(lists):
+            out.append(np.frombuffer(b"".join(map(get, pieces)), "<u4"))
+            lists[i] = None
+        return out
 
     def tokens(self, ids: np.ndarray) -> list[bytes]:
         return [self.vocab[i] for i in ids.tolist()]
@@ -287,15 +297,16 @@ def codec(path: str) -> Codec:
     return Codec(load_ranks(path))
 
 
-def _rows(docs: DataFrame, text_col: str) -> DataFrame:
-    return docs.withColumn("_raw", F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")))
+def _raw(text_col: str) -> Column:
+    return F.coalesce(F.col(text_col).cast("binary"), F.lit(b""))
 
 
 def encode(docs: DataFrame, ranks_path: str, text_col: str = "text") -> DataFrame:
     """docs with columns ids ARRAY<INT> and offsets ARRAY<BIGINT> (byte offsets of the tokens and the text's end).
 
-    A null text is an empty one: no ids. Columns of these two names in docs are replaced. ranks_path is a file that
-    every executor has.
+    A null text is an empty one: no ids. Columns of these two names in docs are replaced, all others stay, whatever
+    their names. A text of any length is encoded whole, one of more than 1 MB by itself. ranks_path is a file that every
+    executor has.
     """
     keep = [c for c in docs.columns if c not in ("ids", "offsets")]
     schema = ", ".join([f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep] + ["ids array<int>", "offsets array<bigint>"])
@@ -307,7 +318,7 @@ def encode(docs: DataFrame, ranks_path: str, text_col: str = "text") -> DataFram
             cols = [pa.array([x.view(np.int32) for x in ids], pa.list_(pa.int32())), pa.array([c.offsets(x) for x in ids], pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], *cols], names=[*keep, "ids", "offsets"])
 
-    return _rows(docs, text_col).select(*keep, "_raw").mapInArrow(run, schema)
+    return docs.select(*map(quoted, keep), _raw(text_col).alias(free_name(docs, "_raw"))).mapInArrow(run, schema)
 
 
 def decode(encoded: DataFrame, ranks_path: str, ids_col: str = "ids") -> DataFrame:
@@ -321,7 +332,7 @@ def decode(encoded: DataFrame, ranks_path: str, ids_col: str = "ids") -> DataFra
             got = [c.decode(np.array(x or [], np.uint32)) for x in b.column(ids_col).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(got, pa.binary())], names=[*keep, "decoded"])
 
-    return encoded.select(*keep).mapInArrow(run, schema)
+    return encoded.select(*map(quoted, keep)).mapInArrow(run, schema)
 
 
 def digests(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -343,4 +354,4 @@ def digests(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", text_col:
             ]
             yield pa.RecordBatch.from_arrays([b.column(0), *cols], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return _rows(docs, text_col).select(id_col, "_raw").mapInArrow(run, f"doc_id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+    return docs.select(id_col, _raw(text_col).alias(free_name(docs, "_raw"))).mapInArrow(run, f"doc_id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.components import components
 from ..plans.scratch import drop_scratch, materialize, scratch_dir, small_side
 
-__all__ = ["WORD", "components", "drop_scratch", "materialize", "scratch_dir", "slices", "small_side", "table", "word_count"]
+__all__ = ["WORD", "components", "drop_scratch", "free_name", "materialize", "quoted", "scratch_dir", "slices", "small_side", "table", "word_count"]
 
 #: A word, as every operator here reads it.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -24,14 +26,26 @@ def word_count(text: Column | str) -> Column:
     return F.coalesce(F.regexp_count(F.col(text) if isinstance(text, str) else text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def slices(batches, column: int, most: int = 4 << 20):
-    """Arrow batches cut so that a slice holds about `most` bytes of a binary column."""
+def quoted(name: str) -> str:
+    """A column's name as an expression, whatever signs it has."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """name, with as many underscores behind it as make it new among df's columns (case doesn't count)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def slices(batches, column: int, most: int = 1 << 20):
+    """Arrow batches cut so that a slice holds about `most` bytes of a string or binary column, or one longer text."""
     for b in batches:
-        size, at = 0, 0
-        for i, x in enumerate(b.column(column)):
-            size += len(x.as_buffer()) if x.is_valid else 0
-            if size >= most:
-                yield b.slice(at, i + 1 - at)
-                size, at = 0, i + 1
-        if at < b.num_rows:
-            yield b.slice(at)
+        ends = np.cumsum(pc.fill_null(pc.binary_length(b.column(column)), 0).to_numpy(zero_copy_only=False))
+        at = 0
+        while at < b.num_rows:
+            before = ends[at - 1] if at else 0
+            end = max(at + 1, int(np.searchsorted(ends, before + most, side="right")))
+            yield b.slice(at, end - at)
+            at = end

@@ -5,7 +5,8 @@ Features are indicators of byte n-grams, hashed to a fixed number of buckets, an
 the classes, rows are scaled to unit length, a linear hinge-loss model is fitted by dual coordinate descent, and margins
 become probabilities by a logistic fit on held-out folds of the training rows.
 
-The model is fitted on at most SAMPLE labelled rows, drawn by a hash of their ids; everything else covers all rows.
+The model is fitted on at most SAMPLE labelled rows, drawn by a hash of their ids, and on no more of them than have
+SAMPLE_BYTES of features; everything else covers all rows.
 """
 
 from __future__ import annotations
@@ -13,12 +14,14 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-SAMPLE, BITS, SIZES, SHAPE_SIZE = 6000, 18, (2, 3), 5
+from .common import drop_scratch, free_name, materialize, quoted, slices
+
+SAMPLE, SAMPLE_BYTES, BITS, SIZES, SHAPE_SIZE = 6000, 64 << 20, 18, (2, 3), 5
 THRESHOLD, COST, EPOCHS, FOLDS = 0.3, 1.0, 30, 4
 _BUCKETS = 1 << BITS
 
@@ -186,42 +189,54 @@ def held_out(id_col: str):
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 5 == 0, F.lit(True))
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE) -> Model | None:
-    """Model from at most `sample` labelled rows outside the held-out fifth, least hashes of ids first.
+def train(
+    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE, most_bytes: int = SAMPLE_BYTES
+) -> Model | None:
+    """Model from labelled rows outside the held-out fifth, least hashes of ids first: at most `sample` of them, and no more than take `most_bytes` of features.
 
-    Null labels and ids are no labels; an id whose labels differ counts as none.
+    Null labels and ids are no labels; an id whose labels differ counts as none. Of rows that share an id, the one of
+    least features counts. Other columns are ignored, whatever their names. No labelled rows make no model.
     """
     y = F.col(label_col).cast("int")
-    one = labels.select(F.col(id_col).alias("_id"), y.alias("_y")).where("_id is not null and _y in (0, 1)").where(~held_out("_id"))
-    one = one.groupBy("_id").agg(F.min("_y").alias("_y"), F.max("_y").alias("_z")).where("_y = _z").drop("_z")
-    picked = one.orderBy(F.xxhash64("_id"), "_id").limit(sample)
+    one = labels.select(F.col(id_col).alias("id"), y.alias("y")).where("id is not null and y in (0, 1)").where(~held_out("id"))
+    one = one.groupBy("id").agg(F.min("y").alias("y"), F.max("y").alias("z")).where("y = z").drop("z")
+    picked = one.orderBy(F.xxhash64("id"), "id").limit(sample)
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches, 2):
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([features(t).tobytes() for t in b.column(2).to_pylist()], pa.binary())], names=["id", "y", "f"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.join(F.broadcast(picked), F.col(id_col) == F.col("_id")).select("_id", "_y", F.col(text_col).cast("binary"))
-    got = pd.DataFrame(rows.mapInArrow(run, f"id {kind}, y int, f binary").collect(), columns=["id", "y", "f"])
-    got = got.sort_values(["id", "f"]).drop_duplicates("id")
-    return fit([np.frombuffer(bytes(f), np.uint32) for f in got.f], got.y.to_numpy())
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("t"))
+    rows = texts.join(F.broadcast(picked), "id").select("id", "y", "t").mapInArrow(run, f"id {kind}, y int, f binary")
+    rows = materialize(rows.groupBy("id", "y").agg(F.min("f").alias("f")).withColumn("h", F.xxhash64("id")))
+    sizes = sorted(rows.select("h", "id", F.length("f")).collect())
+    fits = int((np.cumsum([n for _, _, n in sizes]) <= most_bytes).sum())
+    if fits < len(sizes):
+        last = sizes[fits]
+        rows = rows.where((F.col("h") < last[0]) | (F.col("h") == last[0]) & (F.col("id") < F.lit(last[1])))
+    got = sorted(rows.collect(), key=lambda r: (r.h, r.id))
+    drop_scratch(rows)
+    return fit([np.frombuffer(bytes(r.f), np.uint32) for r in got], np.array([r.y for r in got], np.int64))
 
 
 def score(docs: DataFrame, model: Model | None, text_col: str = "text", out: str = "score") -> DataFrame:
     """docs with a DOUBLE column in 0..1, higher where label 1 is likelier; a model of None gives 0.5.
 
-    A null text is an empty one and gets the score of no evidence. All other columns and rows stay; a column that has
-    the new name is replaced.
+    A null or empty text has no features and gets the score of no evidence; a text of any length is read whole. All
+    other columns and rows stay, whatever their names; a column that has the new name is replaced.
     """
     keep = [c for c in docs.columns if c != out]
-    schema = ", ".join([f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep] + [f"`{out}` double"])
+    names = [*keep, *([] if text_col in keep else [free_name(docs, "_raw")])]
+    at = keep.index(text_col) if text_col in keep else len(keep)
+    schema = StructType([*(docs.schema[c] for c in keep), StructField(out, DoubleType())])
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
         m = sent.value
-        for b in batches:
-            texts = b.column(len(keep)).to_pylist()
+        for b in slices(batches, at):
+            texts = b.column(at).cast(pa.binary()).to_pylist()
             s = np.full(len(texts), 0.5) if m is None else m.score([features(t) for t in texts])
-            yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array(s)], names=[*keep, out])
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array(s)], names=schema.names)
 
-    return docs.select(*keep, F.col(text_col).cast("binary").alias("_raw")).mapInArrow(run, schema)
+    return docs.select(*map(quoted, keep), *(F.col(text_col).alias(n) for n in names[len(keep) :])).mapInArrow(run, schema)

@@ -10,7 +10,9 @@ Every window of 35 words is represented by one such symbol: of the highest round
 key being a hash of the footprint's words. Equal windows have equal representatives (single words serve at last), so
 windows that repeat meet on a shared key. Neighbouring windows with one representative form a segment, and segments are
 the rows that Spark shuffles: about one for 13 words. Of segments that share a key, those whose whole content is shared
-are settled at once; for the others, one of each content is expanded and its windows are compared by 128-bit hashes.
+are settled at once; for the others, one of each content is expanded and its windows are compared by
+128-bit hashes. Both halves of a hash rest on halves of their own of each word's 128-bit hash, a segment's key and
+content likewise.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_scratch, materialize, slices, small_side
+from .common import drop_scratch, free_name, materialize, quoted, slices, small_side
 
 WINDOW, ROUNDS = 35, 3
 _U = np.uint64
@@ -108,14 +110,14 @@ def _range_min(key: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
 
 
 def split_words(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Word hashes of all texts with a separator before, between and after; the separators' mask; each text's first place and number of words."""
+    """Word hashes of all texts with a separator before, between and after, in two rows (the halves of 128 bits); the separators' mask; each text's first place and number of words."""
     lists = [x.split() if x else [] for x in texts]
     n = np.fromiter(map(len, lists), np.int64, len(lists))
     start = np.cumsum(n + 1) - n
     total = int(n.sum()) + len(n) + 1
-    words, sep = np.zeros(total, _U), np.zeros(total, bool)
+    words, sep = np.zeros((2, total), _U), np.zeros(total, bool)
     sep[0] = sep[start + n] = True
-    words[~sep] = np.fromiter((xxhash.xxh64_intdigest(w) for ws in lists for w in ws), _U, int(n.sum()))
+    words[:, ~sep] = np.frombuffer(b"".join([xxhash.xxh3_128_digest(w) for ws in lists for w in ws]), _U).reshape(-1, 2).T
     return words, sep, start, n
 
 
@@ -128,13 +130,13 @@ def segments(words: np.ndarray, sep: np.ndarray, start: np.ndarray, n: np.ndarra
     many = n[doc] - window + 1
     of = np.repeat(doc, many)
     p = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + start[of]
-    keys, content = Hasher(words, 0), Hasher(words, 1)
+    keys, content = Hasher(words[0], 0), Hasher(words[1], 1)
     rep, key_of = np.full(len(p), -1, np.int64), np.zeros(len(p), _U)
     open_ = np.arange(len(p))
-    for level, (fl, fr) in reversed(list(enumerate(symbols(words, sep, rounds)))):
+    for level, (fl, fr) in reversed(list(enumerate(symbols(words[0], sep, rounds)))):
         key = _mix(keys(fl, fr + 1), ((fr - fl) * 8 + level).astype(_U))
-        before = np.concatenate([[0], np.cumsum(np.bincount(fl, minlength=len(words)))])  # symbols whose footprint begins before a word
-        until = np.cumsum(np.bincount(fr, minlength=len(words)))
+        before = np.concatenate([[0], np.cumsum(np.bincount(fl, minlength=words.shape[1]))])  # symbols whose footprint begins before a word
+        until = np.cumsum(np.bincount(fr, minlength=words.shape[1]))
         lo, hi = before[p[open_]], until[p[open_] + window - 1] - 1
         has = lo <= hi
         if has.any():
@@ -168,6 +170,7 @@ def _window_rows(window: int):
     def run(batches):
         for b in slices(batches, 2):
             words, _, start, _ = split_words(b.column(2).to_pylist())
+            halves = [Hasher(words[k], k) for k in (0, 1)]
             seg = b.column(3)
             flat, count = seg.flatten(), np.diff(seg.offsets.to_numpy())
             lo, hi, many = (flat.field(k).to_numpy(zero_copy_only=False) for k in range(3))
@@ -177,7 +180,7 @@ def _window_rows(window: int):
             doc, many = np.repeat(doc, size), np.repeat(many, size)
             g = p + start[doc]
             who = pa.array(doc)
-            cols = [b.column(0).take(who), b.column(1).take(who), *(pa.array(Hasher(words, k)(g, g + window).view(np.int64)) for k in (0, 1)), pa.array(many), pa.array(p.astype(np.int32))]
+            cols = [b.column(0).take(who), b.column(1).take(who), *(pa.array(h(g, g + window).view(np.int64)) for h in halves), pa.array(many), pa.array(p.astype(np.int32))]
             yield pa.RecordBatch.from_arrays(cols, names=["id", "tk", "h1", "h2", "many", "p"])
 
     return run
@@ -219,32 +222,34 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", win
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("tk"), F.col(text_col).cast("binary").alias("t"))
     segs = materialize(rows.mapInArrow(_segment_rows(window), f"id {kind}, tk bigint, key bigint, sig bigint, lo int, hi int"))
-    shared = segs.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    every, segs = segs, materialize(segs.join(shared.hint("shuffle_hash"), "key", "left_semi"))
-    drop_scratch(every)
+    every = segs
+    shared = materialize(segs.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"))
+    segs = materialize(segs.join(shared.hint("shuffle_hash"), "key", "left_semi"))  # a written side: the join may split its hot keys
     same = segs.groupBy("key", "sig").agg(F.count("*").alias("n"), F.min_by(F.struct("id", "tk", "lo", "hi"), F.struct("tk", "lo")).alias("one"))
     same = materialize(same)
-    whole = segs.join(same.where("n > 1").select("key", "sig"), ["key", "sig"], "left_semi").select("id", "tk", "lo", "hi")
-    mixed = same.groupBy("key").agg(F.count("*").alias("k")).where("k > 1").select("key")
-    probe = same.join(mixed, "key", "left_semi").select("one.*", (F.col("n") > 1).alias("many"))
+    equal = materialize(same.where("n > 1").select("key", "sig"))
+    whole = segs.join(equal.hint("shuffle_hash"), ["key", "sig"], "left_semi").select("id", "tk", "lo", "hi")
+    mixed = materialize(same.groupBy("key").agg(F.count("*").alias("k")).where("k > 1").select("key"))
+    probe = same.join(mixed.hint("shuffle_hash"), "key", "left_semi").select("one.*", (F.col("n") > 1).alias("many"))
     probe = materialize(probe.groupBy("id", "tk").agg(F.collect_list(F.struct("lo", "hi", "many")).alias("segs")))
     of = small_side(probe.select(F.col("id").alias("_id"), F.col("tk").alias("_tk"), "segs"), "segs")
     texts = rows.join(of, F.col("id").eqNullSafe(F.col("_id")) & (F.col("tk") == F.col("_tk"))).select("id", "tk", "t", "segs")
     wins = materialize(texts.mapInArrow(_window_rows(window), f"id {kind}, tk bigint, h1 bigint, h2 bigint, many boolean, p int"))
-    again = wins.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.max("many").alias("any_many")).where("n > 1 or any_many").select("h1", "h2")
-    single = wins.where("not many").join(again, ["h1", "h2"], "left_semi").select("id", "tk", F.col("p").alias("lo"), F.col("p").alias("hi"))
-    per_doc = whole.union(single).groupBy("id", "tk").agg(F.collect_list(F.struct("lo", "hi")).alias("r"))
+    again = materialize(wins.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.max("many").alias("any_many")).where("n > 1 or any_many").select("h1", "h2"))
+    single = wins.where("not many").join(again.hint("shuffle_hash"), ["h1", "h2"], "left_semi").select("id", "tk", F.col("p").alias("lo"), F.col("p").alias("hi"))
+    per_doc = whole.union(single).groupBy("id", "tk").agg(F.collect_set(F.struct("lo", "hi")).alias("r"))
     found = materialize(per_doc.mapInArrow(_pack(window), f"id {kind}, tk bigint, ranges binary"))
-    for used in (segs, same, probe, wins):
+    for used in (every, shared, segs, same, equal, mixed, probe, wins, again):
         drop_scratch(used)
     return found
 
 
-def with_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
-    """docs with a column `_ranges` (see repeats; null: none), joined without shuffling texts when the ranges are few."""
+def with_repeats(docs: DataFrame, out: str, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
+    """docs with a new column `out` (the ranges of repeats; null: none), joined without shuffling texts when the ranges are few."""
     found = repeats(docs, id_col, text_col, window)
-    side = small_side(found, "ranges").select(F.col("id").alias("_id"), F.col("tk").alias("_tk"), F.col("ranges").alias("_ranges"))
-    return docs.join(side, F.col(id_col).eqNullSafe(F.col("_id")) & (F.xxhash64(text_col) == F.col("_tk")), "left").drop("_id", "_tk")
+    i, t = free_name(docs, "_id"), free_name(docs, "_tk")
+    side = small_side(found, "ranges").select(F.col("id").alias(i), F.col("tk").alias(t), F.col("ranges").alias(out))
+    return docs.join(side, F.col(id_col).eqNullSafe(F.col(i)) & (F.xxhash64(text_col) == F.col(t)), "left").drop(i, t)
 
 
 def digest(raw: bytes | None, ranges: bytes | None) -> tuple[int, int, bytes]:
@@ -258,34 +263,35 @@ def digest(raw: bytes | None, ranges: bytes | None) -> tuple[int, int, bytes]:
 def summaries(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256), a row per row of docs.
 
-    A null text has no words; a text of fewer than `window` words keeps them all. Rows that repeat a text repeat its
-    windows, so both lose them. Ids may be null or repeat. No rows in, none out. Other columns are ignored.
+    A null text has no words; a text of fewer than `window` words keeps them all, one of any length is read whole. Rows
+    that repeat a text repeat its windows, so both lose them. Ids may be null or repeat. No rows in, none out. Other
+    columns are ignored.
     """
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches, 1):
             got = [digest(t, r) for t, r in zip(b.column(1).to_pylist(), b.column(2).to_pylist())]
             cols = [pa.array([x[0] for x in got], pa.int64()), pa.array([x[1] for x in got], pa.int64()), pa.array([hashlib.sha256(x[2]).hexdigest() for x in got], pa.string())]
             yield pa.RecordBatch.from_arrays([b.column(0), *cols], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
 
-    rows = with_repeats(docs.select(id_col, text_col), id_col, text_col, window).select(id_col, F.col(text_col).cast("binary").alias("_t"), "_ranges")
+    narrow = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"))
+    rows = with_repeats(narrow, "ranges", "id", "t", window).select("id", F.col("t").cast("binary"), "ranges")
     return rows.mapInArrow(run, f"doc_id {kind}, n_words bigint, n_removed bigint, kept_sha256 string")
 
 
 def strip_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
     """docs with repeated windows removed from the texts; all columns and rows stay, texts without repeats stay as they are, null texts too.
 
-    Kept words are joined by one space in texts that lose any.
+    Kept words are joined by one space in texts that lose any. Other columns may have any names.
     """
-
-    names = docs.columns
+    names, text_at, ranges = docs.columns, docs.columns.index(text_col), free_name(docs, "_ranges")
 
     def run(batches):
-        for b in batches:
-            texts = [t if r is None else digest(t, r)[2] for t, r in zip(b.column(text_col).to_pylist(), b.column("_ranges").to_pylist())]
-            cols = [pa.array(texts, pa.binary()).cast(pa.string()) if c == text_col else b.column(c) for c in names]
+        for b in slices(batches, text_at):
+            texts = b.column(text_at).cast(pa.binary()).to_pylist()
+            texts = [t if r is None else digest(t, r)[2] for t, r in zip(texts, b.column(len(names)).to_pylist())]
+            cols = [pa.array(texts, pa.binary()).cast(pa.string()) if i == text_at else b.column(i) for i in range(len(names))]
             yield pa.RecordBatch.from_arrays(cols, names=names)
 
-    rows = with_repeats(docs, id_col, text_col, window).withColumn(text_col, F.col(text_col).cast("binary"))
-    return rows.mapInArrow(run, docs.schema)
+    return with_repeats(docs, ranges, id_col, text_col, window).select(*map(quoted, names), ranges).mapInArrow(run, docs.schema)
