@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, materialize, small_side, word_count
+from .common import WORD, free_name, materialize, quoted, small_side, word_count
 
 WEIGHTS, SHARE, CAP, BLOCK_WORDS = (5, 2, 1), 1.5, 2, 4096
 #: Points are multiples of GOLDEN modulo POINTS: 2**31 divided by the golden ratio, made odd.
@@ -117,22 +117,27 @@ def taken_words(docs: DataFrame, **how) -> DataFrame:
 def mixed(docs: DataFrame, **how) -> DataFrame:
     """The mix itself, with the columns of docs: a row for each taken stretch of a document; its text is the whole text or those words, joined by one space.
 
-    n_chars, where docs has it, is counted again. Rows that repeat id, source and text are told apart by their place among equals.
+    n_chars, where docs has it, is counted again. Rows that repeat id, source and text are told apart by their place
+    among equals, in the order of their other columns, so reruns agree. Other columns may have any names.
     """
-    on = ["_id", "_key"]
+    name = {n: free_name(docs, f"_{n}") for n in ("id", "key", "size", "first", "last", "place", "row_key", "no")}
     pieces = mix(docs, **how).where("lap is not null")
-    pieces = materialize(pieces.select(F.col("doc_id").alias("_id"), F.col("row_key").alias("_key"), "place", F.col("size").alias("_size"), F.col("first").alias("_first"), F.col("last").alias("_last")))
-    keyed = docs.withColumn("_row_key", F.xxhash64("doc_id", "source", "text"))
-    repeats = pieces.groupBy(*on).agg(F.count_distinct("place").alias("n")).where("n > 1")
-    if repeats.isEmpty():
-        pieces, keyed = pieces.withColumn("_piece_no", F.lit(1)), keyed.withColumn("_no", F.lit(1))
-    else:
-        pieces = pieces.withColumn("_piece_no", F.dense_rank().over(Window.partitionBy(*on).orderBy("place")))
-        keyed = keyed.withColumn("_no", F.row_number().over(Window.partitionBy("doc_id", "_row_key").orderBy(F.lit(1))))
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_row_key") == F.col("_key")) & (F.col("_no") == F.col("_piece_no"))
-    cut = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), (F.col("_first") + 1).cast("int"), (F.col("_last") - F.col("_first")).cast("int")), " ")
-    text = F.when((F.col("_first") == 0) & (F.col("_last") == F.col("_size")), F.col("text")).otherwise(cut)
-    out = keyed.join(pieces.hint("shuffle_hash"), same).withColumn("text", text)
+    pieces = pieces.select(F.col("doc_id").alias(name["id"]), F.col("row_key").alias(name["key"]), *(F.col(n).alias(name[n]) for n in ("place", "size", "first", "last")))
+    pieces = materialize(pieces)
+    on = [name["id"], name["key"]]
+    keyed = docs.withColumn(name["row_key"], F.xxhash64("doc_id", "source", "text"))
+    of = F.col("doc_id").eqNullSafe(F.col(name["id"])) & (F.col(name["row_key"]) == F.col(name["key"]))
+    if not pieces.groupBy(*on).agg(F.count_distinct(name["place"]).alias("n")).where("n > 1").isEmpty():
+        number = free_name(docs, "_number")
+        pieces = pieces.withColumn(number, F.dense_rank().over(Window.partitionBy(*on).orderBy(name["place"])))
+        order = [F.to_json(F.struct(F.col(quoted(c)).alias("v"))) for c in docs.columns if c not in ("doc_id", "source", "text")] or [F.lit(1)]
+        keyed = keyed.withColumn(name["no"], F.row_number().over(Window.partitionBy("doc_id", name["row_key"]).orderBy(*order)))
+        of &= F.col(name["no"]) == F.col(number)
+    words = F.regexp_extract_all("text", F.lit(WORD), F.lit(0))
+    first, last = F.col(name["first"]), F.col(name["last"])
+    cut = F.array_join(F.slice(words, (first + 1).cast("int"), (last - first).cast("int")), " ")
+    out = keyed.join(pieces.hint("shuffle_hash"), of)
+    out = out.withColumn("text", F.when((first == 0) & (last == F.col(name["size"])), F.col("text")).otherwise(cut))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    return out.select(*map(quoted, docs.columns))

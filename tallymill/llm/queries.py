@@ -10,8 +10,9 @@ from .common import table
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
-#: Words that put a host's pages on the block list.
-BLOCK_TERMS = ("adult", "ads", "bets", "casino", "pills", "spam")
+#: The block list's rule: its hosts, their sections, and the number below which pages are listed. It knows nothing of the table that is judged.
+BLOCK_HOSTS = tuple(f"{name}.example.{end}" for name in ("ads-track", "adult-x", "casino-win", "cheap-pills", "free-bets", "spam-farm") for end in ("com", "net", "org"))
+BLOCK_SECTIONS, BLOCK_NUMBERS = ("de", "en", "es", "fr"), 10_000
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
@@ -31,7 +32,7 @@ def op2_va_file(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages", "page_id", "url")
-    judged = urlfilter.judge(pages, RULES, urlfilter.list_by_terms(pages, BLOCK_TERMS))
+    judged = urlfilter.judge(pages, RULES, urlfilter.url_list(spark, BLOCK_HOSTS, BLOCK_SECTIONS, BLOCK_NUMBERS))
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
@@ -95,7 +96,8 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5""",
     "op3_url_filter": f"""
 WITH u AS ({_HOST_PATH}),
 k AS (SELECT *, concat(regexp_replace(host, '^(www|m)\\.', ''), regexp_replace(path, '/+$', '')) AS url_key FROM u),
-listed AS (SELECT DISTINCT url_key FROM k WHERE regexp_matches(host, '(^|[.-])({"|".join(BLOCK_TERMS)})([.-]|$)')),
+listed AS (SELECT h || '/' || s || '/' || n || CASE WHEN n % 4 = 2 THEN '.html' ELSE '' END AS url_key
+  FROM (SELECT unnest({list(BLOCK_HOSTS)}) AS h), (SELECT unnest({list(BLOCK_SECTIONS)}) AS s), range(0, {BLOCK_NUMBERS}, 2) AS r(n)),
 ruled AS (SELECT k.*, CASE
     WHEN (host = 'example.org' OR host LIKE '%.example.org') AND starts_with(path, '/en/1') THEN 'example.org/en/1'
     WHEN (host = 'example.org' OR host LIKE '%.example.org') AND starts_with(path, '/es/') THEN 'example.org/es/'

@@ -1,15 +1,17 @@
 """Main text of pages by equivalence classes of tokens.
 
 A page's tokens are its elements, by path, and its text blocks, by path and text. On each host, tokens that occur the
-same number of times on the same pages have one occurrence vector; it is kept as three sums over pages (pages, count,
-count times the page's hash), so classes come from a plain aggregation and no host's pages are gathered. Classes on at
-least SHARE of the host's pages that aren't empty are candidates, whatever their counts. They nest by support: a token
-stands in the slot between the nearest tokens, elements or texts, that are once a page in classes of more pages (or as
-many, if it is not once a page itself). Where it stands (slot, and its number among the tokens of its class there) is counted over pages; a token is the template's
-at the places where it stands on SHARE of the pages. So a class is taken apart by slots, and what is out of order or
-strays over slots isn't template. Text blocks at a place of the template are constant and go; the rest is kept if it
-lies in the article and not in an element that is marked as a menu, header, footer, sidebar, notice, advert, form or
-comment.
+same number of times on the same pages have one occurrence vector; it is kept as sums over pages (pages, count, and
+count times each of two hashes of the page), so classes come from a plain aggregation and no host's pages are gathered.
+Copies, pages of a host that differ in digits alone, count as one page. Classes on at least SHARE of the host's pages
+that aren't empty are candidates, whatever their counts. They nest by support: a token stands in the slot between the
+nearest tokens, elements or texts, that are once a page in classes of more pages (or as many, if it is not once a page
+itself). Where it stands (slot, and its number among the tokens of its class there) is counted over pages; a token is
+the template's at the places where it stands on SHARE of the pages. So a class is taken apart by slots, and what is out
+of order or strays over slots isn't template.
+
+What the template leaves are the slots' texts. Those of the article are kept: in a main or article element if the page
+has one, and not in an element that is marked as a menu, header, footer, sidebar, notice, advert, form or comment.
 """
 
 from __future__ import annotations
@@ -25,15 +27,17 @@ from pyspark.sql import functions as F
 from .common import materialize, slices, small_side
 from .urlfilter import host_path
 
-MIN_PAGES = 5
+#: Pages that a host must have for a template: one page alone repeats nothing.
+MIN_PAGES = 2
 #: Part of a host's pages that a class, and a place of a token, must be on.
 SHARE = 0.5
-#: Fixed values of HTML: elements that break text into blocks, that have no content, whose content isn't text for readers.
+#: Fixed values of HTML: elements that break text into blocks, that have no content, whose content is no markup and not for readers.
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead title tr ul".split())
+BLOCKS_BUT_P = BLOCKS - {"p"}
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = "script|style|noscript|template|svg|iframe|textarea|select|object|canvas|math|head"
+RAW = ("script", "style", "template", "iframe", "textarea", "title", "noembed", "noframes")
 #: Elements, roles and words in class or id that mark what isn't the article.
-OUTSIDE = frozenset("nav footer aside form button dialog menu label fieldset".split())
+OUTSIDE = frozenset("nav footer aside form button dialog menu label fieldset select svg".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog form menu menubar".split())
 WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner sidebar menu nav navbar navigation breadcrumb "
@@ -45,9 +49,10 @@ ROOTS = frozenset("html body main article".split())
 #: In a class or id: what says that a page has, or hasn't, the thing named behind it or before it.
 BEFORE, AFTER = frozenset("has no not with without".split()), frozenset("enabled disabled on off open closed visible hidden".split())
 PIECE = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<({RAW})\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>|<[!?][^>]*>",
-    re.DOTALL | re.IGNORECASE,
+    r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>|<[!?][^>]*>",
+    re.DOTALL,
 )
+ENDS = {tag: re.compile(rf"</{tag}\s*>", re.IGNORECASE) for tag in RAW}
 ATTRIBUTE = re.compile(r"""(class|id|role|style|hidden|aria-hidden)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.IGNORECASE)
 WORD = re.compile(r"[a-z]+")
 
@@ -84,28 +89,36 @@ def _marks(tag: str, attributes: str) -> tuple[bool, str, bool, str]:
     return outside, by, tag == "header" or "header" in words and tag not in ROOTS, ".".join([tag, *names])
 
 
-def parse(page: str) -> list[tuple[str, str, bool, int]]:
-    """Text blocks of a page in order: (path, text, outside, depth of article 0, main 1, body 2).
+Block = tuple[int, str, bool, int]
+#: Elements within a line: one outside the article, whose text is passed over, and one marked by words, a block of its own.
+MUTED, APART = 1, 2
 
-    A mark by words alone doesn't hold for an element that has the page's article: an article or main, or without any an
-    h1, with more than half of the text.
+
+def parse(page: str) -> tuple[list[Block], list[tuple[int, int]]]:
+    """A page's text blocks in order: (path, text, outside, depth of article 0, main 1, body 2); and its elements: (number of text blocks before, path).
+
+    Paths are hashes of the elements from the root on. End tags may be left out: a block ends an open p, list items and
+    cells end their like, and an element's end closes what is open in it. Content of RAW elements is passed over up to
+    their end tag; without one, a script or style takes the rest of the page and others take nothing. An element ended
+    by /> has no content, blocks excepted. A mark by words alone doesn't hold for an element that has the page's article:
+    an article or main, or without any an h1, with more than half of the text.
     """
-    out: list[tuple[str, str, bool, int, tuple[int, ...], tuple[int, ...]]] = []
-    stack: list[tuple[str, str, bool, int, tuple[int, ...], tuple[int, ...]]] = [("", "", False, 2, (), ())]
+    out: list[tuple[int, str, bool, int, tuple[int, ...], tuple[int, ...]]] = []
+    stack: list[tuple[str, int, bool, int, tuple[int, ...], tuple[int, ...], int]] = [("", 0, False, 2, (), (), 0)]
     marked: list[bool] = []  # of the elements marked by words: whether one has a heading
     roots: list[tuple[int, ...]] = []  # of the articles and mains: the marked elements around one
     held: list[str] = []
-    tokens: list[tuple[int, str]] = []  # elements with the number of text blocks before
-    last = 0
+    elements: list[tuple[int, int]] = []
+    endless: set[str] = set()
 
     def flush():
         text = " ".join(markup.unescape("".join(held)).split()) if held else ""
         held.clear()
         if text:
             top = stack[-1]
-            out.append((top[1], text, *top[2:]))
+            out.append((top[1], text, *top[2:6]))
 
-    def pop_to(tag: str, stop: tuple[str, ...]) -> None:
+    def pop_to(tag: str, stop) -> None:
         for i in range(len(stack) - 1, 0, -1):
             if stack[i][0] == tag:
                 del stack[i:]
@@ -113,43 +126,56 @@ def parse(page: str) -> list[tuple[str, str, bool, int]]:
             if stack[i][0] in stop:
                 return
 
-    for m in PIECE.finditer(page):
-        if m.start() > last:
-            held.append(page[last : m.start()])
-        last = m.end()
-        tag = m[3] or m[6]
+    at = 0
+    while m := PIECE.search(page, at):
+        if m.start() > at and stack[-1][6] != MUTED:
+            held.append(page[at : m.start()])
+        at = m.end()
+        tag = m[2] or m[5]
         if not tag:
-            if m[1]:
-                held.append(" ")
             continue
-        tag, close, attributes = tag.lower(), m[2] or m[5], m[4] if m[3] else m[7]
+        tag, close, attributes = tag.lower(), m[1] or m[4], (m[3] if m[2] else m[6]) or ""
         if tag == "br":
             held.append(" ")
             continue
+        empty = attributes.rstrip().endswith("/")
+        if tag in ENDS:
+            held.append(" ")
+            if not close and (tag in ("script", "style") or not empty):
+                end = None if tag in endless else ENDS[tag].search(page, at)
+                if end:
+                    at = end.end()
+                elif tag in ("script", "style"):
+                    at = len(page)
+                else:
+                    endless.add(tag)
+            continue
         block = tag in BLOCKS
         if block:
             flush()
         if close:
             if stack[-1][0] == tag:
+                if stack[-1][6] == APART:
+                    flush()
                 stack.pop()
             else:
                 pop_to(tag, ("article", "body") if tag not in ("body", "html", "article") else ())
             continue
-        if tag in VOID:
+        if tag in VOID or empty and not block:
             continue
         if block:
-            pop_to("p", tuple(BLOCKS - {"p"}))
+            pop_to("p", BLOCKS_BUT_P)
             if tag in ("li", "dt", "dd", "tr", "td", "th"):
                 pop_to(tag, ("ul", "ol", "dl", "table"))
         above = stack[-1]
-        outside, by, outer, name = _marks(tag, attributes or "")
+        outside, by, outer, name = _marks(tag, attributes)
         kind = 0 if tag == "article" else min(above[3], 1) if tag == "main" else above[3]
-        if attributes and attributes.rstrip().endswith("/") and not block:
+        if not block and not by:
+            stack.append((tag, *above[1:6], MUTED if outside or above[6] == MUTED else 0))
             continue
-        if not block and not outside and not by:
-            stack.append((tag, *above[1:]))
-            continue
-        outside = above[2] or outside or by == "comment" or (outer and above[3] == 2)
+        if not block:
+            flush()
+        outside = above[2] or outside or above[6] == MUTED or by == "comment" or (outer and above[3] == 2)
         around, within = above[4], above[5]
         if tag in ("article", "main") and not outside:
             within = (*within, len(roots))
@@ -160,17 +186,16 @@ def parse(page: str) -> list[tuple[str, str, bool, int]]:
         if tag == "h1":
             for i in around:
                 marked[i] = True
-        path = f"{above[1]}/{name}" if tag != above[0] or tag == "div" else above[1]
-        stack.append((tag, path[-200:], outside, kind, around, within))
-        tokens.append((len(out), path))
-    if last < len(page):
-        held.append(page[last:])
+        path = xxhash.xxh64_intdigest(f"{above[1]} {name}")
+        stack.append((tag, path, outside, kind, around, within, 0 if block else APART))
+        elements.append((len(out), path))
+    if stack[-1][6] != MUTED:
+        held.append(page[at:])
     flush()
-    parse.tokens = tokens
-    held_by = [0] * len(marked)
-    held_in = [0] * len(roots)
-    total = 0
-    for _, text, outside, _, around, within in out if marked else ():
+    if not marked:
+        return [b[:4] for b in out], elements
+    held_by, held_in, total = [0] * len(marked), [0] * len(roots), 0
+    for _, text, outside, _, around, within in out:
         if not outside:
             total += len(text)
             for i in around:
@@ -180,17 +205,17 @@ def parse(page: str) -> list[tuple[str, str, bool, int]]:
     real = {i for around, n in zip(roots, held_in) if 2 * n > total for i in around}
     if not roots:
         real = {i for i, n in enumerate(held_by) if marked[i] and 2 * n > total}
-    return [(path, text, outside or not real.issuperset(around), kind) for path, text, outside, kind, around, _ in out]
+    return [(path, text, outside or not real.issuperset(around), kind) for path, text, outside, kind, around, _ in out], elements
 
 
-def _token(path: str, text: str = "") -> int:
+def _token(path: int, text: str = "") -> int:
     return xxhash.xxh64_intdigest(f"{path}\n{text}") >> 1
 
 
-def events(blocks: list[tuple[str, str, bool, int]], elements: list[tuple[int, str]]) -> list[tuple[int, int]]:
+def events(blocks: list[Block], elements: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """Tokens of a page in order, each with the number of its text block, or -1 for an element."""
     out, at = [], 0
-    for before, path in [*elements, (len(blocks), "")]:
+    for before, path in [*elements, (len(blocks), 0)]:
         out += [(_token(blocks[i][0], blocks[i][1]), i) for i in range(at, before)]
         at = before
         out.append((_token(path), -1))
@@ -223,37 +248,33 @@ def places(page: list[tuple[int, int]], classes: dict[int, tuple[int, int, bool]
     return out
 
 
-def main_text(blocks: list[tuple[str, str, bool, int]], constant: set[int] | None = None) -> str:
-    """The article's blocks: those of articles, else of main, else of the body; constant ones, by number, go unless they are most of it."""
+def main_text(blocks: list[Block], constant: set[int] | frozenset[int] = frozenset()) -> str:
+    """The article's blocks: those of articles and main, if the page has such an element with text, else of the body; without constant ones, by number."""
     inside = [(i, b) for i, b in enumerate(blocks) if not b[2]]
-    if inside:
-        kind = min(b[3] for _, b in inside)
-        inside = [x for x in inside if x[1][3] == kind]
-    if constant:
-        slots = [x for x in inside if x[0] not in constant]
-        if 2 * len(slots) >= len(inside):
-            inside = slots
-    return "\n".join(b[1] for _, b in inside)
+    if any(b[3] < 2 for _, b in inside):
+        inside = [x for x in inside if x[1][3] < 2]
+    return "\n".join(b[1] for i, b in inside if i not in constant)
 
 
 def _token_rows(batches):
     """Sums for each host and token of a batch."""
-    for b in slices(batches, 2):
+    for b in slices(batches, 3):
         sums: dict[tuple[str, int], list[int]] = {}
-        for host, page, data in zip(*(c.to_pylist() for c in b.columns)):
+        for host, one, two, data in zip(*(c.to_pylist() for c in b.columns)):
             counts: dict[int, int] = {}
-            for t, _ in events(parse(data.decode("utf-8", "replace")), parse.tokens):
+            for t, _ in events(*parse(data.decode("utf-8", "replace"))):
                 counts[t] = counts.get(t, 0) + 1
             if counts:
                 counts[0] = 1  # the page itself
             for t, n in counts.items():
-                s = sums.setdefault((host, t), [0, 0, 0])
+                s = sums.setdefault((host, t), [0, 0, 0, 0])
                 s[0] += 1
                 s[1] += n
-                s[2] = (s[2] + n * (page & (2**40 - 1))) % 2**61
+                s[2] = (s[2] + n * (one & (2**40 - 1))) % 2**61
+                s[3] = (s[3] + n * (two & (2**40 - 1))) % 2**61
         keys = list(sums)
-        cols = [pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int64()), *(pa.array([sums[k][i] for k in keys], pa.int64()) for i in range(3))]
-        yield pa.RecordBatch.from_arrays(cols, names=["host", "token", "pages", "count", "vector"])
+        cols = [pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int64()), *(pa.array([sums[k][i] for k in keys], pa.int64()) for i in range(4))]
+        yield pa.RecordBatch.from_arrays(cols, names=["host", "token", "pages", "count", "one", "two"])
 
 
 def _classes(tokens, kinds, pages, counts) -> dict[int, tuple[int, int, bool]]:
@@ -268,7 +289,7 @@ def _place_rows(batches):
         for host, data, *arrays in zip(*(c.to_pylist() for c in b.columns)):
             if host != last:
                 last, classes = host, _classes(*arrays)
-            for place in {x for x, _ in places(events(parse(data.decode("utf-8", "replace")), parse.tokens), classes)}:
+            for place in {x for x, _ in places(events(*parse(data.decode("utf-8", "replace"))), classes)}:
                 sums[host, place] = sums.get((host, place), 0) + 1
         cols = [pa.array([k[0] for k in sums], pa.string()), pa.array([k[1] for k in sums], pa.int64()), pa.array(list(sums.values()), pa.int64())]
         yield pa.RecordBatch.from_arrays(cols, names=["host", "place", "pages"])
@@ -277,20 +298,30 @@ def _place_rows(batches):
 ARRAYS = ["tokens", "kinds", "pages", "counts"]
 
 
+def distinct_pages(pages: DataFrame) -> DataFrame:
+    """pages (page_id, host, html) without those that differ from one of smaller page_id on their host in digits alone."""
+    rows = pages.withColumn("like", F.xxhash64(F.regexp_replace("html", "[0-9]+", "0")))
+    groups = rows.groupBy(F.col("host").alias("on"), F.col("like").alias("as")).agg(F.count("*").alias("n"), F.min("page_id").alias("first"))
+    again = small_side(materialize(groups.where("n > 1 and first is not null").drop("n")), "on")
+    rows = rows.join(again, (F.col("host") == F.col("on")) & (F.col("like") == F.col("as")), "left")
+    return rows.where("first is null or page_id = first").select("page_id", "host", "html")
+
+
 def templates(pages: DataFrame, min_pages: int = MIN_PAGES, share: float = SHARE) -> DataFrame:
     """(host, tokens, kinds, pages, counts, places), arrays: for each host of at least min_pages pages that aren't empty, its classes and the places of its template.
 
     What is on a share of the pages is no more than a page's tokens divided by the share, so a host's row is small
-    however many pages it has. pages has page_id, host and html.
+    however many pages it has. pages has page_id, host and html; rows that repeat an id and its html count each.
     """
     raw = F.coalesce(F.col("html").cast("binary"), F.lit(b"")).alias("raw")
-    rows = pages.select("host", F.xxhash64("page_id", "html").alias("page"), raw)
-    sums = rows.mapInArrow(_token_rows, "host string, token bigint, pages bigint, count bigint, vector bigint")
-    vector = F.pmod(F.sum(F.col("vector").cast("decimal(38,0)")), F.lit(2**61).cast("decimal(38,0)")).cast("bigint")
-    sums = materialize(sums.groupBy("host", "token").agg(F.sum("pages").alias("pages"), F.sum("count").alias("count"), vector.alias("vector")))
+    pages = distinct_pages(pages)
+    rows = pages.select("host", F.xxhash64("page_id", "html").alias("one"), F.xxhash64(F.lit(1), "page_id", "html").alias("two"), raw)
+    sums = rows.mapInArrow(_token_rows, "host string, token bigint, pages bigint, count bigint, one bigint, two bigint")
+    total = lambda c: F.pmod(F.sum(F.col(c).cast("decimal(38,0)")), F.lit(2**61).cast("decimal(38,0)")).cast("bigint").alias(c)
+    sums = materialize(sums.groupBy("host", "token").agg(F.sum("pages").alias("pages"), F.sum("count").alias("count"), total("one"), total("two")))
     least = sums.where("token = 0").where(F.col("pages") >= min_pages).select("host", F.greatest(F.lit(min_pages), F.ceil(F.col("pages") * share)).alias("least"))
     often = sums.where("token <> 0").join(least, "host").where("pages >= least")
-    each = F.collect_list(F.struct("token", F.xxhash64("pages", "count", "vector").alias("kind"), "pages", "count"))
+    each = F.collect_list(F.struct("token", F.xxhash64("pages", "count", "one", "two").alias("kind"), "pages", "count"))
     classes = materialize(often.groupBy("host", "least").agg(each.alias("l")).select("host", "least", *(F.col(f"l.{a[:-1] if a != 'pages' else a}").alias(a) for a in ARRAYS)))
     kept = pages.select("host", raw).join(small_side(classes, "host", *ARRAYS), "host").select("host", "raw", *ARRAYS)
     found = kept.mapInArrow(_place_rows, "host string, place bigint, pages bigint").groupBy("host", "place").agg(F.sum("pages").alias("n"))
@@ -301,9 +332,10 @@ def templates(pages: DataFrame, min_pages: int = MIN_PAGES, share: float = SHARE
 def extract(pages: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
     """(page_id, url, text, n_chars), a row per row of pages (page_id, url, html).
 
-    Null or empty html gives an empty text; a null url, or one without ://, has the empty host, whose pages form a host.
-    Pages of a host with fewer than min_pages have no template and keep all blocks of the article. Ids may be null or
-    repeat. Other columns are ignored. No rows in, none out.
+    Null or empty html gives an empty text, html of any length is read whole; a null url, or one without ://, has the
+    empty host, whose pages form a host. A host with fewer than min_pages pages has no template, and its pages keep all
+    blocks of the article. Ids may be null or repeat; of equal pages with different ids one shapes the template and all
+    get their text. Other columns are ignored. No rows in, none out.
     """
     rows = pages.select("page_id", "url", host_path(F.col("url"))[0].alias("host"), "html")
     known = small_side(materialize(templates(rows, min_pages)), "host", *ARRAYS, "places")
@@ -315,8 +347,8 @@ def extract(pages: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
             for host, data, found, *arrays in zip(*(b.column(i).to_pylist() for i in (2, 3, 8, 4, 5, 6, 7))):
                 if found and host != last:
                     last, classes, valid = host, _classes(*arrays), frozenset(found)
-                blocks = parse(data.decode("utf-8", "replace"))
-                constant = {i for x, i in places(events(blocks, parse.tokens), classes) if x in valid} if found else None
+                blocks, elements = parse(data.decode("utf-8", "replace"))
+                constant = {i for x, i in places(events(blocks, elements), classes) if x in valid} if found else frozenset()
                 texts.append(main_text(blocks, constant))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 

@@ -1,9 +1,10 @@
 """Exact top-k by inner product with a vector-approximation file.
 
-Each component of a block's vectors is quantised to one of 64 cells of equal width. The inner product with a cell's
-centre differs from the true one by at most half of the sum of |query component| * cell width, so one matrix product
-over cells bounds all scores from both sides. Vectors whose upper bound is below the kth largest lower bound are out;
-the rest are read exactly in order of upper bound until the kth result so far exceeds every bound left.
+Each vector's components are quantised to cells of equal width, a byte each, as wide as its largest component asks. The
+file of cells is all that is scanned: the inner product with the cells' centres differs from the true one by at most
+half a cell width times the sum of the query's components, so it bounds the score from both sides. Vectors whose upper
+bound (the lower bound of a distance) is below the kth largest lower bound are out. Of the others, exact vectors are
+read in order of bound: the first FIRST of each query, then those whose bound still reaches its kth exact score.
 """
 
 from __future__ import annotations
@@ -14,44 +15,42 @@ from pyspark.sql import functions as F
 
 from . import blocks
 
-SCALE, K, EVERY, CELLS, READ = 256, 5, 50, 64, 32
-
-
-def kernel(k: int, cells: int = CELLS):
-    def run(qids, q, ids, x):
-        low = x.min(axis=0)
-        width = np.maximum((x.max(axis=0) - low) / cells, 1e-12)
-        cell = np.minimum(((x - low) / width).astype(np.uint8 if cells <= 256 else np.int32), cells - 1)
-        centre = low + (cell + 0.5) * width
-        exact, exact_q = x.astype(np.int64), q.astype(np.int64)
-        slack = np.abs(q) @ width / 2 + 1e-9 * (1 + np.abs(q).sum(axis=1) * np.abs(x).max())  # and rounding
-        for a in range(0, len(q), blocks.CHUNK):
-            near = q[a : a + blocks.CHUNK] @ centre.T
-            near[qids[a : a + blocks.CHUNK, None] == ids[None, :]] = -np.inf
-            for i, row in enumerate(near, a):
-                err = slack[i]
-                kth = np.partition(row, -k)[-k] if len(row) > k else -np.inf
-                left = np.flatnonzero((row >= kth - 2 * err) & (row > -np.inf))
-                left = left[np.argsort(-row[left], kind="stable")]
-                score = np.zeros(0, np.int64)
-                for at in range(0, len(left), READ):
-                    if at >= k and row[left[at]] + err < np.partition(score, -k)[-k]:
-                        break
-                    score = np.append(score, exact[left[at : at + READ]] @ exact_q[i])
-                seen = left[: len(score)]
-                top = blocks.best(score, ids[seen], k)
-                yield seen[top], score[top]
-
-    return run
+SCALE, K, EVERY, CELLS, FIRST = 256, 5, 50, 127, 8
+
+
+def encode(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Cell numbers from -CELLS to CELLS, cell widths, and the largest components."""
+    most = np.abs(x).max(axis=1)
+    width = np.where(most > 0, most / CELLS, 1.0)
+    return np.rint(x / width[:, None]).astype(np.int8), width, most
+
+
+def bounds(q: np.ndarray, codes):
+    """Lower and upper bounds of inner products of a slice of queries with a batch of codes; rounding is allowed for."""
+    cells = blocks.unpacked(codes.column("code"), np.int8).astype(np.float32).T
+    width, most = codes.column("scale").to_numpy(), codes.column("left").to_numpy()
+    reach, asked = np.abs(q).sum(axis=1), q.astype(np.float32)
+
+    def part(at: slice):
+        near = (asked[at] @ cells) * width
+        slack = reach[at, None] * (width * (0.5 + 1e-6) + most * 1e-6 * (1 + len(cells)))
+        return near - slack, near + slack
+
+    return part
+
+
+def exact(x: np.ndarray, q: np.ndarray) -> np.ndarray:
+    return (x.astype(np.int64) * q.astype(np.int64)).sum(axis=1)
 
 
 def top_k(rows: DataFrame, k: int = K, every: int = EVERY, scale: int = SCALE, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
-    """(query_id, rank, vec_id, score): for each id divisible by `every`, the k largest integer inner products of floor(scale * x).
+    """(query_id, rank, vec_id, score): for each row with an id divisible by `every`, the k largest integer inner products of floor(scale * x).
 
     Ties go to the smaller vec_id; fewer candidates give fewer rows. Null vectors, empty ones, and vectors with null or
-    non-finite components take no part, nor do rows without an id. An id on several rows stands for its least vector.
-    Vectors of different lengths are never compared. Other columns are ignored.
+    non-finite components take no part, nor do rows without an id. Rows that share an id are vectors of their own, and
+    queries of their own. Vectors of different lengths are never compared; of any length they are coded whole. Other
+    columns are ignored. No rows in, none out.
     """
     v = blocks.valid(rows, id_col, vec_col, nonzero=False)
-    v = v.select("vec_id", F.transform("vec", lambda x: F.floor(x * scale).cast("double")).alias("vec"))
-    return blocks.search(v, every, k, kernel(k), "bigint")
+    v = v.select("row", "vec_id", F.transform("vec", lambda x: F.floor(x * scale).cast("double")).alias("vec"))
+    return blocks.search(v, every, k, encode, bounds, exact, "bigint", FIRST)

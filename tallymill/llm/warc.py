@@ -13,6 +13,7 @@ from __future__ import annotations
 import hashlib
 import struct
 import uuid
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 import zstandard
@@ -20,7 +21,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, scratch_dir, small_side
+from .common import materialize, scratch_dir, slices, small_side
 
 #: Fixed values of the seekable format: skippable frame and footer magic numbers.
 SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1
@@ -122,6 +123,17 @@ class _Bundle:
         self.out.close()
 
 
+def record_id(page_id: str | None) -> str:
+    """A record's URN: the page's identifier as text, percent-encoded; a null one has a name of its own."""
+    return "urn:page" if page_id is None else f"urn:page:{quote(page_id, safe='')}"
+
+
+def page_of(urn: str) -> str | None:
+    """The identifier as text that record_id() was given."""
+    text = urn.strip("<>").removeprefix("urn:page")
+    return unquote(text[1:]) if text else None
+
+
 INDEX = "page_id {id}, bundle string, frame int, frame_offset bigint, frame_bytes bigint, record_offset bigint"
 
 
@@ -131,14 +143,19 @@ def write(pages: DataFrame, folder: str) -> DataFrame:
     A null html is an empty payload and a null url an empty one. Of equal payloads of at least REVISIT_FROM bytes, the
     least page_id's is the response; null ids come last, and rows that share the least id are all responses. Bundles
     have names of their own for each attempt of a task, and the index names those of attempts that succeeded alone.
-    Other columns are ignored; no rows make no bundle.
+    page_id may be of any type that has an order and a text. Other columns are ignored; no rows make no bundle; a payload
+    of any length is one record.
     """
     kind = pages.schema["page_id"].dataType.simpleString()
     raw = F.coalesce(F.col("html").cast("binary"), F.lit(b""))
     rows = pages.select("page_id", F.coalesce("url", F.lit("")).alias("url"), raw.alias("raw")).withColumn("digest", F.sha2("raw", 256))
-    equal = rows.where(F.octet_length("raw") >= REVISIT_FROM).groupBy("digest").agg(F.count("*").alias("n"), F.min("page_id").alias("first"))
-    equal = small_side(materialize(equal.where("n > 1").select("digest", "first")), "digest")
-    rows = rows.join(equal, "digest", "left").select("page_id", "url", "raw", "digest", "first")
+    keys = materialize(rows.where(F.octet_length("raw") >= REVISIT_FROM).select("page_id", "digest"))
+    equal = keys.groupBy("digest").agg(F.count("*").alias("n"), F.min("page_id").alias("first"))
+    equal = materialize(equal.where("n > 1 and first is not null").select("digest", "first"))
+    again = keys.join(small_side(equal, "digest"), "digest").where("page_id is null or page_id > first")
+    again = materialize(again.select(F.col("page_id").alias("of"), F.col("digest").alias("sum"), "first").distinct())
+    rows = rows.join(small_side(again, "sum"), F.col("page_id").eqNullSafe(F.col("of")) & (F.col("digest") == F.col("sum")), "left")
+    rows = rows.select("page_id", F.col("page_id").cast("string").alias("name"), "url", "raw", "digest", F.col("first").cast("string").alias("first"))
 
     def run(batches):
         bundle, mine = None, []
@@ -152,13 +169,12 @@ def write(pages: DataFrame, folder: str) -> DataFrame:
             cols += [pa.array([starts[x[1]] for x in mine], pa.int64()), pa.array([bundle.frames[x[1]][0] for x in mine], pa.int64()), pa.array([x[2] for x in mine], pa.int64())]
             return pa.RecordBatch.from_arrays(cols, names=["page_id", "bundle", "frame", "frame_offset", "frame_bytes", "record_offset"])
 
-        for b in batches:
+        for b in slices(batches, 3):
             pages_type = b.schema.field(0).type
-            for pid, url, data, digest, first in zip(*(c.to_pylist() for c in b.columns)):
+            for pid, name, url, data, digest, first in zip(*(c.to_pylist() for c in b.columns)):
                 bundle = bundle or _Bundle(folder)
-                again = first is not None and (pid is None or pid > first)
-                made = record(f"urn:page:{'' if pid is None else pid}", "revisit" if again else "response", url, data, digest, f"urn:page:{first}" if again else None)
-                mine.append((pid, *bundle.add(made)))
+                refers = None if first is None else record_id(first)
+                mine.append((pid, *bundle.add(record(record_id(name), "response" if first is None else "revisit", url, data, digest, refers))))
                 if bundle.total >= BUNDLE_BYTES:
                     yield closed()
                     bundle, mine = None, []
@@ -199,14 +215,15 @@ def read(spark: SparkSession, index: DataFrame) -> DataFrame:
                     full = head["WARC-Type"] == "response"
                     if full and (len(body) != length or hashlib.sha256(body).hexdigest() != digest):
                         raise ValueError(f"damaged record {head['WARC-Record-ID']} in {name}")
-                    number = lambda x: int(s) if (s := x.strip("<>").rpartition(":")[2]) else None
-                    rows.append((number(head["WARC-Record-ID"]), head["WARC-Target-URI"], head["WARC-Type"], None if full else number(head["WARC-Refers-To"]), length, digest, body if full else None))
-                types = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
+                    rows.append((page_of(head["WARC-Record-ID"]), head["WARC-Target-URI"], head["WARC-Type"], None if full else page_of(head["WARC-Refers-To"]), length, digest, body if full else None))
+                types = [pa.string(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=["page_id", "url", "record_type", "refers_to", "payload_bytes", "payload_digest", "payload"])
 
     bundles = index.select("bundle").distinct()
     places = bundles.mapInArrow(frames, "bundle string, at bigint, size bigint").repartition("bundle", "at")
-    return places.mapInArrow(records, "page_id bigint, url string, record_type string, refers_to bigint, payload_bytes bigint, payload_digest string, payload binary")
+    found = places.mapInArrow(records, "page_id string, url string, record_type string, refers_to string, payload_bytes bigint, payload_digest string, payload binary")
+    kind = index.schema["page_id"].dataType
+    return found.withColumns({c: F.col(c).cast(kind) for c in ("page_id", "refers_to")})
 
 
 def lookup(index: DataFrame, ids: DataFrame) -> DataFrame:
