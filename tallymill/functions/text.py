@@ -49,18 +49,56 @@ def low_signal(c: Column) -> Column:
 
 
 def redact(c: Column) -> Column:
-    """Quoted strings and compared numbers of a statement made anonymous."""
-    return F.regexp_replace(F.regexp_replace(c, r"N?'(?:[^']|'')*'", "'<REDACTED>'"), r"([=<>]\s*)\d+(?:\.\d+)?", "$1<N>")
+    """Quoted strings, compared numbers and numbers in IN lists of a statement made anonymous; a sign before a number goes with it."""
+    texts = F.regexp_replace(c, r"N?'(?:[^']|'')*'", "'<REDACTED>'")
+    compared = F.regexp_replace(texts, r"([=<>]\s*)-?\d+(?:\.\d+)?", "$1<N>")
+    parts = F.split(compared, r"(?i)(?<=\bin\s{0,9}\()", -1)  # behind each IN ( starts a part whose first bracket is its list
+    listed = lambda x: F.concat(F.regexp_replace(F.regexp_extract(x, r"^[^)]*", 0), r"-?\b\d+(?:\.\d+)?\b", "<N>"), F.regexp_replace(x, r"^[^)]*", ""))
+    return F.array_join(F.transform(parts, lambda x, i: F.when(i > 0, listed(x)).otherwise(x)), "")
 
 
 def mask_email(c: Column) -> Column:
     return F.regexp_replace(c, r"([A-Za-z0-9])[A-Za-z0-9._%+-]*@[A-Za-z0-9.-]+\.([A-Za-z]{2,})", "$1***@***.$2")
 
 
-def mask_pii(c: Column) -> Column:
-    """Emails, card numbers in four groups of four, and numbers of nine digits."""
-    cards = F.regexp_replace(mask_email(c), r"\b\d{4}[ -]\d{4}[ -]\d{4}[ -](\d{4})\b", "****-****-****-$1")
-    return F.when(c.rlike(r"^\d{9}$"), F.lit("*********")).otherwise(cards)
+#: Words in a column's name that say its values are phone numbers, or persons' names.
+PHONE_NAMES = ("phone", "tel", "mobile", "cellular", "fax")
+PERSON_NAMES = ("name", "first_name", "last_name", "full_name", "customer_name", "contact_name")
+
+
+def mask_pii(c: Column, column: str = "") -> Column:
+    """Personal data masked by the first kind that a value has: emails, card numbers, an identity number of nine digits, phone numbers, names.
+
+    Local phone numbers (0, area, seven digits) go anywhere; international ones, and values that look like a person's
+    name (two to four capitalised words), only in columns whose name says so.
+    """
+    card, local, abroad = r"\b\d{4}[ -]?\d{4}[ -]?\d{4}[ -]?\d{4}\b", r"\b0\d{1,2}[- ]?\d{3}[- ]?\d{4}\b", r"\+?\d[\d ()-]{6,}\d"
+    words = set(column.lower().replace("-", "_").split("_")) | {column.lower()}
+    out = F.when(c.rlike(r"[A-Za-z0-9._%+-]@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"), mask_email(c)).when(c.rlike(card), F.regexp_replace(c, card, "**** **** **** ****"))
+    out = out.when(F.trim(c).rlike(r"^\d{9}$"), "*********").when(c.rlike(local), F.regexp_replace(c, local, "***-***-****"))
+    if words & set(PHONE_NAMES):
+        out = out.when(c.rlike(abroad), F.regexp_replace(c, abroad, "***-***-****"))
+    if words & set(PERSON_NAMES):
+        out = out.when(F.trim(c).rlike(r"^\p{Lu}\p{L}+( \p{Lu}\p{L}+){1,3}$"), "***")
+    return out.otherwise(c)
+
+
+def mask_rtl(c: Column) -> Column:
+    """Runs of right-to-left letters become one [HE] and a blank; the ends are trimmed."""
+    return F.trim(F.regexp_replace(F.regexp_replace(c, "[\u0590-\u05FF\u0600-\u06FF]+", "[HE]"), r"(\[HE\]\s*)+", "[HE] "))
+
+
+#: Other names of dialects.
+DIALECTS = {
+    "bq": "bigquery", "sf": "snowflake", "pg": "postgres", "postgresql": "postgres", "sqlserver": "tsql", "sql_server": "tsql", "mssql": "tsql", "databricks": "databricks",
+}
+
+
+def dialect(c: Column) -> Column:
+    """A dialect's own name for any of its names; unknown ones pass, trimmed and lower-cased, blank ones are null."""
+    name = F.lower(F.trim(c))
+    table = F.create_map(*(F.lit(x) for pair in DIALECTS.items() for x in pair))
+    return F.when(name != "", F.coalesce(table[name], name))
 
 
 def strip_blocks(c: Column) -> Column:
@@ -80,5 +118,5 @@ def mention_score(text: Column, schema: str, table: str) -> Column:
     """3 for each schema.table, 2 for each table, 1 more if the table stands as a word; case aside, without overlaps."""
     low = F.lower(F.coalesce(text, F.lit("")))
     times = lambda k: ((F.length(low) - F.length(F.replace(low, F.lit(k), F.lit("")))) / len(k)).cast("long")
-    word = F.when(low.rlike(rf"\b{table.lower()}\b"), 1).otherwise(0)
+    word = F.when(low.rlike(rf"(?<![_\p{{L}}\p{{N}}]){table.lower()}(?![_\p{{L}}\p{{N}}])"), 1).otherwise(0)
     return 3 * times(f"{schema}.{table}".lower()) + 2 * times(table.lower()) + word

@@ -1,48 +1,140 @@
-"""References to tables and columns in statement texts, by patterns."""
+"""References to tables and columns in statement texts, by one pass over each text's tokens.
+
+No grammar is built: a text is cut into words and signs, the last clause word says what a name is, and brackets keep the
+clause outside them. Every statement is read by itself in its task, so the pass needs no shuffle.
+"""
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-NAME = r"[A-Za-z_][A-Za-z0-9_]*"
-#: Words that follow FROM or JOIN targets and are no aliases.
-KEYWORDS = ("on", "where", "join", "inner", "left", "right", "full", "cross", "group", "order", "having", "union", "limit", "using")
+#: What a text is cut into: texts and comments (dropped), names, numbers, other signs.
+TOKEN = re.compile(r"N?'(?:[^']|'')*'|--[^\n]*|/\*.*?\*/|(?P<quoted>\"[^\"]+\"|\[[^\]\s]+\]|`[^`]+`)|(?P<name>[^\W\d][\w$#@]*)|[\d.]*\d\w*|(?P<sign>[^\s\w])", re.DOTALL)
+#: Words that begin a clause, that take a table, and that are no names of columns or aliases.
+CLAUSES = {"select": "select", "where": "where", "on": "join_on", "group": "group_by", "order": "order_by", "having": "", "limit": "", "offset": "", "values": "", "union": "", "set": "where"}
+TAKES_TABLE = frozenset("from join into update".split())
+WORDS = frozenset(
+    "all and any apply as asc between by case cast collate cross current delete desc distinct else end escape except exists false fetch first following for full "
+    "ilike in inner insert intersect interval is last lateral left like merge natural next not null nulls only or outer over partition preceding range recursive "
+    "regexp right rlike row rows some table then top true unbounded using when window with".split()
+)
+KEYWORDS = WORDS | CLAUSES.keys() | TAKES_TABLE
+
+
+def tokens(text: str) -> list[tuple[str, list[str] | str]]:
+    """('name', segments), ('word', lower-cased keyword), ('sign', sign) or ('value', '') in order; blanks round a name's dots don't matter."""
+    out: list[tuple[str, list[str] | str]] = []
+    dotted = False
+    for m in TOKEN.finditer(text):
+        if m["sign"] == "." and out and out[-1][0] == "name":
+            dotted = True
+        elif m["quoted"] or m["name"]:
+            name = m["name"] or m["quoted"][1:-1]
+            if dotted:
+                out[-1][1].append(name.lower())
+            elif m["name"] and name.lower() in KEYWORDS:
+                out.append(("word", name.lower()))
+            else:
+                out.append(("name", [name.lower()]))
+            dotted = False
+        elif m[0].startswith(("--", "/*")):
+            continue
+        else:
+            out.append(("sign", m["sign"]) if m["sign"] else ("value", ""))
+            dotted = False
+    return out
+
+
+def references(text: str | None) -> tuple[list[tuple[str, str]], list[tuple[str, str, str]]]:
+    """A statement's tables (key, alias) in order, and its columns (role, key, name).
+
+    A key is the last two segments of a table's name. A column's qualifier is an alias or the end of a table's name;
+    without one, or with an unknown one, the column counts for the first table that the statement reads. Names behind AS or behind
+    another name are aliases; what stands before a bracket is a function; names of WITH are no tables. Columns of
+    INSERT INTO t (...) count as selected.
+    """
+    found = tokens(text or "")
+    tables: list[tuple[str, str]] = []
+    columns: list[tuple[str, str, str]] = []
+    named: set[str] = set()
+    clause, stack, want, insert, into, written = "", [], "", False, "", -1
+    at = lambda i: found[i] if 0 <= i < len(found) else ("", "")
+    for i, (kind, value) in enumerate(found):
+        before, after = at(i - 1), at(i + 1)
+        if kind == "word":
+            if value in TAKES_TABLE:
+                clause, want, insert = "", "table", value == "into"
+            elif value in CLAUSES:
+                clause, want = CLAUSES[value], ""
+            elif value == "partition":
+                clause = ""
+        elif kind == "sign":
+            if value == "(":
+                stack.append((clause, want))
+                if insert and want == "columns":
+                    clause, written = "select", len(stack)
+                insert, want = False, ""
+            elif value == ")" and stack:
+                written = -1 if len(stack) == written else written
+                clause, want = stack.pop()
+            elif value == "," and want == "alias":
+                want = "table"
+        elif kind == "name":
+            if after == ("word", "as") and at(i + 2) == ("sign", "(") and len(value) == 1 and not want:
+                named.add(value[0])
+            elif want == "table":
+                if value[0] not in named or len(value) > 1:
+                    tables.append((".".join(value[-2:]), value[-1]))
+                want, into = ("columns", tables[-1][0]) if insert and tables else ("alias", into)
+            elif want == "alias":
+                if (before[0] == "name" or before == ("word", "as")) and tables:
+                    tables[-1] = (tables[-1][0], value[0])
+            elif clause and after != ("sign", "("):
+                alias = before == ("word", "as") or before[0] in ("name", "value") or before in (("sign", ")"), ("word", "end"))
+                if alias:
+                    named.add(value[0])
+                elif len(value) > 1:
+                    columns.append((clause, value[-2], value[-1]))
+                elif value[0] not in named:
+                    columns.append((clause, "" if len(stack) != written else "(", value[0]))
+    known = {name: key for key, alias in reversed(tables) for name in (key.rpartition(".")[2], alias)}
+    known |= {alias: key for key, alias in reversed(tables)}
+    known |= {"(": into}
+    first = next((key for key, _ in tables if key != into), into or None)
+    return tables, [(role, known.get(alias, first), name) for role, alias, name in columns]
+
+
+def _rows(log: DataFrame, sql: str, part: int, schema: str) -> DataFrame:
+    """A row for each reference of a kind: (stmt, pos, ...)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            hits = [(i, n, *ref) for i, text in enumerate(b.column(1).to_pylist()) for n, ref in enumerate(references(text)[part])]
+            cols = list(zip(*hits)) or [()] * len(names)
+            who = b.column(0).take(pa.array(cols[0], pa.int64()))
+            yield pa.RecordBatch.from_arrays([who, pa.array(cols[1], pa.int32()), *(pa.array(c, pa.string()) for c in cols[2:])], names=names)
+
+    names = [c.split()[0] for c in schema.split(", ")]
+    return log.select("stmt", sql).mapInArrow(run, schema.format(kind=log.schema["stmt"].dataType.simpleString()))
 
 
 def table_refs(log: DataFrame, sql: str = "sql") -> DataFrame:
-    """(stmt, pos, table_key, alias): a row for each FROM or JOIN target, in order; keys are the last two segments, lower-cased."""
-    pattern = rf"(?i)\b(?:from|join)\s+({NAME}(?:\.{NAME}){{0,2}})(?:\s+(?:as\s+)?({NAME}))?"
-    found = F.regexp_extract_all(sql, F.lit(pattern), F.lit(0))
-    rows = log.select("stmt", F.posexplode(found).alias("pos", "hit"))
-    name, alias = F.regexp_extract("hit", pattern, 1), F.lower(F.regexp_extract("hit", pattern, 2))
-    key = F.lower(F.substring_index(name, ".", -2))
-    return rows.select("stmt", "pos", key.alias("table_key"), F.when(alias.isin(*KEYWORDS) | (alias == ""), F.lower(F.substring_index(name, ".", -1))).otherwise(alias).alias("alias"))
+    """(stmt, pos, table_key, alias): a row for each table that is read or written, in order; keys are the last two segments, lower-cased."""
+    return _rows(log, sql, 0, "stmt {kind}, pos int, table_key string, alias string")
 
 
 def column_refs(log: DataFrame, sql: str = "sql") -> DataFrame:
-    """(stmt, role, alias, name): dotted names in the SELECT list, after WHERE, and in ON, GROUP BY and ORDER BY clauses."""
-    clause = {
-        "select": r"(?is)\bselect\b(.*?)\bfrom\b", "where": r"(?is)\bwhere\b(.*?)(?=\bgroup\s+by\b|\border\s+by\b|\bhaving\b|\z)",
-        "join_on": r"(?is)\bon\b(.*?)(?=\bwhere\b|\bjoin\b|\bgroup\s+by\b|\border\s+by\b|\z)", "group_by": r"(?is)\bgroup\s+by\b(.*?)(?=\bhaving\b|\border\s+by\b|\z)",
-        "order_by": r"(?is)\border\s+by\b(.*?)(?=\blimit\b|\z)",
-    }
-    dotted = rf"\b({NAME})\.({NAME})\b"
-    parts = F.explode(F.array(*(F.struct(F.lit(role).alias("role"), F.array_join(F.regexp_extract_all(sql, F.lit(p), F.lit(1)), " ").alias("text")) for role, p in clause.items())))
-    rows = log.select("stmt", parts.alias("c")).select("stmt", "c.role", F.explode(F.regexp_extract_all("c.text", F.lit(dotted), F.lit(0))).alias("hit"))
-    return rows.select("stmt", "role", F.lower(F.substring_index("hit", ".", 1)).alias("alias"), F.lower(F.substring_index("hit", ".", -1)).alias("name"))
-
-
-def resolve(columns: DataFrame, tables: DataFrame) -> DataFrame:
-    """(stmt, role, table_key, name): aliases replaced by their tables; an unknown alias stands for the statement's first table."""
-    known = tables.groupBy("stmt", "alias").agg(F.min(F.struct("pos", "table_key")).alias("t"))
-    first = tables.groupBy("stmt").agg(F.min(F.struct("pos", "table_key")).alias("f"))
-    out = columns.join(known, ["stmt", "alias"], "left").join(first, "stmt", "left")
-    return out.select("stmt", "role", F.coalesce("t.table_key", "f.table_key").alias("table_key"), "name")
+    """(stmt, pos, role, table_key, name): a row for each column in SELECT lists and INSERT columns, after WHERE, and in ON, GROUP BY and ORDER BY clauses."""
+    return _rows(log, sql, 1, "stmt {kind}, pos int, role string, table_key string, name string")
 
 
 def outcome(log: DataFrame, sql: str = "sql") -> DataFrame:
-    """(stmt, outcome): skipped_empty, regex or empty."""
+    """(stmt, outcome): skipped_empty for blank texts and lone comments, regex where a table stands behind FROM, JOIN, INTO or UPDATE, else empty."""
     text = F.trim(F.coalesce(F.col(sql), F.lit("")))
-    kind = F.when((text == "") | text.startswith("--"), "skipped_empty").when(text.rlike(rf"(?i)\b(from|join)\s+{NAME}"), "regex").otherwise("empty")
+    kind = F.when((text == "") | text.startswith("--"), "skipped_empty").when(text.rlike(r"(?i)\b(from|join|into|update)\s+[\"\[`]?\w"), "regex").otherwise("empty")
     return log.select("stmt", kind.alias("outcome"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.scratch import free_name, materialize
+
 
 def ladder(value: Column, steps: list[tuple[float, object]], otherwise) -> Column:
     """The first step's result whose bound the value reaches, bounds falling; null values get the last."""
@@ -77,15 +79,27 @@ def width_outliers(rows: DataFrame, domain: str, width: str, sigmas: float = 2.0
     return rows.join(stats, domain).where(F.col(width) > F.col("mean") + sigmas * F.col("deviation")).select(*rows.columns)
 
 
-def waves(rows: DataFrame, domain: str, order: list[Column | str], per_wave: int, most: int) -> DataFrame:
-    """rows with a wave number: domains by their earliest row, each cut into chunks of per_wave.
+def positions(rows: DataFrame, order: list[Column | str], name: str = "position") -> DataFrame:
+    """rows with their number in an order, from 1: ranges of the order are dealt to tasks, numbered inside, and shifted by the rows of the ranges before."""
+    part = free_name(rows, "_part")
+    dealt = materialize(rows.repartitionByRange(*order).withColumn(part, F.spark_partition_id()))
+    counts = dealt.groupBy(part).count()  # a row for each range
+    base = free_name(rows, "_base")
+    before = counts.select(part, (F.sum("count").over(Window.orderBy(part)) - F.col("count")).alias(base))
+    inside = F.row_number().over(Window.partitionBy(part).orderBy(*order))
+    return dealt.join(before, part).withColumn(name, (inside + F.col(base)).cast("long")).drop(part, base)
+
+
+def waves(rows: DataFrame, domain: str, order: list[Column | str], per_wave: int, most: int | None) -> DataFrame:
+    """rows with a wave number: domains by their earliest row, each cut into chunks of per_wave; None keeps all waves, else rows of later ones go.
 
-    Positions inside a domain and the order of (domain, chunk) pairs are ranked apart, so only one row a chunk is sorted as a whole.
+    Positions inside a domain and the order of (domain, chunk) pairs are ranked apart, the pairs by ranges, so nothing is sorted in one task.
     """
     inside = rows.withColumn("_n", F.row_number().over(Window.partitionBy(domain).orderBy(*order))).withColumn("_chunk", F.floor((F.col("_n") - 1) / per_wave))
     firsts = inside.where("_n = 1").select(domain, *[F.struct(*order).alias("_first")])
-    chunks = inside.select(domain, "_chunk").distinct().join(firsts, domain).withColumn("wave", F.row_number().over(Window.orderBy("_first", "_chunk")))
-    return inside.join(chunks.where(F.col("wave") <= most).select(domain, "_chunk", "wave"), [domain, "_chunk"]).drop("_n", "_chunk")
+    chunks = positions(inside.select(domain, "_chunk").distinct().join(firsts, domain), ["_first", "_chunk"], "wave").withColumn("wave", F.col("wave").cast("int"))
+    kept = chunks if most is None else chunks.where(F.col("wave") <= most)
+    return inside.join(kept.select(domain, "_chunk", "wave"), [domain, "_chunk"]).drop("_n", "_chunk")
 
 
 def decisions(rows: DataFrame, chosen: DataFrame, key: str) -> DataFrame:

@@ -38,6 +38,14 @@ def drop_scratch(df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """name, with as many underscores behind it as make it new among df's columns (case doesn't count)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 #: Largest table that is broadcast; a larger one is joined by a shuffle.
 BROADCAST_BYTES = 64 << 20
 

@@ -260,20 +260,30 @@ def ascii_share(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id", T.ascii_ratio(F.col("text")).alias("ratio"))
 
 
-@query("SELECT doc_id, regexp_replace(text, '([A-Za-z0-9])[A-Za-z0-9._%+-]*@[A-Za-z0-9.-]+\\.([A-Za-z]{2,})', '\\1***@***.\\2', 'g') AS masked FROM documents WHERE regexp_matches(text, '[A-Za-z0-9]@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}')")
+@query(
+    r"""WITH t AS (SELECT doc_id, text, '\b\d{4}[ -]?\d{4}[ -]?\d{4}[ -]?\d{4}\b' AS card, '\b0\d{1,2}[- ]?\d{3}[- ]?\d{4}\b' AS phone FROM documents)
+SELECT doc_id, CASE WHEN regexp_matches(text, '[A-Za-z0-9._%+-]@[A-Za-z0-9.-]+\.[A-Za-z]{2,}') THEN regexp_replace(text, '([A-Za-z0-9])[A-Za-z0-9._%+-]*@[A-Za-z0-9.-]+\.([A-Za-z]{2,})', '\1***@***.\2', 'g')
+  WHEN regexp_matches(text, card) THEN regexp_replace(text, '\b\d{4}[ -]?\d{4}[ -]?\d{4}[ -]?\d{4}\b', '**** **** **** ****', 'g') WHEN regexp_matches(trim(text), '^\d{9}$') THEN '*********'
+  WHEN regexp_matches(text, phone) THEN regexp_replace(text, '\b0\d{1,2}[- ]?\d{3}[- ]?\d{4}\b', '***-***-****', 'g') ELSE text END AS masked FROM t"""
+)
 def pii_masking(spark, sf_dir):
-    rows = read(spark, sf_dir, "documents").where(F.col("text").rlike(r"[A-Za-z0-9]@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"))
-    return rows.select("doc_id", T.mask_email(F.col("text")).alias("masked"))
+    return read(spark, sf_dir, "documents").select("doc_id", T.mask_pii(F.col("text")).alias("masked"))
 
 
-@query("SELECT doc_id, CAST(2 * ((length(low) - length(replace(low, 'the', ''))) // 3) + 3 * ((length(low) - length(replace(low, 'of.the', ''))) // 6) + CASE WHEN regexp_matches(low, '\\bthe\\b') THEN 1 ELSE 0 END AS BIGINT) AS score FROM (SELECT doc_id, lower(text) AS low FROM documents WHERE lang = 'en') d")
+@query(
+    """SELECT doc_id, CAST(2 * ((length(low) - length(replace(low, 'the', ''))) // 3) + 3 * ((length(low) - length(replace(low, 'of.the', ''))) // 6)
+  + CASE WHEN regexp_matches(low, '(^|[^_\\p{L}\\p{N}])the($|[^_\\p{L}\\p{N}])') THEN 1 ELSE 0 END AS BIGINT) AS score FROM (SELECT doc_id, lower(coalesce(text, '')) AS low FROM documents) d"""
+)
 def mention_scores(spark, sf_dir):
-    return read(spark, sf_dir, "documents").where("lang = 'en'").select("doc_id", T.mention_score(F.col("text"), "of", "the").cast("long").alias("score"))
+    return read(spark, sf_dir, "documents").select("doc_id", T.mention_score(F.col("text"), "of", "the").cast("long").alias("score"))
 
 
-@query("SELECT o_orderkey, regexp_replace(regexp_replace(sql, '''(?:[^'']|'''')*''', '''<REDACTED>''', 'g'), '([=<>]\\s*)\\d+(?:\\.\\d+)?', '\\1<N>', 'g') AS redacted FROM (SELECT o_orderkey, concat('SELECT 1 FROM t WHERE k = ', CAST(o_custkey AS VARCHAR), ' AND s = ''', o_orderstatus, '''') AS sql FROM orders) q")
+@query(
+    r"""SELECT o_orderkey, concat('SELECT 1 FROM t WHERE k = <N> AND s = ''<REDACTED>'' AND id IN (<N>, <N>) AND d in ( <N>) AND f(', o_custkey, ') > <N>') AS redacted FROM orders"""
+)
 def literal_redaction(spark, sf_dir):
-    sql = F.concat(F.lit("SELECT 1 FROM t WHERE k = "), F.col("o_custkey").cast("string"), F.lit(" AND s = '"), F.col("o_orderstatus"), F.lit("'"))
+    parts = ["SELECT 1 FROM t WHERE k = ", F.col("o_custkey"), " AND s = '", F.col("o_orderstatus"), "' AND id IN (", F.col("o_custkey"), ", -12) AND d in ( ", F.col("o_custkey"), ") AND f(", F.col("o_custkey"), ") > -1.5"]
+    sql = F.concat(*(F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts))
     return read(spark, sf_dir, "orders").select("o_orderkey", T.redact(sql).alias("redacted"))
 
 
@@ -296,7 +306,7 @@ UNION ALL SELECT 'crm.customers', role, name, CAST(n AS BIGINT) FROM t, (VALUES
 )
 def extracted_columns(spark, sf_dir):
     log = statement_log(spark, sf_dir)
-    return X.resolve(X.column_refs(log), X.table_refs(log)).groupBy("table_key", "role", "name").agg(F.count("*").alias("n"))
+    return X.column_refs(log).groupBy("table_key", "role", "name").agg(F.count("*").alias("n"))
 
 
 @query("SELECT count(*) AS valid, count(DISTINCT user_id) AS users, 0 AS skipped FROM events")

@@ -1,4 +1,4 @@
-"""Queries of rules by name, anomaly flags, profiles, bundles and synthetic values, each with its SQL."""
+"""Queries of rules by name, anomaly flags, profiles and bundles, each with its SQL."""
 
 from __future__ import annotations
 
@@ -158,12 +158,6 @@ def manifest_models(spark, sf_dir):
     return U.model_nodes(texts).select("model", "relation", "materialized", F.size("columns").alias("columns"), F.array_join("unique_key", ",").alias("unique_key"))
 
 
-@query("SELECT o_orderkey, CAST(net AS VARCHAR) AS net_amount, CAST(CAST(round(net * (100 + rate) * 0.01, 2) AS DECIMAL(18, 2)) AS VARCHAR) AS amount, concat(rate, '.00') AS vat_rate, ['OPEN', 'PAID', 'VOID', 'CANCELLED', 'SENT', 'RECEIVED', 'COMPLETED'][1 + i % 7] AS status, concat('INV-', 100000 + i) AS invoice_id, concat(CAST(DATE '2026-01-15' + CAST(7 * i AS INTEGER) AS VARCHAR), 'T12:00:00Z') AS created_at, concat('user', i, '@example.com') AS email FROM (SELECT *, CAST(1000 + CAST(i AS DECIMAL(12, 0)) * 123.45 AS DECIMAL(18, 2)) AS net, [0, 5, 8, 17][1 + i % 4] AS rate FROM (SELECT o_orderkey, o_orderkey % 5000 AS i FROM orders) o) n")
-def synthetic_values(spark, sf_dir):
-    rows = read(spark, sf_dir, "orders").select("o_orderkey")
-    return U.with_synthetic(rows, F.col("o_orderkey") % 5000, ["net_amount", "amount", "vat_rate", "status", "invoice_id", "created_at", "email"])
-
-
 BUSY = "b AS (SELECT DISTINCT l_orderkey AS stmt, l_suppkey AS item FROM lineitem WHERE l_suppkey IS NOT NULL)"
 
 

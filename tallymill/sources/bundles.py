@@ -1,14 +1,11 @@
-"""Result bundles, extraction artefacts, decisions, audit trails, model manifests and synthetic rows."""
+"""Result bundles, extraction artefacts, decisions, audit trails and model manifests."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 MODEL = "struct<resource_type: string, name: string, schema: string, alias: string, original_file_path: string, columns: map<string, string>, config: struct<materialized: string, unique_key: string>>"
-#: Statuses and VAT rates in their cycles, filler length.
-STATUSES = ("OPEN", "PAID", "VOID", "CANCELLED", "SENT", "RECEIVED", "COMPLETED")
-VAT_RATES = (0, 5, 8, 17)
 
 
 def write_bundle(blocks: dict[str, DataFrame], path: str) -> None:
@@ -69,35 +66,3 @@ def model_nodes(texts: DataFrame) -> DataFrame:
     keys = F.when(key.startswith("["), F.from_json(key, "array<string>")).when(key != "", F.array(key))
     names = F.sort_array(F.coalesce(F.map_keys("columns"), F.array().cast("array<string>")))
     return n.select(F.col("name").alias("model"), F.concat_ws(".", some("schema"), F.coalesce(some("alias"), "name")).alias("relation"), F.coalesce(some("config.materialized"), F.lit("view")).alias("materialized"), names.alias("columns"), keys.alias("unique_key"), F.col("original_file_path").alias("path"))
-
-
-def synthetic(name: str, i: Column) -> Column:
-    """The text of a made-up value of a column, by its name, in row i (from 0); money agrees over net, rate and gross."""
-    low = name.lower()
-    cycle = lambda values: F.element_at(F.array(*map(F.lit, values)), (i % len(values) + 1).cast("int"))
-    rate = cycle(VAT_RATES)
-    net = F.lit("1000.00").cast("decimal(18,2)") + (i.cast("decimal(12,0)") * F.lit("123.45").cast("decimal(5,2)")).cast("decimal(18,2)")
-    numbered = lambda prefix, first: F.concat(F.lit(prefix), (i + first).cast("string"))
-    if "vat" in low and "rate" in low:
-        return F.concat(rate.cast("string"), F.lit(".00"))
-    if "net" in low and ("amount" in low or low == "net"):
-        return net.cast("decimal(18,2)").cast("string")
-    if "amount" in low and "vat" not in low:
-        return F.round(net.cast("decimal(18,2)") * (rate + 100).cast("decimal(3,0)") * F.lit("0.01").cast("decimal(3,2)"), 2).cast("decimal(18,2)").cast("string")
-    if "status" in low:
-        return cycle(STATUSES)
-    if low.endswith("id"):
-        return numbered("INV-", 100000) if "invoice" in low else numbered("ORD-", 200000) if "order" in low else numbered("", 1000)
-    if low.endswith("_at") or any(k in low for k in ("created", "updated", "date")):
-        return F.concat(F.date_add(F.lit("2026-01-15").cast("date"), (7 * i).cast("int")).cast("string"), F.lit("T12:00:00Z"))
-    if "email" in low:
-        return F.concat(F.lit("user"), i.cast("string"), F.lit("@example.com"))
-    if "vat" in low:
-        return F.lit("17.00")
-    filler = "_" + "x" * 220 if any(k in low for k in ("description", "notes", "comment")) else ""
-    return F.concat(F.lit(f"{name}_"), i.cast("string"), F.lit(filler))
-
-
-def with_synthetic(rows: DataFrame, i: Column, names: list[str]) -> DataFrame:
-    """rows with made-up columns for tests; i is a row's number."""
-    return rows.select("*", *(synthetic(n, i).alias(n) for n in names))

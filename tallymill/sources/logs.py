@@ -34,21 +34,21 @@ def dead_letters(rows: DataFrame, stage: str, run_id: str) -> DataFrame:
     return bad.select(F.col("corrupt").alias("original_payload"), F.lit("invalid JSON").alias("error_reason"), F.lit(stage).alias("error_stage"), F.current_timestamp().alias("timestamp"), F.lit(run_id).alias("run_id"))
 
 
-def read_messages(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+def read_messages(spark: SparkSession, paths: str | list[str], glob: str = "*.jsonl") -> DataFrame:
     """(text, ts, channel, meta) of flat message JSONL; rows without text go; fields not named here stay in meta."""
     m = F.from_json("value", "map<string,string>")
     first = lambda *keys: F.coalesce(*(F.when(F.col("m")[k] != "", F.col("m")[k]) for k in keys))
-    rows = lines(spark, paths).select(m.alias("m")).select(first("text", "body").alias("text"), first("ts", "timestamp").alias("ts"), first("channel").alias("channel"), F.map_filter("m", lambda k, v: ~k.isin("text", "body", "ts", "timestamp", "channel")).alias("meta"))
+    rows = lines(spark, paths, glob).select(m.alias("m")).select(first("text", "body").alias("text"), first("ts", "timestamp").alias("ts"), first("channel").alias("channel"), F.map_filter("m", lambda k, v: ~k.isin("text", "body", "ts", "timestamp", "channel")).alias("meta"))
     return rows.where("text is not null")
 
 
-def read_sql_files(spark: SparkSession, roots: str | list[str]) -> DataFrame:
+def read_sql_files(spark: SparkSession, roots: str | list[str], glob: str = "*.{sql,SQL}") -> DataFrame:
     """(path, text) of .sql files under roots, whole."""
-    rows = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.{sql,SQL}").text(roots, wholetext=True)
+    rows = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob).text(roots, wholetext=True)
     return rows.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text")).distinct()
 
 
 def write_tickets(rows: DataFrame, path: str) -> None:
     """One CSV row a table, every field quoted, texts on one line."""
-    flat = lambda c: F.array_join(F.filter(F.transform(F.split(c, r"\r?\n"), F.trim), lambda x: x != ""), " | ")
+    flat = lambda c: F.array_join(F.filter(F.transform(F.split(c, r"\r?\n"), lambda x: F.trim(x)), lambda x: x != ""), " | ")
     rows.select(*(flat(F.col(c).cast("string")).alias(c) for c in rows.columns)).write.option("header", True).option("quoteAll", True).csv(path)

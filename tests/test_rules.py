@@ -1,9 +1,7 @@
-"""Small fixtures for rules by name, anomaly flags, bundles and synthetic values."""
+"""Small fixtures for rules by name, anomaly flags and bundles."""
 
 from __future__ import annotations
 
-from decimal import ROUND_HALF_UP, Decimal
-
 from pyspark.sql import functions as F
 
 from tallymill.operators import rules as R
@@ -91,15 +89,6 @@ def test_models_of_a_manifest(spark):
     assert rows(got) == [("a", "s.a", "view", ["q"], ["x", "y"], None), ("c", "d", "table", [], ["k"], None)]
 
 
-def test_money_agrees(spark):
-    got = U.with_synthetic(spark.range(40), F.col("id"), ["amount", "net_amount", "vat_rate", "order_id", "notes"]).collect()
-    for r in got:
-        net = Decimal(1000) + r["id"] * Decimal("123.45")
-        assert Decimal(r["net_amount"]) == net and Decimal(r["vat_rate"]) == (0, 5, 8, 17)[r["id"] % 4]
-        assert Decimal(r["amount"]) == (net * (100 + Decimal(r["vat_rate"])) / 100).quantize(Decimal("0.01"), ROUND_HALF_UP)
-        assert r["order_id"] == f"ORD-{200000 + r['id']}" and len(r["notes"]) > 220
-
-
 def test_bundle_and_extraction_round_trips(spark, tmp_path):
     path = str(tmp_path)
     U.write_bundle({"a": spark.range(3), "b": spark.range(2)}, path)
