@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.components import components
-from ..plans.scratch import drop_scratch, materialize, scratch_dir, small_side
+from ..plans.scratch import drop_scratch, free_name, materialize, scratch_dir, small_side
 
 __all__ = ["WORD", "components", "drop_scratch", "free_name", "materialize", "quoted", "scratch_dir", "slices", "small_side", "table", "word_count"]
 
@@ -31,14 +31,6 @@ def quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
-def free_name(df: DataFrame, name: str) -> str:
-    """name, with as many underscores behind it as make it new among df's columns (case doesn't count)."""
-    taken = {c.lower() for c in df.columns}
-    while name.lower() in taken:
-        name += "_"
-    return name
-
-
 def slices(batches, column: int, most: int = 1 << 20):
     """Arrow batches cut so that a slice holds about `most` bytes of a string or binary column, or one longer text."""
     for b in batches:
