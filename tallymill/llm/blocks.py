@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from .common import materialize
 
 #: Codes and queries in a block, queries scanned at a time, bytes of codes coded at a time.
-VECTORS, QUERIES, CHUNK, CODED = 16384, 1024, 64, 4096
+VECTORS, QUERIES, CHUNK, CODED = 65536, 512, 64, 4096
 CODE = "row bigint, vec_id bigint, dim int, code binary, scale double, left double"
 BOUNDS = "query bigint, row bigint, low double, high double"
 
