@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,9 +33,14 @@ def quoted(name: str) -> str:
 
 
 def slices(batches, column: int, most: int = 1 << 20):
-    """Arrow batches cut so that a slice holds about `most` bytes of a string or binary column, or one longer text."""
+    """Arrow batches cut so that a slice holds about `most` bytes of a string or binary column, or one longer text.
+
+    The column may also be a number: the bytes that its row takes.
+    """
     for b in batches:
-        ends = np.cumsum(pc.fill_null(pc.binary_length(b.column(column)), 0).to_numpy(zero_copy_only=False))
+        size = b.column(column)
+        size = size if pa.types.is_integer(size.type) else pc.binary_length(size)
+        ends = np.cumsum(pc.fill_null(size, 0).to_numpy(zero_copy_only=False))
         at = 0
         while at < b.num_rows:
             before = ends[at - 1] if at else 0

@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import html as markup
 import re
+from collections.abc import Iterable
 
 import pyarrow as pa
 import xxhash
@@ -222,7 +223,7 @@ def events(blocks: list[Block], elements: list[tuple[int, int]]) -> list[tuple[i
     return out[:-1]
 
 
-def places(page: list[tuple[int, int]], classes: dict[int, tuple[int, int, bool]]) -> list[tuple[int, int]]:
+def places(page: Iterable[tuple[int, int]], classes: dict[int, tuple[int, int, bool]]) -> list[tuple[int, int]]:
     """For each occurrence of a class's token on a page: a hash of the token and where it stands, and its text block.
 
     classes: by token, its class, the pages it is on, and whether it is once on each.
@@ -248,21 +249,45 @@ def places(page: list[tuple[int, int]], classes: dict[int, tuple[int, int, bool]
     return out
 
 
-def main_text(blocks: list[Block], constant: set[int] | frozenset[int] = frozenset()) -> str:
-    """The article's blocks: those of articles and main, if the page has such an element with text, else of the body; without constant ones, by number."""
-    inside = [(i, b) for i, b in enumerate(blocks) if not b[2]]
-    if any(b[3] < 2 for _, b in inside):
-        inside = [x for x in inside if x[1][3] < 2]
-    return "\n".join(b[1] for i, b in inside if i not in constant)
+def article(blocks: list[Block]) -> list[int]:
+    """Numbers of the article's blocks: those of articles and main, if the page has such an element with text, else of the body."""
+    inside = [i for i, b in enumerate(blocks) if not b[2]]
+    return [i for i in inside if blocks[i][3] < 2] or inside
+
+
+def main_text(page: str) -> str:
+    """The article of a page without a template."""
+    blocks, _ = parse(page)
+    return "\n".join(blocks[i][1] for i in article(blocks))
+
+
+#: Place of the bytes among the columns to be parsed.
+RAW_AT = 6
+PARSED = "tokens array<bigint>, blocks array<int>, numbers array<int>, texts array<string>, cost bigint"
+
+
+def _parsed_rows(batches):
+    """Rows with the last column, html in bytes, parsed: the page's tokens and their blocks, the article's blocks by number and text, and the bytes that all take."""
+    for b in slices(batches, RAW_AT):
+        cols: list[list] = [[], [], [], [], []]
+        for data in b.column(b.num_columns - 1).to_pylist():
+            blocks, elements = parse(data.decode("utf-8", "replace"))
+            page, kept = events(blocks, elements), article(blocks)
+            texts = [blocks[i][1] for i in kept]
+            for col, x in zip(cols, ([t for t, _ in page], [i for _, i in page], kept, texts, 12 * len(page) + sum(map(len, texts)))):
+                col.append(x)
+        types = [pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.string()), pa.int64()]
+        cols = [*b.columns[:-1], *map(pa.array, cols, types)]
+        yield pa.RecordBatch.from_arrays(cols, names=[*b.schema.names[:-1], "tokens", "blocks", "numbers", "texts", "cost"])
 
 
 def _token_rows(batches):
     """Sums for each host and token of a batch."""
-    for b in slices(batches, 3):
+    for b in slices(batches, 4):
         sums: dict[tuple[str, int], list[int]] = {}
-        for host, one, two, data in zip(*(c.to_pylist() for c in b.columns)):
+        for host, one, two, tokens in zip(*(c.to_pylist() for c in b.columns[:4])):
             counts: dict[int, int] = {}
-            for t, _ in events(*parse(data.decode("utf-8", "replace"))):
+            for t in tokens:
                 counts[t] = counts.get(t, 0) + 1
             if counts:
                 counts[0] = 1  # the page itself
@@ -283,47 +308,60 @@ def _classes(tokens, kinds, pages, counts) -> dict[int, tuple[int, int, bool]]:
 
 def _place_rows(batches):
     """Pages for each host and place of a batch."""
-    for b in slices(batches, 1):
+    for b in slices(batches, 3):
         sums: dict[tuple[str, int], int] = {}
         last = classes = None
-        for host, data, *arrays in zip(*(c.to_pylist() for c in b.columns)):
+        for host, tokens, blocks, _, *arrays in zip(*(c.to_pylist() for c in b.columns)):
             if host != last:
                 last, classes = host, _classes(*arrays)
-            for place in {x for x, _ in places(events(*parse(data.decode("utf-8", "replace"))), classes)}:
+            for place in {x for x, _ in places(zip(tokens, blocks), classes)}:
                 sums[host, place] = sums.get((host, place), 0) + 1
         cols = [pa.array([k[0] for k in sums], pa.string()), pa.array([k[1] for k in sums], pa.int64()), pa.array(list(sums.values()), pa.int64())]
         yield pa.RecordBatch.from_arrays(cols, names=["host", "place", "pages"])
 
 
-ARRAYS = ["tokens", "kinds", "pages", "counts"]
+ARRAYS = ["members", "kinds", "pages", "counts"]
 
 
 def distinct_pages(pages: DataFrame) -> DataFrame:
-    """pages (page_id, host, html) without those that differ from one of smaller page_id on their host in digits alone."""
-    rows = pages.withColumn("like", F.xxhash64(F.regexp_replace("html", "[0-9]+", "0")))
-    groups = rows.groupBy(F.col("host").alias("on"), F.col("like").alias("as")).agg(F.count("*").alias("n"), F.min("page_id").alias("first"))
+    """Parsed pages without those that differ from one of smaller page_id on their host in digits alone."""
+    groups = pages.groupBy(F.col("host").alias("on"), F.col("like").alias("as")).agg(F.count("*").alias("n"), F.min("page_id").alias("first"))
     again = small_side(materialize(groups.where("n > 1 and first is not null").drop("n")), "on")
-    rows = rows.join(again, (F.col("host") == F.col("on")) & (F.col("like") == F.col("as")), "left")
-    return rows.where("first is null or page_id = first").select("page_id", "host", "html")
+    rows = pages.join(again, (F.col("host") == F.col("on")) & (F.col("like") == F.col("as")), "left")
+    return rows.where("first is null or page_id = first").select(pages.columns)
+
+
+def parsed(pages: DataFrame) -> DataFrame:
+    """pages (page_id, url, html) parsed once and written: with host, hashes of the html with its digits alike and of page and html, and the columns PARSED."""
+    rows = pages.select(
+        "page_id",
+        F.col("url").cast("string").alias("url"),
+        host_path(F.col("url"))[0].alias("host"),
+        F.xxhash64(F.regexp_replace("html", "[0-9]+", "0")).alias("like"),
+        F.xxhash64("page_id", "html").alias("one"),
+        F.xxhash64(F.lit(1), "page_id", "html").alias("two"),
+        F.coalesce(F.col("html").cast("binary"), F.lit(b"")).alias("raw"),
+    )
+    known = f"page_id {pages.schema['page_id'].dataType.simpleString()}, url string, host string, like bigint, one bigint, two bigint"
+    return materialize(rows.mapInArrow(_parsed_rows, f"{known}, {PARSED}"))
 
 
 def templates(pages: DataFrame, min_pages: int = MIN_PAGES, share: float = SHARE) -> DataFrame:
-    """(host, tokens, kinds, pages, counts, places), arrays: for each host of at least min_pages pages that aren't empty, its classes and the places of its template.
+    """(host, members, kinds, pages, counts, places), arrays: for each host of at least min_pages parsed pages that aren't empty, its classes and the places of its template.
 
     What is on a share of the pages is no more than a page's tokens divided by the share, so a host's row is small
-    however many pages it has. pages has page_id, host and html; rows that repeat an id and its html count each.
+    however many pages it has. Rows that repeat an id and its html count each.
     """
-    raw = F.coalesce(F.col("html").cast("binary"), F.lit(b"")).alias("raw")
     pages = distinct_pages(pages)
-    rows = pages.select("host", F.xxhash64("page_id", "html").alias("one"), F.xxhash64(F.lit(1), "page_id", "html").alias("two"), raw)
-    sums = rows.mapInArrow(_token_rows, "host string, token bigint, pages bigint, count bigint, one bigint, two bigint")
+    sums = pages.select("host", "one", "two", "tokens", "cost").mapInArrow(_token_rows, "host string, token bigint, pages bigint, count bigint, one bigint, two bigint")
     total = lambda c: F.pmod(F.sum(F.col(c).cast("decimal(38,0)")), F.lit(2**61).cast("decimal(38,0)")).cast("bigint").alias(c)
     sums = materialize(sums.groupBy("host", "token").agg(F.sum("pages").alias("pages"), F.sum("count").alias("count"), total("one"), total("two")))
     least = sums.where("token = 0").where(F.col("pages") >= min_pages).select("host", F.greatest(F.lit(min_pages), F.ceil(F.col("pages") * share)).alias("least"))
     often = sums.where("token <> 0").join(least, "host").where("pages >= least")
     each = F.collect_list(F.struct("token", F.xxhash64("pages", "count", "one", "two").alias("kind"), "pages", "count"))
-    classes = materialize(often.groupBy("host", "least").agg(each.alias("l")).select("host", "least", *(F.col(f"l.{a[:-1] if a != 'pages' else a}").alias(a) for a in ARRAYS)))
-    kept = pages.select("host", raw).join(small_side(classes, "host", *ARRAYS), "host").select("host", "raw", *ARRAYS)
+    classes = materialize(often.groupBy("host", "least").agg(each.alias("l")).select("host", "least", *(F.col(f"l.{field}").alias(a) for a, field in zip(ARRAYS, ("token", "kind", "pages", "count")))))
+    kept = pages.select("host", "tokens", "blocks", "cost").join(small_side(classes, "host", *ARRAYS), "host")
+    kept = kept.select("host", "tokens", "blocks", "cost", *ARRAYS)
     found = kept.mapInArrow(_place_rows, "host string, place bigint, pages bigint").groupBy("host", "place").agg(F.sum("pages").alias("n"))
     valid = found.join(classes.select("host", "least"), "host").where("n >= least").groupBy("host").agg(F.collect_list("place").alias("places"))
     return classes.drop("least").join(valid, "host")
@@ -337,20 +375,18 @@ def extract(pages: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
     blocks of the article. Ids may be null or repeat; of equal pages with different ids one shapes the template and all
     get their text. Other columns are ignored. No rows in, none out.
     """
-    rows = pages.select("page_id", "url", host_path(F.col("url"))[0].alias("host"), "html")
+    rows = parsed(pages)
     known = small_side(materialize(templates(rows, min_pages)), "host", *ARRAYS, "places")
-    kind = pages.schema["page_id"].dataType.simpleString()
 
     def run(batches):
-        for b in slices(batches, 3):
-            texts, last, classes, valid = [], None, {}, frozenset()
-            for host, data, found, *arrays in zip(*(b.column(i).to_pylist() for i in (2, 3, 8, 4, 5, 6, 7))):
+        for b in slices(batches, 7):
+            out, last, classes, valid = [], None, {}, frozenset()
+            for host, tokens, blocks, numbers, texts, _, found, *arrays in zip(*(c.to_pylist() for c in b.columns[2:])):
                 if found and host != last:
                     last, classes, valid = host, _classes(*arrays), frozenset(found)
-                blocks, elements = parse(data.decode("utf-8", "replace"))
-                constant = {i for x, i in places(events(blocks, elements), classes) if x in valid} if found else frozenset()
-                texts.append(main_text(blocks, constant))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
+                constant = {i for x, i in places(zip(tokens, blocks), classes) if x in valid} if found else frozenset()
+                out.append("\n".join(t for i, t in zip(numbers, texts) if i not in constant))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.string()), pa.array([len(t) for t in out], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
-    raw = F.coalesce(F.col("html").cast("binary"), F.lit(b"")).alias("raw")
-    return rows.join(known, "host", "left").select("page_id", "url", "host", raw, *ARRAYS, "places").mapInArrow(run, f"page_id {kind}, url string, text string, n_chars bigint")
+    rows = rows.join(known, "host", "left").select("page_id", "url", "host", "tokens", "blocks", "numbers", "texts", "cost", "places", *ARRAYS)
+    return rows.mapInArrow(run, f"page_id {pages.schema['page_id'].dataType.simpleString()}, url string, text string, n_chars bigint")

@@ -432,7 +432,7 @@ PAGE = '<html><head><title>T</title></head><body class="has-sidebar"><header><h1
 
 
 def whole_text(page):
-    return template.main_text(template.parse(page)[0])
+    return template.main_text(page)
 
 
 def test_main_text_of_a_page():
