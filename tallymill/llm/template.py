@@ -343,7 +343,7 @@ def parsed(pages: DataFrame) -> DataFrame:
         F.coalesce(F.col("html").cast("binary"), F.lit(b"")).alias("raw"),
     )
     known = f"page_id {pages.schema['page_id'].dataType.simpleString()}, url string, host string, like bigint, one bigint, two bigint"
-    return materialize(rows.mapInArrow(_parsed_rows, f"{known}, {PARSED}"))
+    return materialize(rows.mapInArrow(_parsed_rows, f"{known}, {PARSED}"), "zstd")
 
 
 def templates(pages: DataFrame, min_pages: int = MIN_PAGES, share: float = SHARE) -> DataFrame:
