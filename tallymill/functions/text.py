@@ -2,25 +2,47 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-
-
-def sanitize(c: Column) -> Column:
-    """Control characters go, except tab, line feed and carriage return."""
-    return F.regexp_replace(c, r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]", "")
+from pyspark.sql.types import StringType
 
 
 def is_ascii(c: Column) -> Column:
     return c.rlike(r"\A[\x00-\x7F]*\z")
 
 
+@F.pandas_udf(StringType())
+def _nfc(text: pd.Series) -> pd.Series:
+    return text.str.normalize("NFC") if text.notna().any() else text
+
+
+@F.pandas_udf(StringType())
+def _nfkc(text: pd.Series) -> pd.Series:
+    return text.str.normalize("NFKC") if text.notna().any() else text
+
+
+def normal_form(c: Column, compatible: bool = False) -> Column:
+    """Unicode's composed form, NFC, or NFKC if compatible; Spark has no function for it. Only texts that aren't ASCII go to Python."""
+    return F.coalesce((_nfkc if compatible else _nfc)(F.when(~is_ascii(c), c)), c)
+
+
+def sanitize(c: Column) -> Column:
+    """Control characters go, except tab, line feed and carriage return; the rest in composed form."""
+    return normal_form(F.regexp_replace(c, r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F-\x9F]", ""))
+
+
 def normalize_name(c: Column) -> Column:
     """Quotes and brackets go, white space becomes one _, ASCII names are lower-cased."""
     s = F.regexp_replace(F.trim(F.regexp_replace(c, r"[\"'`\[\]]", "")), r"\s+", "_")
     return F.when(is_ascii(s), F.lower(s)).otherwise(s)
 
 
+def name_key(c: Column) -> Column:
+    """A normalised name in composed form, so that one name in two spellings of its code points is one key."""
+    return normal_form(normalize_name(c))
+
+
 def dedupe_key(c: Column) -> Column:
     return F.lower(F.trim(F.regexp_replace(c, r"\s+", " ")))
 

@@ -92,6 +92,13 @@ def name_mapping(spark, sf_dir):
     return part_mapping(spark, sf_dir)
 
 
+@query()
+def nearest_names(spark, sf_dir):
+    """The eight columns nearest to the name of each part type, by hashed vectors, which SQL lacks; tested against plain Python."""
+    names = read(spark, sf_dir, "part").select(F.col("p_brand").alias("table_key"), F.col("p_type").alias("name")).distinct()
+    return M.nearest_names(names, part_catalog(spark, sf_dir))
+
+
 @query()
 def name_mapping_blended(spark, sf_dir):
     """The mapping by hashed vectors and matching blocks, which SQL lacks; tested against plain Python."""

@@ -10,35 +10,53 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import names as N
-from ..functions.text import low_signal, normalize_name
+from ..functions.text import low_signal, name_key, normalize_name
 
 FLOOR, CONFIRMED = 0.4, 0.8
-PAIRWISE, BOOSTED, BOOST = 256, 24, 0.14
+#: Columns of a table that are scored pair by pair; columns that a search returns.
+PAIRWISE, NEAREST = 256, 8
+BOOSTED, BOOST = 24, 0.14
 USES = ("n_select", "n_where", "n_join")
 
 
 def by_glossary(names: DataFrame, glossary: DataFrame, catalog: DataFrame) -> DataFrame:
     """(table_key, name, target): names in the glossary whose target is a column of their own table."""
-    terms = glossary.groupBy(normalize_name(F.col("term")).alias("key")).agg(F.min("target").alias("target"))
-    hits = names.withColumn("key", normalize_name(F.col("name"))).join(terms, "key")
+    terms = glossary.groupBy(name_key(F.col("term")).alias("key")).agg(F.min("target").alias("target"))
+    hits = names.withColumn("key", name_key(F.col("name"))).join(terms, "key")
     return hits.join(catalog.select("table_key", F.col("col").alias("target")).distinct(), ["table_key", "target"], "left_semi").select("table_key", "name", "target")
 
 
 def by_equality(names: DataFrame, catalog: DataFrame) -> DataFrame:
     """(table_key, name, target): names equal to a column of their table once both are normalised."""
-    columns = catalog.groupBy("table_key", normalize_name(F.col("col")).alias("key")).agg(F.min("col").alias("target"))
-    return names.withColumn("key", normalize_name(F.col("name"))).join(columns, ["table_key", "key"]).select("table_key", "name", "target")
+    columns = catalog.groupBy("table_key", name_key(F.col("col")).alias("key")).agg(F.min("col").alias("target"))
+    return names.withColumn("key", name_key(F.col("name"))).join(columns, ["table_key", "key"]).select("table_key", "name", "target")
 
 
-def blended(names: DataFrame, catalog: DataFrame) -> DataFrame:
+def nearest_names(names: DataFrame, catalog: DataFrame, k: int = NEAREST) -> DataFrame:
+    """(table_key, name, col, score): the k columns of a name's table nearest to it by the product of unit vectors, ties to the lesser column."""
+    left = names.select("table_key", "name", N.hash_vector(F.concat(F.lit("log column identifier observed: "), F.col("name"))).alias("_x"))
+    right = catalog.select("table_key", "col", N.hash_vector(F.concat(F.lit("DDL column canonical identifier: "), normalize_name(F.col("col")))).alias("_y"))
+    pairs = left.join(right, "table_key").select("table_key", "name", "col", N.dot(F.col("_x"), F.col("_y")).alias("score"))
+    order = Window.partitionBy("table_key", "name").orderBy(F.desc("score"), "col")
+    return pairs.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= k).drop("_rank")
+
+
+def blended(names: DataFrame, catalog: DataFrame, pairwise: int = PAIRWISE) -> DataFrame:
     """(table_key, name, col, score): 0.55 of the vector product and 0.45 of the lexical ratio, for each name and each column of its table.
 
-    Vectors are made once for each name and column, before they meet.
+    Vectors are made once for each name and column, before they meet. In a table of more than `pairwise` columns a name
+    has one row: its nearest column, scored with the best lexical ratio to any.
     """
+    wide = catalog.groupBy("table_key").agg(F.count("*").alias("n")).where(F.col("n") > pairwise).select("table_key")
+    many, catalog = catalog.join(wide, "table_key", "left_semi"), catalog.join(wide, "table_key", "left_anti")
+    lexical = F.max(N.lexical_ratio(F.col("name"), F.col("col"))).alias("_lexical")
+    likest = names.join(many, "table_key").groupBy("table_key", "name").agg(lexical)
+    found = nearest_names(names, many, 1).join(likest, ["table_key", "name"])
+    found = found.select("table_key", "name", "col", F.least(F.lit(1.0), 0.55 * F.col("score") + 0.45 * F.col("_lexical")).alias("score"))
     left = names.select("table_key", "name", N.hash_vector(F.concat(F.lit("log column identifier: "), F.col("name"))).alias("_x"))
     right = catalog.select("table_key", "col", N.hash_vector(F.concat(F.lit("DDL column canonical: "), F.col("col"))).alias("_y"))
     score = F.least(F.lit(1.0), 0.55 * N.dot(F.col("_x"), F.col("_y")) + 0.45 * N.lexical_ratio(F.col("name"), F.col("col")))
-    return left.join(right, "table_key").select("table_key", "name", "col", score.alias("score"))
+    return left.join(right, "table_key").select("table_key", "name", "col", score.alias("score")).union(found)
 
 
 def scored(score: N.Score):

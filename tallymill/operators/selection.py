@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import normalize_name
+from ..functions.text import name_key
 from .graph import symmetric
 
 
@@ -51,7 +51,7 @@ def columns_by_usage(catalog: DataFrame, used: DataFrame) -> DataFrame:
 
 def layered_glossary(entries: DataFrame) -> DataFrame:
     """(term, target, layer): entries (layer, term, target) with the lowest layer for each normalised term; terms with a leading _ are notes."""
-    key = normalize_name(F.col("term"))
+    key = name_key(F.col("term"))
     rows = entries.where(~F.startswith("term", F.lit("_")) & (key != "")).groupBy(key.alias("term")).agg(F.min(F.struct("layer", "target")).alias("b"))
     return rows.select("term", F.col("b.target").alias("target"), F.col("b.layer").alias("layer"))
 

@@ -215,6 +215,14 @@ def latest_log_entries(spark, sf_dir):
     return catalogs.latest_entries(spark, path, "event_id string, event_type string").select(F.col("event_id").cast("long").alias("event_id"), "event_type")
 
 
+@query(r"""SELECT doc_id, md5(nfc_normalize(regexp_replace(concat('e', chr(769), chr(133), chr(7), text), '[\x00-\x08\x0B\x0C\x0E-\x1F\x{7F}-\x{9F}]', '', 'g'))) AS digest
+FROM documents""")
+def clean_texts(spark, sf_dir):
+    """Whole texts behind a decomposed letter and two control characters, cleaned and composed."""
+    text = F.concat(F.lit("e\u0301\u0085\u0007"), F.coalesce("text", F.lit("")))
+    return read(spark, sf_dir, "documents").select("doc_id", F.md5(T.sanitize(text)).alias("digest"))
+
+
 @query("""SELECT p_partkey, lower(concat(p_brand, '.', p_type)) AS key, '[Db]' AS db, p_brand AS "schema", p_type AS "table", concat('a ', p_brand) AS plain, (p_brand = p_type) AS same FROM part""")
 def name_parts(spark, sf_dir):
     name = F.concat(F.lit("[Db]."), F.col("p_brand"), F.lit("."), F.col("p_type"))

@@ -75,6 +75,34 @@ def test_empty_tables_give_empty_mappings(spark, catalog, glossary):
     assert lost["target"] is None and lost["bucket"] == "trash"
 
 
+def test_wide_tables_take_the_nearest_column(spark):
+    import hashlib
+
+    import numpy as np
+
+    def vector(text):
+        v = np.random.Generator(np.random.PCG64(int.from_bytes(hashlib.sha256(text.encode()).digest()[:8], "little"))).standard_normal(N.DIMENSIONS)
+        return v / np.linalg.norm(v)
+
+    columns, asked = [f"c{i}" for i in range(12)] + ["total_amt"], ["total", "zz"]
+    catalog = spark.createDataFrame([("t", c) for c in columns] + [("u", "total")], "table_key string, col string")
+    names = spark.createDataFrame([("t", n) for n in asked], "table_key string, name string")
+    want = {n: sorted((-float(vector(f"log column identifier observed: {n}") @ vector(f"DDL column canonical identifier: {c}")), c) for c in columns) for n in asked}
+    got = M.nearest_names(names, catalog, 3).collect()
+    assert sorted((r["name"], r["col"]) for r in got) == sorted((n, c) for n in asked for _, c in want[n][:3])
+    wide = {r["name"]: r for r in M.blended(names, catalog, pairwise=10).collect()}
+    assert len(wide) == 2 and all(wide[n]["col"] == want[n][0][1] for n in asked)
+    assert abs(wide["total"]["score"] - (0.55 * -want["total"][0][0] + 0.45 * 10 / 14)) < 1e-9
+    assert M.blended(names, catalog).count() == 26 and M.nearest_names(names.limit(0), catalog).count() == 0
+
+
+def test_names_in_two_normal_forms_are_one(spark):
+    catalog = spark.createDataFrame([("t", "caf\u00e9 no")], "table_key string, col string")
+    names = spark.createDataFrame([("t", "cafe\u0301  no")], "table_key string, name string")
+    assert rows(M.by_equality(names, catalog)) == [("t", "cafe\u0301  no", "caf\u00e9 no")]
+    assert spark.range(1).select(N.transliterate(F.lit("\uff21b\ufb01"))).first()[0] == "abfi"
+
+
 def test_transliteration(spark):
     df = spark.createDataFrame([("שם לקוח",), ("A-b.c",), ("!!",), (None,), ("חצי",)], "n string")
     assert [r[0] for r in df.select(N.transliterate(F.col("n"))).collect()] == ["shm_lqvkh", "a_b_c", "col", "col", "khtsy"]
