@@ -23,8 +23,8 @@ def scratch_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
-def materialize(df: DataFrame, compression: str = "snappy") -> DataFrame:
-    """Write df to a fresh table in the shared folder and read it back: cuts lineage, survives lost executors. For whole texts, zstd takes less disk."""
+def materialize(df: DataFrame, compression: str | None = None) -> DataFrame:
+    """Write df to a fresh table in the shared folder and read it back: cuts lineage, survives lost executors. compression is the session's unless named; for whole texts, zstd takes less disk."""
     path = f"{scratch_dir(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(path, compression=compression)
     return df.sparkSession.read.schema(df.schema).parquet(path)
