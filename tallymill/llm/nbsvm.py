@@ -215,7 +215,7 @@ def train(
     if fits < len(sizes):
         last = sizes[fits]
         rows = rows.where((F.col("h") < last[0]) | (F.col("h") == last[0]) & (F.col("id") < F.lit(last[1])))
-    made = rows.groupBy(F.lit(1)).applyInArrow(_fitted, "ratio binary, weight binary, bias double, slope double, shift double").first()
+    made = rows.groupBy().applyInArrow(_fitted, "ratio binary, weight binary, bias double, slope double, shift double").first()
     drop_scratch(rows)
     return made and Model(np.frombuffer(made.ratio), np.frombuffer(made.weight), *made[2:])
 
@@ -227,109 +227,6 @@ def _fitted(t: pa.Table) -> pa.Table:
     return pa.table({"ratio": [m.ratio.tobytes()], "weight": [m.weight.tobytes()], "bias": [float(m.bias)], "slope": [float(m.slope)], "shift": [float(m.shift)]})
 
 
-def score(self, rows: list[np.ndarray]) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.slope * self.margin(rows) + self.shift, -30, 30)))
-
-
-def log_count_ratio(rows: list[np.ndarray], y: np.ndarray) -> np.ndarray:
-    count = {k: np.bincount(np.concatenate([r for r, q in zip(rows, y) if q == k] or [np.zeros(0, np.int64)]).astype(np.int64), minlength=_BUCKETS) + 1.0 for k in (1, 0)}
-    return np.log(count[1] / count[1].sum()) - np.log(count[0] / count[0].sum())
-
-
-def fit_hinge(rows: list[np.ndarray], y: np.ndarray, ratio: np.ndarray, seed: int = 0) -> tuple[np.ndarray, float]:
-    """Weights and bias of the linear L1-loss support vector machine by dual coordinate descent; classes weigh alike."""
-    sign = np.where(y == 1, 1.0, -1.0)
-    upper = COST * len(y) / (2 * np.where(y == 1, max((y == 1).sum(), 1), max((y == 0).sum(), 1)))
-    values = [ratio[f] / max(np.linalg.norm(ratio[f]), 1e-9) for f in rows]
-    norm = np.array([1.0 + (len(f) > 0) for f in rows])
-    w, bias, alpha, rng = np.zeros(_BUCKETS), 0.0, np.zeros(len(y)), np.random.default_rng(seed)
-    for _ in range(EPOCHS):
-        most = 0.0
-        for i in rng.permutation(len(y)):
-            f, v = rows[i], values[i]
-            g = sign[i] * (w[f] @ v + bias) - 1
-            new = min(max(alpha[i] - g / norm[i], 0.0), upper[i])
-            d = (new - alpha[i]) * sign[i]
-            if d:
-                alpha[i] = new
-                w[f] += d * v
-                bias += d
-                most = max(most, abs(d))
-        if most < 1e-3:
-            break
-    return w, bias
-
-
-def fit_logistic(m: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope (positive) and shift of a logistic curve through margins, by Newton steps with Platt's smoothed targets."""
-    hi, lo = (y.sum() + 1) / (y.sum() + 2), 1 / ((1 - y).sum() + 2)
-    t, a, b = np.where(y == 1, hi, lo), 1.0, 0.0
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(a * m + b, -30, 30)))
-        v = np.maximum(p * (1 - p), 1e-9)
-        h = np.array([[(v * m * m).sum() + 1e-6, (v * m).sum()], [(v * m).sum(), v.sum() + 1e-6]])
-        step = np.linalg.solve(h, [((p - t) * m).sum() + 1e-6 * a, (p - t).sum()])
-        a, b = a - step[0], b - step[1]
-        if abs(step).max() < 1e-8:
-            break
-    return (a, b) if a > 0 and np.isfinite(a + b) else (1.0, 0.0)
-
-
-def fit(rows: list[np.ndarray], y: np.ndarray) -> Model | None:
-    """The model, or None when no row is labelled; with rows of one class alone, a constant in its favour."""
-    if not len(y):
-        return None
-    if y.min() == y.max():
-        return Model(np.zeros(_BUCKETS), np.zeros(_BUCKETS), 4.0 if y[0] == 1 else -4.0)
-    margins = np.zeros(len(y))
-    folds = np.arange(len(y)) % FOLDS
-    for k in range(FOLDS):
-        inside = folds != k
-        part = [r for r, u in zip(rows, inside) if u]
-        held = [r for r, u in zip(rows, inside) if not u]
-        if held and len(set(y[inside])) == 2:
-            ratio = log_count_ratio(part, y[inside])
-            margins[~inside] = Model(ratio, *fit_hinge(part, y[inside], ratio)).margin(held)
-    ratio = log_count_ratio(rows, y)
-    return Model(ratio, *fit_hinge(rows, y, ratio), *fit_logistic(margins, y))
-
-
-def held_out(id_col: str):
-    """True for the fifth of the ids that labels are never learnt from; null ids are never learnt from either."""
-    return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 5 == 0, F.lit(True))
-
-
-def train(
-    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE, most_bytes: int = SAMPLE_BYTES
-) -> Model | None:
-    """Model from labelled rows outside the held-out fifth, least hashes of ids first: at most `sample` of them, and no more than take `most_bytes` of features.
-
-    Null labels and ids are no labels; an id whose labels differ counts as none. Of rows that share an id, the one of
-    least features counts. Other columns are ignored, whatever their names. No labelled rows make no model.
-    """
-    y = F.col(label_col).cast("int")
-    one = labels.select(F.col(id_col).alias("id"), y.alias("y")).where("id is not null and y in (0, 1)").where(~held_out("id"))
-    one = one.groupBy("id").agg(F.min("y").alias("y"), F.max("y").alias("z")).where("y = z").drop("z")
-    picked = one.orderBy(F.xxhash64("id"), "id").limit(sample)
-
-    def run(batches):
-        for b in slices(batches, 2):
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([features(t).tobytes() for t in b.column(2).to_pylist()], pa.binary())], names=["id", "y", "f"])
-
-    kind = docs.schema[id_col].dataType.simpleString()
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("t"))
-    rows = texts.join(F.broadcast(picked), "id").select("id", "y", "t").mapInArrow(run, f"id {kind}, y int, f binary")
-    rows = materialize(rows.groupBy("id", "y").agg(F.min("f").alias("f")).withColumn("h", F.xxhash64("id")))
-    sizes = sorted(rows.select("h", "id", F.length("f")).collect())
-    fits = int((np.cumsum([n for _, _, n in sizes]) <= most_bytes).sum())
-    if fits < len(sizes):
-        last = sizes[fits]
-        rows = rows.where((F.col("h") < last[0]) | (F.col("h") == last[0]) & (F.col("id") < F.lit(last[1])))
-    got = sorted(rows.collect(), key=lambda r: (r.h, r.id))
-    drop_scratch(rows)
-    return fit([np.frombuffer(bytes(r.f), np.uint32) for r in got], np.array([r.y for r in got], np.int64))
-
-
 def score(docs: DataFrame, model: Model | None, text_col: str = "text", out: str = "score") -> DataFrame:
     """docs with a DOUBLE column in 0..1, higher where label 1 is likelier; a model of None gives 0.5.
 
