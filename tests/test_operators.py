@@ -114,3 +114,14 @@ def test_stream_windows_count_rows_older_than_an_early_outlier(spark, tmp_path):
         part.write.mode("append").parquet(f"{tmp_path}/events.parquet")
     got = registry.stream_windows(spark, str(tmp_path)).collect()
     assert sorted((r.day.year, r.n) for r in got) == [(2020, 20), (2099, 1)]
+
+
+def test_no_module_defines_a_name_twice():
+    import ast
+    from collections import Counter
+    from pathlib import Path
+
+    root = Path(__file__).resolve().parent.parent
+    for path in [*root.glob("*.py"), *(root / "tallymill").rglob("*.py"), *(root / "tests").rglob("*.py")]:
+        count = Counter(n.name for n in ast.parse(path.read_text()).body if isinstance(n, ast.FunctionDef | ast.ClassDef))
+        assert max(count.values(), default=1) == 1, path
