@@ -281,6 +281,16 @@ def test_classifier_on_the_given_labels(spark):
     assert np.mean([r.predicted == r.quality for r in got]) > 0.93
 
 
+def test_classifier_is_fitted_in_a_task(spark, docs, monkeypatch):
+    def in_driver(*_):
+        raise AssertionError("fitted in the driver")
+
+    monkeypatch.setattr(nbsvm, "fit", in_driver)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(1, 12)], "doc_id long, quality int")
+    model = nbsvm.train(docs, labels)
+    assert model.ratio.shape == model.weight.shape == (1 << nbsvm.BITS,)
+
+
 def test_classifier_is_the_model_of_the_definition():
     rng = np.random.default_rng(0)
     rows = [np.unique(rng.integers(0, 40, 12)).astype(np.uint32) for _ in range(60)]
