@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, mixing, nbsvm, onebit, recompress, simhash, template, urlfilter, vafile, warc
+from . import audit, bpe, lexical, mixing, nbsvm, onebit, recompress, sharding, simhash, template, urlfilter, vafile, warc
 from .common import table
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -69,10 +69,26 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op11_jump_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.assign(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+def op12_hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lists = lexical.index(table(spark, sf_dir, "documents", "doc_id", "text"))
+    return lexical.search(lists, table(spark, sf_dir, "benchmark", "item_id", "text"))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audit(table(spark, sf_dir, "documents", "doc_id", "text", "lang"), table(spark, sf_dir, "labels", "doc_id", "quality", "toxic"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_warc, op2_va_file, op3_url_filter, op4_mixing, op5_recompression, op6_templates, op7_nb_svm, op8_byte_bpe, op9_one_bit_codes, op10_simhash)
-}
+    for f in (
+        op1_warc, op2_va_file, op3_url_filter, op4_mixing, op5_recompression, op6_templates, op7_nb_svm, op8_byte_bpe, op9_one_bit_codes, op10_simhash,
+        op11_jump_hash, op12_hybrid_search, op13_filter_audit,
+    )
+}
 
 _HOST_PATH = """
   SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*', 0), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
@@ -108,4 +124,47 @@ SELECT page_id, host, path, rule, CASE
     WHEN rule IN ('org/', 'com/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block'
     WHEN listed.url_key IS NOT NULL THEN 'block' ELSE 'allow' END AS verdict
 FROM ruled LEFT JOIN listed ON ruled.url_key = listed.url_key""",
+    "op11_jump_hash": """
+WITH RECURSIVE bits AS (SELECT unnest(range(256))::BIGINT AS i, 0 AS k, unnest(range(256))::BIGINT AS c
+  UNION ALL SELECT i, k + 1, CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM bits WHERE k < 8),
+steps AS (SELECT list(c ORDER BY i) AS t FROM bits WHERE k = 8),
+d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+f AS (SELECT r, doc_id, CAST(octet_length(encode(text)) + 1 AS BIGINT) AS size,
+  xor(list_reduce(list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda h: CAST('0x' || h AS BIGINT)),
+    lambda c, b: xor(c >> 8, t[CAST(xor(c & 255, b) AS INTEGER) + 1]), 4294967295), 4294967295) AS text_crc32,
+  CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 16) AS UBIGINT) AS seed FROM d, steps),
+walk AS (SELECT r, CAST(seed AS HUGEINT) AS state, CAST(-1 AS BIGINT) AS spot, CAST(0 AS BIGINT) AS next FROM f
+  UNION ALL SELECT r, s, next, CAST(floor((next + 1) * (2147483648.0::DOUBLE / ((s // 8589934592) + 1))) AS BIGINT)
+  FROM (SELECT r, next, (state * 2862933555777941757 + 1) % 18446744073709551616 AS s FROM walk WHERE next < 17)),
+j AS (SELECT r, CAST(max(spot) FILTER (spot < 16) AS INTEGER) AS shard, CAST(max(spot) AS INTEGER) AS grown_shard FROM walk GROUP BY r)
+SELECT doc_id, size, text_crc32, 'key' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY doc_id NULLS LAST, text_crc32, size) - 1 AS slot, grown_shard FROM f JOIN j USING (r)""",
+    "op12_hybrid_search": """
+WITH t AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM documents),
+p AS (SELECT doc_id, term, count(*) AS tf FROM t GROUP BY ALL),
+n AS (SELECT doc_id, sum(tf)::BIGINT AS n FROM p GROUP BY doc_id),
+g AS (SELECT count(*) AS nn, sum(n)::BIGINT AS ll FROM n),
+w AS (SELECT term, floor(1000 * ln((2 * nn + 2) / (2 * count(*) + 1)))::BIGINT AS w FROM p, g GROUP BY term, nn),
+q AS (SELECT item_id, term, count(*) AS q FROM (SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark) GROUP BY ALL),
+m AS (SELECT doc_id, 75 + (25 * n * nn) // ll AS m FROM n, g),
+s AS (SELECT item_id, doc_id, sum(q * w * ((1000000000 * tf) // (1000 * tf + 12 * m)))::BIGINT AS score
+  FROM q JOIN w USING (term) JOIN p USING (term) JOIN m USING (doc_id) GROUP BY item_id, doc_id),
+r AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score FROM s WHERE score > 0)
+SELECT * FROM r WHERE rank <= 20""",
+    "op13_filter_audit": """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, coalesce(lang, '') AS part, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+l AS (SELECT doc_id, max(quality) AS quality, max(toxic) AS toxic FROM labels GROUP BY doc_id),
+f AS (SELECT part, coalesce(quality = 1, false) AS good, coalesce(toxic = 1, false) AS toxic,
+  (CASE WHEN len(w) < 200 THEN 'A' ELSE '' END) || (CASE WHEN 100 * len(list_distinct(w)) < 50 * len(w) THEN 'B' ELSE '' END)
+  || (CASE WHEN 100 * length(regexp_replace(text, '[^A-Z]+', '', 'g')) > 3 * length(text) THEN 'C' ELSE '' END)
+  || (CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 'D' ELSE '' END)
+  || (CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY text) THEN 'E' ELSE '' END) AS fails FROM d LEFT JOIN l USING (doc_id)),
+c AS (SELECT part, fails, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM f GROUP BY part, fails),
+x AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+o AS (SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM x AS a, x AS b, x AS c, x AS d, x AS e WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+s AS (SELECT filter_order, CAST(k AS INTEGER) AS step, substr(filter_order, k, 1) AS y, left(filter_order, k - 1) AS b FROM o, range(1, 6) AS r(k)),
+r AS (SELECT *, strpos(fails, y) > 0 AS hit, b <> '' AND fails <> '' AND len(list_intersect(string_split(b, ''), string_split(fails, ''))) > 0 AS gone FROM c, s),
+a AS (SELECT part, filter_order, step, y, coalesce(sum(n) FILTER (NOT gone AND NOT hit), 0)::BIGINT AS kept, coalesce(sum(n) FILTER (NOT gone AND hit), 0)::BIGINT AS removed,
+  coalesce(sum(n) FILTER (gone AND hit), 0)::BIGINT AS redundant, coalesce(sum(n) FILTER (fails = y), 0)::BIGINT AS unique_fails,
+  coalesce(sum(good) FILTER (NOT gone AND hit), 0)::BIGINT AS good_lost, coalesce(sum(toxic) FILTER (NOT gone AND hit), 0)::BIGINT AS toxic_lost FROM r GROUP BY ALL)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, sum(removed) OVER (PARTITION BY part, y)::BIGINT AS shapley FROM a""",
 }
