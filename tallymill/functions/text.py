@@ -70,12 +70,19 @@ def low_signal(c: Column) -> Column:
     return F.coalesce(F.trim(c), F.lit("")).rlike(r"(?i)^((flag|temp|x)_\d+|col\d+)?$")
 
 
+_NUMBER = r"-?(?:\d+(?:\.\d*)?|\.\d+)(?:[eE][+-]?\d+)?"
+#: What stands in a list's brackets, brackets inside it to any use of them in row lists.
+_LIST = r"^(?:[^()]++|\((?:[^()]++|\((?:[^()]++|\([^()]*+\))*+\))*+\))*+"
+_MARK = "\u0001"
+
+
 def redact(c: Column) -> Column:
-    """Quoted strings, compared numbers and numbers in IN lists of a statement made anonymous; a sign before a number goes with it."""
-    texts = F.regexp_replace(c, r"N?'(?:[^']|'')*'", "'<REDACTED>'")
-    compared = F.regexp_replace(texts, r"([=<>]\s*)-?\d+(?:\.\d+)?", "$1<N>")
-    parts = F.split(compared, r"(?i)(?<=\bin\s{0,9}\()", -1)  # behind each IN ( starts a part whose first bracket is its list
-    listed = lambda x: F.concat(F.regexp_replace(F.regexp_extract(x, r"^[^)]*", 0), r"-?\b\d+(?:\.\d+)?\b", "<N>"), F.regexp_replace(x, r"^[^)]*", ""))
+    """Quoted strings, compared numbers and numbers in IN lists of a statement made anonymous, lists of rows included; a sign before a number goes with it. A control character 1 in the text becomes a blank."""
+    texts = F.regexp_replace(F.translate(c, _MARK, " "), r"N?'(?:[^']++|'')*+'", "'<REDACTED>'")
+    compared = F.regexp_replace(texts, rf"([=<>]\s*+){_NUMBER}", "$1<N>")
+    parts = F.split(F.regexp_replace(compared, r"(?i)(\bin\s*+\()", f"$1{_MARK}"), _MARK, -1)  # behind each IN ( starts a part that begins with its list
+    number = rf"(?<![\w.])({_NUMBER})(?!\w)"
+    listed = lambda x: F.concat(F.regexp_replace(F.regexp_extract(x, _LIST, 0), number, "<N>"), F.regexp_replace(x, _LIST, ""))
     return F.array_join(F.transform(parts, lambda x, i: F.when(i > 0, listed(x)).otherwise(x)), "")
 
 
@@ -84,25 +91,30 @@ def mask_email(c: Column) -> Column:
 
 
 #: Words in a column's name that say its values are phone numbers, or persons' names.
-PHONE_NAMES = ("phone", "tel", "mobile", "cellular", "fax")
-PERSON_NAMES = ("name", "first_name", "last_name", "full_name", "customer_name", "contact_name")
+PHONE_NAMES = ["phone", "tel", "mobile", "cellular", "טלפון", "נייד", "פלאפון", "fax", "פקס"]
+PERSON_NAMES = ["name", "שם", "full_name", "שם_מלא", "first", "last", "fname", "lname", "customer_name", "שם_לקוח"]
+#: Kinds of personal data with their masks; the last two only in columns whose name tells so.
+PHONE_ABROAD = (r"\+?\d[\d ()-]{6,}\d", "***-***-****")
+PERSON = (r"^\s*\p{L}{2,20}(\s\p{L}{2,20}){1,3}\s*$", "***")
+ANYWHERE = [
+    (r"([A-Za-z0-9])[A-Za-z0-9._%+-]*@[A-Za-z0-9.-]+\.([A-Za-z]{2,})", "$1***@***.$2"),
+    (r"\b\d{4}[ -]?\d{4}[ -]?\d{4}[ -]?\d{4}\b", "**** **** **** ****"),
+    (r"^\s*\d{9}\s*$", "*********"),
+    (r"\b0\d{1,2}[- ]?\d{3}[- ]?\d{4}\b", "***-***-****"),
+]
 
 
 def mask_pii(c: Column, column: str = "") -> Column:
-    """Personal data masked by the first kind that a value has: emails, card numbers, an identity number of nine digits, phone numbers, names.
+    """Personal data masked, every kind that a value has, one after the other: emails, card numbers, an identity number of nine digits, phone numbers, names.
 
     Local phone numbers (0, area, seven digits) go anywhere; international ones, and values that look like a person's
-    name (two to four capitalised words), only in columns whose name says so.
+    name (two to four words of letters), only in columns whose name says so, in English or Hebrew.
     """
-    card, local, abroad = r"\b\d{4}[ -]?\d{4}[ -]?\d{4}[ -]?\d{4}\b", r"\b0\d{1,2}[- ]?\d{3}[- ]?\d{4}\b", r"\+?\d[\d ()-]{6,}\d"
     words = set(column.lower().replace("-", "_").split("_")) | {column.lower()}
-    out = F.when(c.rlike(r"[A-Za-z0-9._%+-]@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"), mask_email(c)).when(c.rlike(card), F.regexp_replace(c, card, "**** **** **** ****"))
-    out = out.when(F.trim(c).rlike(r"^\d{9}$"), "*********").when(c.rlike(local), F.regexp_replace(c, local, "***-***-****"))
-    if words & set(PHONE_NAMES):
-        out = out.when(c.rlike(abroad), F.regexp_replace(c, abroad, "***-***-****"))
-    if words & set(PERSON_NAMES):
-        out = out.when(F.trim(c).rlike(r"^\p{Lu}\p{L}+( \p{Lu}\p{L}+){1,3}$"), "***")
-    return out.otherwise(c)
+    kinds = ANYWHERE + [PHONE_ABROAD] * bool(words & set(PHONE_NAMES)) + [PERSON] * bool(words & set(PERSON_NAMES))
+    for pattern, mask in kinds:
+        c = F.regexp_replace(c, pattern, mask)
+    return c
 
 
 def mask_rtl(c: Column) -> Column:

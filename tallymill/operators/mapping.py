@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import names as N
 from ..functions.text import low_signal, name_key, normalize_name
+from ..plans.scratch import materialize
 
 FLOOR, CONFIRMED = 0.4, 0.8
 #: Columns of a table that are scored pair by pair; columns that a search returns.
@@ -41,11 +42,32 @@ def nearest_names(names: DataFrame, catalog: DataFrame, k: int = NEAREST) -> Dat
     return pairs.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= k).drop("_rank")
 
 
-def blended(names: DataFrame, catalog: DataFrame, pairwise: int = PAIRWISE) -> DataFrame:
-    """(table_key, name, col, score): 0.55 of the vector product and 0.45 of the lexical ratio, for each name and each column of its table.
+def candidates(names: DataFrame, catalog: DataFrame, keep: int | None = BOOSTED) -> DataFrame:
+    """(table_key, name, col, product, low, high): the columns of each name's table that can be its best by blended score, or among the `keep` best of an ambiguous name.
 
-    Vectors are made once for each name and column, before they meet. In a table of more than `pairwise` columns a name
-    has one row: its nearest column, scored with the best lexical ratio to any.
+    Vectors, character counts and their products are built-in functions on rows made once for each name and column. low
+    and high bound the score, from bounds of the lexical ratio; a column whose high bound is below the largest low bound of
+    its name (the keep-th of an ambiguous one) is out, and only the others reach the matching blocks in Python. None keeps all.
+    """
+    left = names.select("table_key", "name", N.hash_vector(F.concat(F.lit("log column identifier: "), F.col("name"))).alias("_x"), N.character_counts(F.col("name")).alias("_m"))
+    right = catalog.select("table_key", "col", N.hash_vector(F.concat(F.lit("DDL column canonical: "), F.col("col"))).alias("_y"), N.character_counts(F.col("col")).alias("_n"))
+    met = left.join(right, "table_key").select("table_key", "name", "col", (0.55 * N.dot(F.col("_x"), F.col("_y"))).alias("product"), N.ratio_bounds(F.col("name"), F.col("col"), F.col("_m"), F.col("_n")).alias("_b"))
+    met = materialize(met.select("table_key", "name", "col", "product", F.least(F.lit(1.0), F.col("product") + 0.45 * F.col("_b.low")).alias("low"), F.least(F.lit(1.0), F.col("product") + 0.45 * F.col("_b.high")).alias("high")))
+    if keep is None:
+        return met
+    doubtful = F.coalesce(N.ambiguous(normalize_name(F.col("name"))), F.lit(False))
+    floors = met.where(~doubtful).groupBy("table_key", "name").agg(F.max("low").alias("floor"))
+    rank = F.row_number().over(Window.partitionBy("table_key", "name").orderBy(F.col("low").desc()))
+    floors = floors.union(met.where(doubtful).withColumn("_rank", rank).where(F.col("_rank") == keep).select("table_key", "name", "low"))
+    # Rounding may differ by a bit between a bound and the score itself.
+    return met.join(floors, ["table_key", "name"], "left").where("floor is null or high >= floor - 1e-9").drop("floor")
+
+
+def blended(names: DataFrame, catalog: DataFrame, pairwise: int = PAIRWISE, best: bool = False) -> DataFrame:
+    """(table_key, name, col, score): 0.55 of the vector product and 0.45 of the lexical ratio, for each name and each column of its table; if best, only for columns that candidates() leaves.
+
+    In a table of more than `pairwise` columns a name has one row: its nearest column, scored with the best lexical
+    ratio to any.
     """
     wide = catalog.groupBy("table_key").agg(F.count("*").alias("n")).where(F.col("n") > pairwise).select("table_key")
     many, catalog = catalog.join(wide, "table_key", "left_semi"), catalog.join(wide, "table_key", "left_anti")
@@ -53,10 +75,13 @@ def blended(names: DataFrame, catalog: DataFrame, pairwise: int = PAIRWISE) -> D
     likest = names.join(many, "table_key").groupBy("table_key", "name").agg(lexical)
     found = nearest_names(names, many, 1).join(likest, ["table_key", "name"])
     found = found.select("table_key", "name", "col", F.least(F.lit(1.0), 0.55 * F.col("score") + 0.45 * F.col("_lexical")).alias("score"))
-    left = names.select("table_key", "name", N.hash_vector(F.concat(F.lit("log column identifier: "), F.col("name"))).alias("_x"))
-    right = catalog.select("table_key", "col", N.hash_vector(F.concat(F.lit("DDL column canonical: "), F.col("col"))).alias("_y"))
-    score = F.least(F.lit(1.0), 0.55 * N.dot(F.col("_x"), F.col("_y")) + 0.45 * N.lexical_ratio(F.col("name"), F.col("col")))
-    return left.join(right, "table_key").select("table_key", "name", "col", score.alias("score")).union(found)
+    score = F.least(F.lit(1.0), F.col("product") + 0.45 * N.lexical_ratio(F.col("name"), F.col("col")))
+    rows = candidates(names, catalog, keep=BOOSTED if best else None)
+    return materialize(rows).select("table_key", "name", "col", score.alias("score")).union(found)
+
+
+def best_blended(names: DataFrame, catalog: DataFrame) -> DataFrame:
+    return blended(names, catalog, best=True)
 
 
 def scored(score: N.Score):
@@ -88,7 +113,7 @@ def best_candidate(pairs: DataFrame, peers: DataFrame | None = None) -> DataFram
     return top.select("table_key", "name", F.col("b.col").alias("target"), F.col("b.score").alias("score"))
 
 
-def resolve_names(usage: DataFrame, catalog: DataFrame, glossary: DataFrame, pairs=blended, peers: DataFrame | None = None, floor: float = FLOOR, confirmed: float = CONFIRMED) -> DataFrame:
+def resolve_names(usage: DataFrame, catalog: DataFrame, glossary: DataFrame, pairs=best_blended, peers: DataFrame | None = None, floor: float = FLOOR, confirmed: float = CONFIRMED) -> DataFrame:
     """The mapping of all names: glossary, else equality, else the best candidate.
 
     A name that says nothing keeps 0.35 of its score; a right-to-left name without glossary or equality stays below the

@@ -261,10 +261,10 @@ def ascii_share(spark, sf_dir):
 
 
 @query(
-    r"""WITH t AS (SELECT doc_id, text, '\b\d{4}[ -]?\d{4}[ -]?\d{4}[ -]?\d{4}\b' AS card, '\b0\d{1,2}[- ]?\d{3}[- ]?\d{4}\b' AS phone FROM documents)
-SELECT doc_id, CASE WHEN regexp_matches(text, '[A-Za-z0-9._%+-]@[A-Za-z0-9.-]+\.[A-Za-z]{2,}') THEN regexp_replace(text, '([A-Za-z0-9])[A-Za-z0-9._%+-]*@[A-Za-z0-9.-]+\.([A-Za-z]{2,})', '\1***@***.\2', 'g')
-  WHEN regexp_matches(text, card) THEN regexp_replace(text, '\b\d{4}[ -]?\d{4}[ -]?\d{4}[ -]?\d{4}\b', '**** **** **** ****', 'g') WHEN regexp_matches(trim(text), '^\d{9}$') THEN '*********'
-  WHEN regexp_matches(text, phone) THEN regexp_replace(text, '\b0\d{1,2}[- ]?\d{3}[- ]?\d{4}\b', '***-***-****', 'g') ELSE text END AS masked FROM t"""
+    r"""WITH e AS (SELECT doc_id, regexp_replace(text, '([A-Za-z0-9])[A-Za-z0-9._%+-]*@[A-Za-z0-9.-]+\.([A-Za-z]{2,})', '\1***@***.\2', 'g') AS t FROM documents),
+c AS (SELECT doc_id, regexp_replace(t, '\b\d{4}[ -]?\d{4}[ -]?\d{4}[ -]?\d{4}\b', '**** **** **** ****', 'g') AS t FROM e),
+i AS (SELECT doc_id, regexp_replace(t, '^\s*\d{9}\s*$', '*********') AS t FROM c)
+SELECT doc_id, regexp_replace(t, '\b0\d{1,2}[- ]?\d{3}[- ]?\d{4}\b', '***-***-****', 'g') AS masked FROM i"""
 )
 def pii_masking(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id", T.mask_pii(F.col("text")).alias("masked"))

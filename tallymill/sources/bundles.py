@@ -2,8 +2,15 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType, TimestampType
+from pyspark.sql.utils import AnalysisException
+
+#: Signs of a run's id that don't go into a folder's name.
+F_SAFE = re.compile(r"[^A-Za-z0-9_.-]")
 
 MODEL = "struct<resource_type: string, name: string, schema: string, alias: string, original_file_path: string, columns: map<string, string>, config: struct<materialized: string, unique_key: string>>"
 
@@ -53,6 +60,39 @@ def append_audit(rows: DataFrame, path: str) -> None:
     rows.withColumn("timestamp", F.current_timestamp()).write.mode("append").json(path)
 
 
+def append_run(rows: DataFrame, path: str, run_id: str) -> bool:
+    """Append a run's audit entries, stamped with the time, exactly once; false if the run is there already.
+
+    The entries go to a folder of their own, and an entry of the run in the manifest, written last, makes them visible. A
+    job that failed in between, and one that is started twice, writes the same folder again: nothing is doubled or half seen.
+    """
+    spark = rows.sparkSession
+    known = read_runs(spark, path)
+    if known is not None and not known.where(F.col("run_id") == run_id).isEmpty():
+        return False
+    folder = f"run={F_SAFE.sub(lambda m: '%' + m[0].encode().hex(), run_id)}"
+    rows.withColumn("run_id", F.lit(run_id)).withColumn("timestamp", F.current_timestamp()).write.mode("overwrite").json(f"{path}/entries/{folder}")
+    spark.range(1).select(F.lit(run_id).alias("run_id"), F.current_timestamp().alias("finished")).coalesce(1).write.mode("overwrite").json(f"{path}/manifest/{folder}")
+    return True
+
+
+def read_runs(spark: SparkSession, path: str) -> DataFrame | None:
+    """(run_id, finished) of the runs that an audit log shows; None before the first."""
+    try:
+        return spark.read.schema("run_id string, finished timestamp").json(f"{path}/manifest/*")
+    except AnalysisException:
+        return None
+
+
+def read_audit(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """Entries of an audit log that append_run() wrote, with run_id and timestamp; those of unfinished runs are left out."""
+    runs = read_runs(spark, path)
+    whole = StructType([*schema.fields, StructField("run_id", StringType()), StructField("timestamp", TimestampType())])
+    if runs is None:
+        return spark.createDataFrame([], whole)
+    return spark.read.schema(whole).json(f"{path}/entries/*").join(runs.select("run_id").distinct(), "run_id", "left_semi").select(*whole.names)
+
+
 def model_nodes(texts: DataFrame) -> DataFrame:
     """(model, relation, materialized, columns, unique_key ARRAY, path) of the models in manifests (value: JSON text).
 
