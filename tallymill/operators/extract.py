@@ -12,6 +12,8 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from functools import reduce
+from operator import or_
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation
@@ -339,11 +341,14 @@ _NUMBERS = r"(?<![\w.])\d[\d.]*(?:[eE][+-]?\d+)?(?!\w)"
 
 def shape(sql: Column) -> Column:
     """A statement without its literals: texts emptied, numbers 0, comments and runs of blanks one blank. It has the same references."""
-    out = F.regexp_replace(F.coalesce(sql, F.lit("")), _TEXTS, "$1$2$3 ")
-    between = F.transform(F.split(out, _QUOTED, -1), lambda x: F.regexp_replace(x, _NUMBERS, "0"))
-    names = F.regexp_extract_all(out, F.lit(_QUOTED), F.lit(0))
-    out = F.array_join(F.zip_with(between, names, lambda x, n: F.concat(x, F.coalesce(n, F.lit("")))), "")
-    return F.trim(F.regexp_replace(out, r"\s+", " "))
+    once = lambda value, f: F.element_at(F.transform(F.array(value), f), 1)  # noqa: E731  # a value that is used more than once, made once
+    holds = lambda c, *signs: reduce(or_, (F.contains(c, F.lit(s)) for s in signs))
+    numbers = lambda c: F.regexp_replace(c, _NUMBERS, "0")
+    names = lambda c: F.regexp_extract_all(c, F.lit(_QUOTED), F.lit(0))
+    between = lambda c: F.zip_with(F.transform(F.split(c, _QUOTED, -1), numbers), names(c), lambda x, n: F.concat(x, F.coalesce(n, F.lit(""))))
+    plain = lambda c: F.when(holds(c, "'", "--", "/*"), F.regexp_replace(c, _TEXTS, "$1$2$3 ")).otherwise(c)
+    bare = once(plain(F.coalesce(sql, F.lit(""))), lambda c: F.when(holds(c, '"', "`", "["), F.array_join(between(c), "")).otherwise(numbers(c)))
+    return F.trim(F.regexp_replace(bare, r"\s+", " "))
 
 
 def _rows(log: DataFrame, sql: str, read: Callable[[str], list[tuple]], schema: str) -> DataFrame:
@@ -359,7 +364,7 @@ def _rows(log: DataFrame, sql: str, read: Callable[[str], list[tuple]], schema:
                 who = b.column(0).take(pa.array(cols[0], pa.int64()))
                 yield pa.RecordBatch.from_arrays([who, pa.array(cols[1], pa.int32()), *(pa.array(c, pa.string()) for c in cols[2:])], names=names)
 
-    shaped = log.select("stmt", shape(F.col(sql)).alias("_text")).withColumn("_shape", F.md5("_text"))
+    shaped = materialize(log.select("stmt", shape(F.col(sql)).alias("_text"))).withColumn("_shape", F.md5("_text"))
     distinct = materialize(shaped.groupBy("_shape").agg(F.first("_text").alias("_text")))
     found = materialize(distinct.select("_shape", "_text").mapInArrow(run, schema).withColumnRenamed("stmt", "_of"))
     wide = ["_of", *names[2:]]
