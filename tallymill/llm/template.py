@@ -3,7 +3,7 @@
 A page's tokens are its elements, by path, and its text blocks, by path and text. On each host, tokens that occur the
 same number of times on the same pages have one occurrence vector; it is kept as sums over pages (pages, count, and
 count times each of two hashes of the page), so classes come from a plain aggregation and no host's pages are gathered.
-Copies, pages of a host that differ in digits alone, count as one page. Classes on at least SHARE of the host's pages
+Copies, pages of a host whose article blocks differ in digits alone (a print view, say), count as one page. Classes on at least SHARE of the host's pages
 that aren't empty are candidates, whatever their counts. They nest by support: a token stands in the slot between the
 nearest tokens, elements or texts, that are once a page in classes of more pages (or as many, if it is not once a page
 itself). Where it stands (slot, and its number among the tokens of its class there) is counted over pages; a token is
@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 from .common import materialize, slices, small_side
 from .urlfilter import host_path
 
-#: Pages that a host must have for a template: one page alone repeats nothing.
-MIN_PAGES = 2
+#: Distinct pages that a host must have for a template: what two pages share may as well be a passage of both articles.
+MIN_PAGES = 3
 #: Part of a host's pages that a class, and a place of a token, must be on.
 SHARE = 0.5
 #: Fixed values of HTML: elements that break text into blocks, that have no content, whose content is no markup and not for readers.
@@ -55,7 +55,7 @@ PIECE = re.compile(
 )
 ENDS = {tag: re.compile(rf"</{tag}\s*>", re.IGNORECASE) for tag in RAW}
 ATTRIBUTE = re.compile(r"""(class|id|role|style|hidden|aria-hidden)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.IGNORECASE)
-WORD = re.compile(r"[a-z]+")
+WORD, DIGITS = re.compile(r"[a-z]+"), re.compile("[0-9]+")
 
 
 def _names(value: str) -> list[str]:
@@ -262,23 +262,24 @@ def main_text(page: str) -> str:
 
 
 #: Place of the bytes among the columns to be parsed.
-RAW_AT = 6
-PARSED = "tokens array<bigint>, blocks array<int>, numbers array<int>, texts array<string>, cost bigint"
+RAW_AT = 5
+PARSED = "like bigint, tokens array<bigint>, blocks array<int>, numbers array<int>, texts array<string>, cost bigint"
 
 
 def _parsed_rows(batches):
-    """Rows with the last column, html in bytes, parsed: the page's tokens and their blocks, the article's blocks by number and text, and the bytes that all take."""
+    """Rows with the last column, html in bytes, parsed: a hash of the article with its digits alike, the page's tokens and their blocks, the article's blocks by number and text, and the bytes that all take."""
     for b in slices(batches, RAW_AT):
-        cols: list[list] = [[], [], [], [], []]
+        cols: list[list] = [[], [], [], [], [], []]
         for data in b.column(b.num_columns - 1).to_pylist():
             blocks, elements = parse(data.decode("utf-8", "replace"))
             page, kept = events(blocks, elements), article(blocks)
             texts = [blocks[i][1] for i in kept]
-            for col, x in zip(cols, ([t for t, _ in page], [i for _, i in page], kept, texts, 12 * len(page) + sum(map(len, texts)))):
+            like = xxhash.xxh64_intdigest(DIGITS.sub("0", "\n".join(texts))) >> 1
+            for col, x in zip(cols, (like, [t for t, _ in page], [i for _, i in page], kept, texts, 12 * len(page) + sum(map(len, texts)))):
                 col.append(x)
-        types = [pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.string()), pa.int64()]
+        types = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.string()), pa.int64()]
         cols = [*b.columns[:-1], *map(pa.array, cols, types)]
-        yield pa.RecordBatch.from_arrays(cols, names=[*b.schema.names[:-1], "tokens", "blocks", "numbers", "texts", "cost"])
+        yield pa.RecordBatch.from_arrays(cols, names=[*b.schema.names[:-1], "like", "tokens", "blocks", "numbers", "texts", "cost"])
 
 
 def _token_rows(batches):
@@ -324,7 +325,7 @@ ARRAYS = ["members", "kinds", "pages", "counts"]
 
 
 def distinct_pages(pages: DataFrame) -> DataFrame:
-    """Parsed pages without those that differ from one of smaller page_id on their host in digits alone."""
+    """Parsed pages without those whose article differs from that of one of smaller page_id on their host in digits alone."""
     groups = pages.groupBy(F.col("host").alias("on"), F.col("like").alias("as")).agg(F.count("*").alias("n"), F.min("page_id").alias("first"))
     again = small_side(materialize(groups.where("n > 1 and first is not null").drop("n")), "on")
     rows = pages.join(again, (F.col("host") == F.col("on")) & (F.col("like") == F.col("as")), "left")
@@ -332,17 +333,16 @@ def distinct_pages(pages: DataFrame) -> DataFrame:
 
 
 def parsed(pages: DataFrame) -> DataFrame:
-    """pages (page_id, url, html) parsed once and written: with host, hashes of the html with its digits alike and of page and html, and the columns PARSED."""
+    """pages (page_id, url, html) parsed once and written: with host, hashes of page and html, and the columns PARSED."""
     rows = pages.select(
         "page_id",
         F.col("url").cast("string").alias("url"),
         host_path(F.col("url"))[0].alias("host"),
-        F.xxhash64(F.regexp_replace("html", "[0-9]+", "0")).alias("like"),
         F.xxhash64("page_id", "html").alias("one"),
         F.xxhash64(F.lit(1), "page_id", "html").alias("two"),
         F.coalesce(F.col("html").cast("binary"), F.lit(b"")).alias("raw"),
     )
-    known = f"page_id {pages.schema['page_id'].dataType.simpleString()}, url string, host string, like bigint, one bigint, two bigint"
+    known = f"page_id {pages.schema['page_id'].dataType.simpleString()}, url string, host string, one bigint, two bigint"
     return materialize(rows.mapInArrow(_parsed_rows, f"{known}, {PARSED}"), "zstd")
 
 
@@ -371,8 +371,9 @@ def extract(pages: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
     """(page_id, url, text, n_chars), a row per row of pages (page_id, url, html).
 
     Null or empty html gives an empty text, html of any length is read whole; a null url, or one without ://, has the
-    empty host, whose pages form a host. A host with fewer than min_pages pages has no template, and its pages keep all
-    blocks of the article. Ids may be null or repeat; of equal pages with different ids one shapes the template and all
+    empty host, whose pages form a host. A host with fewer than min_pages distinct pages has no template, and its pages
+    keep all blocks of the article; so does a page of which the template would leave nothing. A page with a main or
+    article element loses what text stands beside it. Ids may be null or repeat; of equal pages with different ids one shapes the template and all
     get their text. Other columns are ignored. No rows in, none out.
     """
     rows = parsed(pages)
@@ -381,11 +382,14 @@ def extract(pages: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
     def run(batches):
         for b in slices(batches, 7):
             out, last, classes, valid = [], None, {}, frozenset()
-            for host, tokens, blocks, numbers, texts, _, found, *arrays in zip(*(c.to_pylist() for c in b.columns[2:])):
-                if found and host != last:
+            has = b.column(8).is_valid().to_pylist()
+            for r, (host, tokens, blocks, numbers, texts) in enumerate(zip(*(c.to_pylist() for c in b.columns[2:7]))):
+                if has[r] and host != last:  # a host's arrays are the same on all its rows
+                    found, *arrays = (b.column(k)[r].as_py() for k in range(8, 13))
                     last, classes, valid = host, _classes(*arrays), frozenset(found)
-                constant = {i for x, i in places(zip(tokens, blocks), classes) if x in valid} if found else frozenset()
-                out.append("\n".join(t for i, t in zip(numbers, texts) if i not in constant))
+                constant = {i for x, i in places(zip(tokens, blocks), classes) if x in valid} if has[r] else frozenset()
+                left = [t for i, t in zip(numbers, texts) if i not in constant]
+                out.append("\n".join(left or texts))  # a page that is all template is the article that it repeats
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.string()), pa.array([len(t) for t in out], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     rows = rows.join(known, "host", "left").select("page_id", "url", "host", "tokens", "blocks", "numbers", "texts", "cost", "places", *ARRAYS)

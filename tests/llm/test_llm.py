@@ -538,6 +538,20 @@ def test_template_is_brute_force_and_decides(spark):
     assert sum(got[i] != alone[i] for i in range(9)) == 9
 
 
+def test_repeated_articles_stay(spark):
+    """Print views, a shared passage, and pages that are nothing but what others repeat."""
+    story = "<h1>One story</h1><p>Its first part.<p>Its second part."
+    rows = [
+        (1, "http://a.com/1", f"<article>{story}</article><footer>f</footer>"), (2, "http://a.com/1p", f"<article>{story}</article><footer>another</footer>"), (3, "http://a.com/2", "<article><p>other words</article>"),
+        (4, "http://b.com/1", "<article><p>A passage.</article>"), (5, "http://b.com/2", "<article><p>A passage.<p>And more.</article>"),
+        *((10 + i, f"http://c.com/{i}", f"<article><p>The same.{'<p>own ' + 'xyzuvw'[i] if i else ''}</article>") for i in range(6)),
+    ]
+    got = {r.page_id: r.text for r in template.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    whole = "One story\nIts first part.\nIts second part."
+    assert got[1] == got[2] == whole and got[3] == "other words" and got[4] == "A passage." and got[5] == "A passage.\nAnd more."
+    assert got[10] == "The same." and got[11] == "own y"
+
+
 def test_template_takes_constant_texts(spark):
     word = lambda i, j: "".join("abcdefghij"[int(c)] for c in str(100 + i * 10 + j))
     rows = [(i, f"http://h.com/{i}", PAGE.format(f"text {word(i, 0)} " + "".join(f"<p>more {word(i, j)}" for j in range(1, 6))), "k") for i in range(6)] + [(None, None, None, "k"), (50, "http://one.com/", PAGE.format("z"), "k")] + [(60, "http://h.com/0", "", "k")] * 2
