@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_name, quoted, slices
+from .common import free_name, odd_names_aside, quoted, slices
 
 #: Unicode's White_Space; the contractions of the pattern, by length.
 WHITE_SPACE = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
@@ -301,6 +301,7 @@ def _raw(text_col: str) -> Column:
     return F.coalesce(F.col(text_col).cast("binary"), F.lit(b""))
 
 
+@odd_names_aside
 def encode(docs: DataFrame, ranks_path: str, text_col: str = "text") -> DataFrame:
     """docs with columns ids ARRAY<INT> and offsets ARRAY<BIGINT> (byte offsets of the tokens and the text's end).
 
@@ -321,6 +322,7 @@ def encode(docs: DataFrame, ranks_path: str, text_col: str = "text") -> DataFram
     return docs.select(*map(quoted, keep), _raw(text_col).alias(free_name(docs, "_raw"))).mapInArrow(run, schema)
 
 
+@odd_names_aside
 def decode(encoded: DataFrame, ranks_path: str, ids_col: str = "ids") -> DataFrame:
     """encoded with a column decoded BINARY: the bytes its ids stand for; null ids give no bytes."""
     keep = [c for c in encoded.columns if c != "decoded"]

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from functools import wraps
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -11,7 +14,7 @@ from pyspark.sql import functions as F
 from ..operators.components import components
 from ..plans.scratch import drop_scratch, free_name, materialize, scratch_dir, small_side
 
-__all__ = ["WORD", "components", "drop_scratch", "free_name", "materialize", "quoted", "scratch_dir", "slices", "small_side", "table", "word_count"]
+__all__ = ["WORD", "components", "drop_scratch", "free_name", "materialize", "odd_names_aside", "quoted", "scratch_dir", "slices", "small_side", "table", "word_count"]
 
 #: A word, as every operator here reads it.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -32,6 +35,24 @@ def quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
+def odd_names_aside(f):
+    """f(docs, ...) with columns of docs whose names aren't plain words (dots, backticks, blanks) numbered meanwhile: functions on Arrow batches resolve columns by name."""
+
+    @wraps(f)
+    def run(docs: DataFrame, *args, **kwargs) -> DataFrame:
+        odd: dict[str, str] = {}
+        for i, c in enumerate(docs.columns):
+            if not re.fullmatch(r"\w+", c):
+                odd[c] = free_name(docs, f"_column_{i}")
+        if not odd:
+            return f(docs, *args, **kwargs)
+        out = f(docs.toDF(*(odd.get(c, c) for c in docs.columns)), *args, **kwargs)
+        back = {plain: c for c, plain in odd.items()}
+        return out.toDF(*(back.get(c, c) for c in out.columns))
+
+    return run
+
+
 def slices(batches, column: int, most: int = 1 << 20):
     """Arrow batches cut so that a slice holds about `most` bytes of a string or binary column, or one longer text.
 

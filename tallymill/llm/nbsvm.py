@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import drop_scratch, free_name, materialize, quoted, slices
+from .common import drop_scratch, free_name, materialize, odd_names_aside, quoted, slices
 
 SAMPLE, SAMPLE_BYTES, BITS, SIZES, SHAPE_SIZE = 6000, 64 << 20, 18, (2, 3), 5
 THRESHOLD, COST, EPOCHS, FOLDS = 0.3, 1.0, 30, 4
@@ -227,6 +227,7 @@ def _fitted(t: pa.Table) -> pa.Table:
     return pa.table({"ratio": [m.ratio.tobytes()], "weight": [m.weight.tobytes()], "bias": [float(m.bias)], "slope": [float(m.slope)], "shift": [float(m.shift)]})
 
 
+@odd_names_aside
 def score(docs: DataFrame, model: Model | None, text_col: str = "text", out: str = "score") -> DataFrame:
     """docs with a DOUBLE column in 0..1, higher where label 1 is likelier; a model of None gives 0.5.
 

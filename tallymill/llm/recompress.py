@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_scratch, free_name, materialize, quoted, slices, small_side
+from .common import drop_scratch, free_name, materialize, odd_names_aside, quoted, slices, small_side
 
 WINDOW, ROUNDS = 35, 3
 _U = np.uint64
@@ -280,6 +280,7 @@ def summaries(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
     return rows.mapInArrow(run, f"doc_id {kind}, n_words bigint, n_removed bigint, kept_sha256 string")
 
 
+@odd_names_aside
 def strip_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
     """docs with repeated windows removed from the texts; all columns and rows stay, texts without repeats stay as they are, null texts too.
 
