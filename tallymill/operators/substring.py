@@ -24,39 +24,45 @@ def grams(text: Column, width: int) -> Column:
 
 def _folded(rows: DataFrame, column: str, fold: bool) -> DataFrame:
     value = F.lower(column) if fold else F.col(column)
-    return rows.select(value.alias("_v")).where("_v <> ''").distinct()
+    return rows.select(value.alias("_v")).where("_v <> ''")
 
 
-def pairs(texts: DataFrame, names: DataFrame, text_col: str, name_col: str, q: int = Q, fold: bool = True, salt_rows: int = SALT_ROWS) -> DataFrame:
-    """(name, text): each pair of a distinct name and a distinct text that contains it, case aside (lower-cased) if fold.
-
-    Nulls and empty texts and names are in no pair; every other text contains itself. Repeated rows count once. Texts are
-    read whole, and neither they nor names are capped.
-    """
-    whole = materialize(_folded(texts, text_col, fold).select(F.col("_v").alias("text"), F.xxhash64("_v").alias("_t")))
+def _verified(texts: DataFrame, names: DataFrame, text_col: str, name_col: str, q: int, fold: bool, salt_rows: int) -> DataFrame:
+    """(name, text) pairs, once for each row of texts. Texts are scanned twice, for their grams and for the candidates' verification, and shuffled only if the candidates are too many to broadcast."""
+    whole = _folded(texts, text_col, fold).select(F.col("_v").alias("text"), F.xxhash64("_v").alias("_t"))
     name = F.col("name")
-    own = _folded(names, name_col, fold).select(F.col("_v").alias("name"), F.least(F.char_length("_v"), F.lit(q)).alias("_w"))
+    own = materialize(_folded(names, name_col, fold).distinct().select(F.col("_v").alias("name"), F.least(F.char_length("_v"), F.lit(q)).alias("_w")))
     widths = range(1, q + 1)
     each = F.explode(F.coalesce(*(F.when(F.col("_w") == w, grams(name, w)) for w in widths))).alias("gram")
     asked = materialize(own.select("name", each))
-    used = [w for w in widths if not own.where(F.col("_w") == w).isEmpty()]
-    listed = whole.select("_t", F.explode(F.flatten(F.array(*(grams(F.col("text"), w) for w in used))) if used else F.array().cast("array<string>")).alias("gram"))
+    used = [r[0] for r in own.select("_w").distinct().collect()]  # at most q numbers
+    every = F.flatten(F.array(*(grams(F.col("text"), w) for w in sorted(used)))) if used else F.array().cast("array<string>")
     wanted = small_side(materialize(asked.select("gram").distinct()), "gram")
-    df = materialize(listed.join(wanted, "gram", "left_semi").groupBy("gram").agg(F.count("*").alias("df")))
+    listed = materialize(whole.select("_t", F.explode(every).alias("gram")).join(wanted, "gram", "left_semi"))
+    df = listed.groupBy("gram").agg(F.count("*").alias("df"))
     # A name with a gram that no text has is in no pair: its least df is null.
     rarest = asked.join(df, "gram", "left").groupBy("name").agg(F.bool_and(F.col("df").isNotNull()).alias("all"), F.min(F.struct("df", "gram")).alias("g")).where("all")
     keyed = materialize(rarest.select("name", "g.gram", F.ceil(F.col("g.df") / salt_rows).cast("int").alias("salts")))
     lists = small_side(materialize(keyed.groupBy("gram").agg(F.max("salts").alias("salts"))), "gram")
     spread = listed.join(lists, "gram").select("_t", "gram", F.pmod(F.xxhash64("_t", F.lit(7)), F.col("salts")).cast("int").alias("salt"))
     dealt = keyed.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
-    met = spread.join(small_side(materialize(dealt), "name", "gram"), ["gram", "salt"]).select("name", "_t")
-    # The text comes last, so that it is shuffled for candidates alone; texts that share a hash are all looked at.
-    return materialize(met).join(whole, "_t").where(F.contains("text", "name")).select("name", "text").distinct()
+    met = materialize(spread.join(small_side(materialize(dealt), "name", "gram"), ["gram", "salt"]).select("name", "_t").distinct())
+    # Texts that share a hash are all looked at.
+    return whole.join(small_side(met, "name"), "_t").where(F.contains("text", "name")).select("name", "text")
+
+
+def pairs(texts: DataFrame, names: DataFrame, text_col: str, name_col: str, q: int = Q, fold: bool = True, salt_rows: int = SALT_ROWS) -> DataFrame:
+    """(name, text): each pair of a distinct name and a distinct text that contains it, case aside (lower-cased) if fold.
+
+    Nulls and empty texts and names are in no pair; every other text contains itself. Repeated rows count once. Texts are
+    read whole, and neither they nor names are capped.
+    """
+    return _verified(texts, names, text_col, name_col, q, fold, salt_rows).distinct()
 
 
-def contained(texts: DataFrame, names: DataFrame, text_col: str, name_col: str, **how) -> DataFrame:
+def contained(texts: DataFrame, names: DataFrame, text_col: str, name_col: str, q: int = Q, fold: bool = True, salt_rows: int = SALT_ROWS) -> DataFrame:
     """(name): the distinct names that are some text or stand inside one."""
-    return pairs(texts, names, text_col, name_col, **how).select("name").distinct()
+    return _verified(texts, names, text_col, name_col, q, fold, salt_rows).select("name").distinct()
 
 
 def near_peers(peers: DataFrame, columns: DataFrame, **how) -> DataFrame:
