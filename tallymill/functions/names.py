@@ -113,7 +113,7 @@ def ratio_bounds(a: Column, b: Column, counts_a: Column, counts_b: Column) -> Co
     """
     x, y = F.coalesce(normalize_name(a), F.lit("")), F.coalesce(normalize_name(b), F.lit(""))
     both = F.length(x) + F.length(y)
-    common = F.aggregate(F.zip_with(counts_a, counts_b, F.least), F.lit(0), lambda s, v: s + v)
+    common = F.aggregate(F.zip_with(counts_a, counts_b, lambda m, n: F.least(m, n)), F.lit(0), lambda s, v: s + v)
     same = lambda k: F.when((F.left(x, F.lit(k)) == F.left(y, F.lit(k))) | (F.right(x, F.lit(k)) == F.right(y, F.lit(k))), k)
     ends = F.coalesce(*(F.when((F.length(x) >= k) & (F.length(y) >= k), same(k)) for k in (12, 8, 6, 4, 3, 2, 1)), F.lit(0))
     point = lambda v: F.struct(F.lit(v).alias("low"), F.lit(v).alias("high"))

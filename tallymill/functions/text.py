@@ -60,9 +60,16 @@ def split_name(c: Column) -> Column:
     return F.struct(F.when(n >= 3, p[0]).alias("db"), F.when(n == 2, p[0]).when(n >= 3, middle).alias("schema"), F.element_at(p, -1).alias("table"))
 
 
+def ascii_names(names: Column) -> Column:
+    """STRUCT<ascii, other, total, listed> of an array of names: how many are ASCII, how many aren't, and the ASCII ones, in order, by commas; nulls don't count."""
+    some = F.array_compact(names)
+    latin = F.filter(some, is_ascii)
+    return F.struct(F.size(latin).alias("ascii"), (F.size(some) - F.size(latin)).alias("other"), F.size(some).alias("total"), F.array_join(latin, ", ").alias("listed"))
+
+
 def manifest_key(c: Column) -> Column:
-    """The last two segments, lower-cased."""
-    return F.lower(F.substring_index(c, ".", -2))
+    """The last two segments, each normalised, lower-cased."""
+    return F.array_join(F.transform(F.split(F.substring_index(c, ".", -2), r"\."), lambda x: F.lower(normalize_name(x))), ".")
 
 
 def low_signal(c: Column) -> Column:
@@ -140,14 +147,40 @@ def strip_blocks(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, r"(?s)\{\{.*?\}\}", ""))
 
 
+def one_line(c: Column, separator: str = " | ") -> Column:
+    """Lines trimmed and joined by a separator, blank ones left out, runs of spaces one space; null is empty."""
+    lines = F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), r"\r\n|\r|\n"), lambda x: F.regexp_replace(x, r"\A\s+|\s+\z", "")), lambda x: x != "")
+    return F.trim(F.regexp_replace(F.array_join(lines, separator), " +", " "))
+
+
 def slug(c: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.lower(c), "[^a-z0-9]+", "-"), "^-|-$", "")
 
 
+def label(c: Column, otherwise: str = "migration") -> Column:
+    """One label: blanks, commas, semicolons and bars become one hyphen, letters of any script stay; nothing left is `otherwise`."""
+    out = F.regexp_replace(F.regexp_replace(F.trim(F.coalesce(c, F.lit(""))), r"[\s,;|]+", "-"), "-+", "-")
+    out = F.regexp_replace(out, "^-|-$", "")
+    return F.when(out == "", otherwise).otherwise(out)
+
+
+def table_label(c: Column) -> Column:
+    """table- and the name, dots as hyphens, lower-cased."""
+    return F.concat(F.lit("table-"), F.lower(F.replace(c, F.lit("."), F.lit("-"))))
+
+
 def band(score: Column) -> Column:
+    """Highest, High, Medium or Low of a score or of a text that reads as one; anything else is Low."""
+    score = score.try_cast("double")
     return F.when(score >= 80, "Highest").when(score >= 60, "High").when(score >= 40, "Medium").otherwise("Low")
 
 
+def short_band(score: Column) -> Column:
+    """high, medium or low."""
+    score = score.try_cast("double")
+    return F.when(score >= 70, "high").when(score >= 40, "medium").otherwise("low")
+
+
 def mention_score(text: Column, schema: str, table: str) -> Column:
     """3 for each schema.table, 2 for each table, 1 more if the table stands as a word; case aside, without overlaps."""
     low = F.lower(F.coalesce(text, F.lit("")))

@@ -14,7 +14,7 @@ from .operators import mapping as M
 from .operators import planning as P
 from .operators import scoring as S
 from .register import query, read
-from .registry import COUNTS, EDGES, planning_waves, statement_table_counts, supplier_edges
+from .registry import COUNTS, EDGES, part_waves, statement_table_counts, supplier_edges
 
 
 def part_column():
@@ -248,17 +248,18 @@ def manifest_overlap(spark, sf_dir):
 WAVES = """n AS (SELECT p_partkey, p_brand, p_retailprice, row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice DESC, p_partkey) AS n FROM part),
 ch AS (SELECT DISTINCT p_brand, (n - 1) // 20 AS chunk FROM n), f AS (SELECT p_brand, p_retailprice, p_partkey FROM n WHERE n = 1),
 w AS (SELECT ch.p_brand, chunk, row_number() OVER (ORDER BY p_retailprice DESC, p_partkey, chunk) AS wave FROM ch JOIN f ON f.p_brand = ch.p_brand),
-pl AS (SELECT p_partkey AS item, CAST(wave AS INTEGER) AS wave FROM n JOIN w ON w.p_brand = n.p_brand AND w.chunk = (n.n - 1) // 20 WHERE wave <= 50)"""
+pl AS (SELECT p_partkey AS item, CAST(wave AS INTEGER) AS wave FROM n JOIN w ON w.p_brand = n.p_brand AND w.chunk = (n.n - 1) // 20)"""
 
 
 def planned_parts(spark, sf_dir) -> DataFrame:
-    return planning_waves(spark, sf_dir).select(F.col("p_partkey").alias("item"), "wave")
+    """Every part with its wave; the cap on waves is the planning query's alone."""
+    return part_waves(spark, sf_dir, None).select(F.col("p_partkey").alias("item"), "wave")
 
 
-@query(f"WITH {WAVES}, gap AS (SELECT s_suppkey AS item FROM supplier WHERE s_acctbal < 0 ORDER BY 1 LIMIT 20) SELECT item, wave, false AS gap FROM pl UNION ALL SELECT item, (SELECT max(wave) FROM pl) + 1, true FROM gap WHERE (SELECT max(wave) FROM pl) < 60")
+@query(f"WITH {WAVES}, gap AS (SELECT s_suppkey AS item FROM supplier WHERE s_acctbal < 0 ORDER BY 1 LIMIT 20) SELECT item, wave, false AS gap FROM pl UNION ALL SELECT item, (SELECT max(wave) FROM pl) + 1, true FROM gap WHERE (SELECT max(wave) FROM pl) < 10000")
 def gap_wave(spark, sf_dir):
     missing = read(spark, sf_dir, "supplier").where("s_acctbal < 0").select(F.col("s_suppkey").alias("item"))
-    return P.with_gap_wave(planned_parts(spark, sf_dir), missing, 20, 60)
+    return P.with_gap_wave(planned_parts(spark, sf_dir), missing, 20, 10_000)
 
 
 PARTS_SEEN = "seen AS (SELECT l_partkey AS item, count(*) AS query_count FROM lineitem GROUP BY 1)"
@@ -274,11 +275,11 @@ def part_rows(spark, sf_dir) -> DataFrame:
 
 
 @query(
-    f"WITH {WAVES}, {PARTS_SEEN} SELECT wave, count(*) AS tables, CAST(coalesce(sum(query_count), 0) AS BIGINT) AS queries, round(avg(p_retailprice), 4) AS avg_priority, round(min(p_retailprice), 2) AS min_priority, round(max(p_retailprice), 2) AS max_priority, count(*) FILTER (WHERE p_size > 45) AS hot, count(*) FILTER (WHERE p_size < 20) AS mapped, count(*) FILTER (WHERE query_count IS NULL) AS broken FROM pl JOIN part ON p_partkey = pl.item LEFT JOIN seen ON seen.item = pl.item GROUP BY wave"
+    f"WITH {WAVES}, {PARTS_SEEN} SELECT wave, count(*) AS tables, CAST(coalesce(sum(query_count), 0) AS BIGINT) AS queries, round(avg(p_retailprice), 6) AS avg_priority, round(min(p_retailprice), 2) AS min_priority, round(max(p_retailprice), 2) AS max_priority, count(*) FILTER (WHERE p_size > 45) AS hot, count(*) FILTER (WHERE p_size < 20) AS mapped, count(*) FILTER (WHERE query_count IS NULL) AS broken FROM pl JOIN part ON p_partkey = pl.item LEFT JOIN seen ON seen.item = pl.item GROUP BY wave"
 )
 def wave_metrics(spark, sf_dir):
     rows = part_rows(spark, sf_dir)
-    return P.wave_metrics(planned_parts(spark, sf_dir), rows, rows.where("size > 45"), rows.where("size < 20"), rows.where("query_count is null"), digits=4)
+    return P.wave_metrics(planned_parts(spark, sf_dir), rows, rows.where("size > 45"), rows.where("size < 20"), rows.where("query_count is null"), digits=6)
 
 
 @query(f"WITH {WAVES} SELECT wave, count(*) FILTER (WHERE p_size > 30) AS green, count(*) FILTER (WHERE p_size BETWEEN 16 AND 30) AS yellow, count(*) FILTER (WHERE p_size BETWEEN 6 AND 15) AS red, count(*) FILTER (WHERE p_size < 6) AS unknown FROM pl JOIN part ON p_partkey = item GROUP BY wave")

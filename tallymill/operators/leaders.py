@@ -55,7 +55,7 @@ def _tiles(left: DataFrame, right: DataFrame, n_left: int, n_right: int, thresho
     block = lambda m: F.pmod(F.xxhash64("n"), F.lit(m)).cast("int")
     copies = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
     one = left.select("n", "dim", "vec", block(p).alias("p")).withColumn("q", copies(q))
-    two = right.select("n", "dim", "vec", block(q).alias("q")).withColumn("p", copies(p))
+    two = right.toDF(*right.columns).select("n", "dim", "vec", block(q).alias("q")).withColumn("p", copies(p))
 
     def run(s: pa.Table, t: pa.Table) -> pa.Table:
         a = b = np.zeros(0, np.int64)

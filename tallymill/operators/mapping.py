@@ -147,6 +147,14 @@ def merged(mapping: DataFrame) -> DataFrame:
     return m.agg(*(F.sum(c).alias(c) for c in USES), F.max("confidence").alias("confidence"), F.bool_or("needs_review").alias("needs_review"), *lists)
 
 
+def first_mappings(rows: DataFrame, order: list[Column | str]) -> DataFrame:
+    """rows without those that follow another of the same table_key and target in an order; null targets are one target. The first is a partial minimum, so a hot target is no window."""
+    rest = [c for c in rows.columns if c not in ("table_key", "target")]
+    ranks = [F.struct(F.col(c).isNotNull().alias("some"), F.col(c)) if isinstance(c, str) else c for c in order]
+    best = rows.groupBy("table_key", "target").agg(F.min_by(F.struct(*rest), F.struct(*ranks)).alias("_b"))
+    return best.select(*(F.col(f"_b.{c}") if c in rest else F.col(c) for c in rows.columns))
+
+
 def signature(table: Column, name: Column, target: Column) -> Column:
     """SHA-256 of table|name|target, nulls as empty."""
     return F.sha2(F.concat_ws("|", *(F.coalesce(c, F.lit("")) for c in (table, name, target))), 256)

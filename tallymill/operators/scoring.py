@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import split_name
 from ..plans.scratch import free_name, materialize
 
 
@@ -27,6 +28,26 @@ def inventory(counts: DataFrame, columns: DataFrame, merged: DataFrame) -> DataF
     return rows.select("item", "query_count", "column_count", F.round(100.0 * F.col("query_count") / F.col("top"), 2).alias("priority"), status.alias("status"))
 
 
+def scoped_inventory(counts: DataFrame, columns: DataFrame, in_scope: DataFrame, default_database: str = "") -> DataFrame:
+    """(database, schema, table, item, query_count, column_count, priority, status) of dotted items when several tables are merged.
+
+    counts (item, query_count), columns (item, column_count), in_scope (item, merged): items of the scope are Merged, or
+    Needs Review where merged isn't true; others are Discovered, or Ephemeral if their schema holds TEMP or JUNK, or
+    their name TEMP. Names without a dot are no tables. priority is a share of the busiest item's count, in percent.
+    """
+    top = counts.agg(F.max("query_count").alias("top"))
+    rows = counts.where(F.contains("item", F.lit("."))).join(columns, "item", "left").join(in_scope.groupBy("item").agg(F.bool_or("merged").alias("merged"), F.lit(True).alias("scoped")), "item", "left")
+    name = split_name(F.col("item"))
+    rows = rows.crossJoin(F.broadcast(top)).withColumn("_n", name)
+    schema = F.coalesce("_n.schema", F.lit(""))
+    passing = F.upper(schema).contains("JUNK") | F.upper("item").contains("TEMP")
+    status = F.when(F.col("scoped"), F.when(F.col("merged"), "Merged").otherwise("Needs Review")).when(passing, "Ephemeral").otherwise("Discovered")
+    return rows.select(
+        F.coalesce("_n.db", F.lit(default_database)).alias("database"), schema.alias("schema"), F.col("_n.table").alias("table"), "item", "query_count",
+        F.coalesce("column_count", F.lit(0)).alias("column_count"), F.when(F.col("top") > 0, F.round(100.0 * F.col("query_count") / F.col("top"), 2)).otherwise(0.0).alias("priority"), status.alias("status"),
+    )
+
+
 def activity_rank(counts: DataFrame, most: int) -> DataFrame:
     """The busiest items, ties by name, with their rank."""
     top = counts.orderBy(F.col("query_count").desc(), "item").limit(most)

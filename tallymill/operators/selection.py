@@ -30,11 +30,45 @@ def scored_rows(rows: DataFrame, queues: list[str] | None = None, domain: str |
     return rows.where(keep).orderBy(F.col(sort).desc() if descending else F.col(sort), "item")
 
 
-def bulk_split(selected: DataFrame, queues: DataFrame) -> DataFrame:
-    """(item, proceed, reason): green items proceed, others are skipped with their queue named, unknown ones as unknown."""
+def scored_query(
+    rows: DataFrame, flags: DataFrame, queue: str | None = None, domain: str | None = None, schema: str | None = None, status: str | None = None, anomaly_level: str | None = None, has_blob: bool = False,
+    confidence: tuple[float, float] = (0, 100), criticality: tuple[float, float] = (0, 100), sort: str = "confidence", descending: bool = True, most: int | None = None,
+) -> DataFrame:
+    """Scored rows (item, domain, queue, status, confidence, criticality) with their flags (ARRAY of level:name, sorted) under the given filters; ties in the order go by item.
+
+    flags is (item, level, name). The schema is what stands before the first dot of a dotted item; it, queue, domain and
+    level match whatever their case, the status as it stands. has_blob keeps items with a flag unsupported_blob_type.
+    Only flags of rows that pass the other filters are gathered, a set for each item.
+    """
+    same = lambda c, v: F.lower(c) == v.lower()
+    item = F.col("item").cast("string")
+    keep = F.col("confidence").between(*confidence) & F.col("criticality").between(*criticality)
+    for column, wanted in (("queue", queue), ("domain", domain)):
+        keep = keep & same(F.col(column), wanted) if wanted else keep
+    keep = keep & same(F.when(item.contains("."), F.substring_index(item, ".", 1)).otherwise(""), schema) if schema else keep
+    keep = keep & (F.col("status") == status) if status else keep
+    found = rows.where(keep)
+    if anomaly_level:
+        found = found.join(flags.where(same(F.col("level"), anomaly_level)).select("item"), "item", "left_semi")
+    if has_blob:
+        found = found.join(flags.where("name = 'unsupported_blob_type'").select("item"), "item", "left_semi")
+    said = flags.join(found.select("item"), "item", "left_semi").groupBy("item").agg(F.sort_array(F.collect_set(F.concat_ws(":", "level", "name"))).alias("flags"))
+    out = found.join(said, "item", "left").withColumn("flags", F.coalesce("flags", F.array().cast("array<string>")))
+    out = out.orderBy(F.col(sort).desc() if descending else F.col(sort), "item")
+    return out if most is None else out.limit(most)
+
+
+def bulk_split(selected: DataFrame, queues: DataFrame, asked: str = "green", dry_run: bool = False) -> DataFrame:
+    """(item, proceed, reason): green items proceed, others are skipped with their queue named, unknown ones as unknown.
+
+    A bulk of the red queue is refused: one row * that doesn't proceed. A dry run decides nothing and has no rows.
+    """
+    if asked.lower() == "red":
+        return selected.sparkSession.createDataFrame([("*", False, "a bulk of the red queue is refused")], "item string, proceed boolean, reason string")
     rows = selected.select("item").distinct().join(queues.select("item", "queue"), "item", "left")
     queue = F.coalesce("queue", F.lit("unknown"))
-    return rows.select("item", (queue == "green").alias("proceed"), F.when(queue != "green", F.concat(F.lit("queue is "), queue)).alias("reason"))
+    out = rows.select("item", (queue == "green").alias("proceed"), F.when(queue != "green", F.concat(F.lit("queue is "), queue)).alias("reason"))
+    return out.limit(0) if dry_run else out
 
 
 def high_risk(hot: DataFrame, inventory: DataFrame, importance: DataFrame, priority: float = 70, score: float = 0.35) -> DataFrame:
@@ -79,13 +113,14 @@ def confidence_scores(columns: DataFrame) -> DataFrame:
     return columns.groupBy("item").agg(F.least(points(70.0, "matched") + points(30.0, "typed"), F.lit(100.0)).cast("int").alias("confidence"))
 
 
-def tickets(planned: DataFrame, texts: DataFrame, longest: int = 1500) -> DataFrame:
-    """(kind, summary, parent, description): an epic for each wave, a story for each of its items, descriptions cut to `longest`."""
+def tickets(planned: DataFrame, texts: DataFrame, longest: int | None = 1500) -> DataFrame:
+    """(kind, summary, parent, description): an epic for each wave, a story for each of its items, descriptions cut to `longest`, or whole if it is None."""
     epic = F.concat(F.lit("Wave "), F.col("wave").cast("string"))
     waves = planned.groupBy("wave").agg(F.count("*").alias("n")).select(F.lit("Epic").alias("kind"), epic.alias("summary"), F.lit("").alias("parent"), F.concat(F.col("n").cast("string"), F.lit(" table(s)")).alias("description"))
     items = planned.select("item", "wave").join(texts.select("item", "text"), "item", "left")
     flat = F.regexp_replace(F.coalesce("text", F.lit("")), r"\s*[\r\n]+\s*", " / ")
-    return waves.unionByName(items.select(F.lit("Story").alias("kind"), F.concat(F.lit("Migrate "), F.col("item").cast("string")).alias("summary"), epic.alias("parent"), F.substring(flat, 1, longest).alias("description")))
+    cut = F.substring(flat, 1, longest) if longest else flat
+    return waves.unionByName(items.select(F.lit("Story").alias("kind"), F.concat(F.lit("Migrate "), F.col("item").cast("string")).alias("summary"), epic.alias("parent"), cut.alias("description")))
 
 
 def history(rows: DataFrame, start: str, end: str, most: int) -> DataFrame:

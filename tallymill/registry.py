@@ -229,8 +229,12 @@ w AS (SELECT c.p_brand, chunk, row_number() OVER (ORDER BY p_retailprice DESC, p
 SELECT p_partkey, n.p_brand, CAST(wave AS INTEGER) AS wave FROM n JOIN w ON w.p_brand = n.p_brand AND w.chunk = (n.n - 1) // 20 WHERE wave <= 50"""
 )
 def planning_waves(spark, sf_dir):
+    return part_waves(spark, sf_dir, 50)
+
+
+def part_waves(spark, sf_dir, most: int | None) -> DataFrame:
     parts = read(spark, sf_dir, "part").withColumn("down", -F.col("p_retailprice"))
-    return S.waves(parts, "p_brand", ["down", "p_partkey"], per_wave=20, most=50).select("p_partkey", "p_brand", "wave")
+    return S.waves(parts, "p_brand", ["down", "p_partkey"], per_wave=20, most=most).select("p_partkey", "p_brand", "wave")
 
 
 @query("SELECT d.doc_id, CASE WHEN l.quality = 1 THEN least(greatest(d.n_chars / 10000.0, 0.85), 0.98) ELSE d.n_chars / 10000.0 END AS confidence, CASE WHEN l.quality = 1 THEN 'merged' WHEN l.quality = 0 THEN 'trash' ELSE 'review' END AS bucket FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id")

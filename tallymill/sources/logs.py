@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,10 +11,25 @@ MAX_LINE = 2 * 1024 * 1024
 LOG_SCHEMA = "sql string, query string, statement string, env string, dialect string, batch_id bigint, chunk_id bigint"
 
 
-def lines(spark: SparkSession, paths: str | list[str], glob: str = "*.jsonl") -> DataFrame:
-    """Non-blank lines (value) of at most MAX_LINE characters, NUL removed, from files under paths."""
+def all_lines(spark: SparkSession, paths: str | list[str], glob: str = "*.jsonl") -> DataFrame:
+    """Non-blank lines (value) of any length, NUL removed, from files under paths."""
     rows = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob).text(paths)
-    return rows.select(F.regexp_replace("value", "\\x00", "").alias("value")).where((F.length("value") <= MAX_LINE) & (F.trim("value") != ""))
+    return rows.select(F.regexp_replace("value", "\\x00", "").alias("value")).where(F.trim("value") != "")
+
+
+def lines(spark: SparkSession, paths: str | list[str], glob: str = "*.jsonl", longest: int | None = MAX_LINE) -> DataFrame:
+    """all_lines() of at most `longest` characters; None takes all. What is longer is for too_long()."""
+    rows = all_lines(spark, paths, glob)
+    return rows if longest is None else rows.where(F.length("value") <= longest)
+
+
+def too_long(rows: DataFrame, stage: str, run_id: str, longest: int = MAX_LINE) -> DataFrame:
+    """Dead letters of the lines of all_lines() that lines() leaves out."""
+    return _letters(rows.where(F.length("value") > longest), "value", f"line over {longest} characters", stage, run_id)
+
+
+def _letters(bad: DataFrame, payload: str, reason: str, stage: str, run_id: str) -> DataFrame:
+    return bad.select(F.col(payload).alias("original_payload"), F.lit(reason).alias("error_reason"), F.lit(stage).alias("error_stage"), F.current_timestamp().alias("timestamp"), F.lit(run_id).alias("run_id"))
 
 
 def parse_log(rows: DataFrame) -> DataFrame:
@@ -30,8 +47,7 @@ def read_log(spark: SparkSession, paths: str | list[str], max_records: int | Non
 
 def dead_letters(rows: DataFrame, stage: str, run_id: str) -> DataFrame:
     """Rejected records of parse_log, with reason, stage, time and run."""
-    bad = rows.where("corrupt is not null")
-    return bad.select(F.col("corrupt").alias("original_payload"), F.lit("invalid JSON").alias("error_reason"), F.lit(stage).alias("error_stage"), F.current_timestamp().alias("timestamp"), F.lit(run_id).alias("run_id"))
+    return _letters(rows.where("corrupt is not null"), "corrupt", "invalid JSON", stage, run_id)
 
 
 def read_messages(spark: SparkSession, paths: str | list[str], glob: str = "*.jsonl") -> DataFrame:
@@ -42,6 +58,12 @@ def read_messages(spark: SparkSession, paths: str | list[str], glob: str = "*.js
     return rows.where("text is not null")
 
 
+def combined(*sources: DataFrame, labels: list[str]) -> DataFrame:
+    """(text, ts, channel, meta, origin): messages of several readers as one table, each with its source's label; a column that a source lacks is null."""
+    rows = [s.withColumn("origin", F.lit(label)) for s, label in zip(sources, labels, strict=True)]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), rows)
+
+
 def read_sql_files(spark: SparkSession, roots: str | list[str], glob: str = "*.{sql,SQL}") -> DataFrame:
     """(path, text) of .sql files under roots, whole."""
     rows = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob).text(roots, wholetext=True)
