@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .mapping_queries import CARDS, IMPORTANCE, part_cards, part_domains, part_importance, part_mapping
+from .mapping_queries import CARDS, IMPORTANCE, part_domains, part_glossary, part_importance, part_mapping
 from .operators import baskets as B
 from .operators import concepts as N
 from .operators import extract as X
@@ -42,7 +42,7 @@ def concept_hits(spark, sf_dir):
         N.blobs(part_importance(spark, sf_dir), "column", "importance_tracked", "table_key", "col"),
         N.blobs(mapping.where("bucket = 'review'"), "column", "review", "table_key", "target", "name"),
     ]
-    cards = part_cards(spark, sf_dir)
+    cards = materialize(M.term_cards(mapping, part_glossary(spark, sf_dir), part_domains(spark, sf_dir)))
     for kind in ("confirmed", "review", "glossary_source"):
         things.append(N.blobs(cards.where(F.col("kind") == kind), "card", kind, "table_key", "target", "legacy", ("term", "domain")))
     every = things[0]
