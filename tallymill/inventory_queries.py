@@ -7,14 +7,17 @@ import uuid
 from pyspark.sql import functions as F
 
 from .functions import text as T
+from .operators import baskets as B
+from .operators import extract as X
 from .mapping_queries import MAPPING, part_mapping
 from .operators import graph as G
 from .operators import mapping as M
+from .operators import reports as R
 from .operators import scoring as S
 from .operators import selection as L
 from .plans.scratch import scratch_dir
 from .register import query, read
-from .sources import logs
+from .sources import catalogs, logs
 
 SCORED = """sc AS (SELECT concat(CASE WHEN c_custkey % 3 = 0 THEN 'CRM.' WHEN c_custkey % 3 = 1 THEN 'hr.' ELSE '' END, 'c', c_custkey) AS item, c_mktsegment AS domain,
   CASE WHEN c_custkey % 5 = 0 THEN 'red' WHEN c_custkey % 5 < 3 THEN 'yellow' ELSE 'green' END AS queue, CASE WHEN c_acctbal < 0 THEN 'Empty' ELSE 'Ready' END AS status, c_custkey % 101 AS confidence, c_nationkey * 4 AS criticality, c_custkey AS k FROM customer),
@@ -126,3 +129,80 @@ def messages_of_readers(spark, sf_dir):
     read(spark, sf_dir, "documents").where("text is not null").select(F.to_json(F.struct(F.col("text").alias("body"))).alias("value")).write.text(f"{folder}/notes")
     both = logs.combined(logs.read_messages(spark, f"{folder}/chat", "*.txt"), logs.read_messages(spark, f"{folder}/notes", "*.txt"), labels=["chat", "notes"])
     return both.groupBy("origin", "channel").agg(F.count("*").alias("n"))
+
+
+@query("""WITH c AS (SELECT p_partkey AS card, CASE p_partkey % 6 WHEN 0 THEN 'glossary_source' ELSE 'confirmed' END AS kind, p_type AS domain, p_brand, p_size AS confidence, p_partkey % 6 AS k FROM part),
+i AS (SELECT DISTINCT p_brand AS "table", CASE WHEN p_brand < 'Brand#2' THEN 'Sales' ELSE 'Ops' END AS domain, CASE WHEN p_brand LIKE '%1' THEN 'North' WHEN p_brand LIKE '%2' THEN 'South' END AS portfolio FROM part)
+SELECT card FROM c LEFT JOIN i ON i."table" = c.p_brand WHERE confidence >= 10 AND (k = 0 OR (k = 1 AND c.domain = 'Sales') OR (k > 1 AND i.domain = 'Sales' AND coalesce(portfolio, 'North') = 'North'))""")
+def cards_by_scope(spark, sf_dir):
+    """Cards by confidence, domain and portfolio of their tables: entries of the glossary's source, cards without tables, and others."""
+    part = read(spark, sf_dir, "part")
+    k, brand = F.col("p_partkey") % 6, F.col("p_brand")
+    tables = F.when(k == 1, F.array().cast("array<string>")).when(k == 2, F.array(F.lit("none"), F.lit(" "), brand)).otherwise(F.array(brand))
+    cards = part.select(F.col("p_partkey").alias("card"), F.when(k == 0, "glossary_source").otherwise("confirmed").alias("kind"), F.col("p_type").alias("domain"), tables.alias("tables"), F.col("p_size").alias("confidence"))
+    portfolio = F.when(brand.endswith("1"), "North").when(brand.endswith("2"), "South")
+    inventory = part.select(brand.alias("table"), F.when(brand < "Brand#2", "Sales").otherwise("Ops").alias("domain"), portfolio.alias("portfolio")).distinct()
+    return R.cards_by_scope(cards, inventory, 10, ["Sales"], "North").select("card")
+
+
+@query("""SELECT 'matrix' AS kind, count(DISTINCT o_orderpriority) AS n FROM orders WHERE o_orderpriority IN ('1-URGENT', '5-LOW')
+UNION ALL SELECT 'hotspots', count(*) FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal > 5000) UNION ALL SELECT 'all', count(*) FROM orders UNION ALL SELECT 'none', 0""")
+def scope_filters(spark, sf_dir):
+    """Matrix rows by domain, and rows by allowed tables: some, all, and none."""
+    orders = read(spark, sf_dir, "orders")
+    matrix = R.in_domains(S.domain_matrix(orders, "o_orderpriority", "o_totalprice", "o_orderstatus"), ["1-URGENT", "5-LOW"])
+    allowed = read(spark, sf_dir, "customer").where("c_acctbal > 5000").select(F.col("c_custkey").alias("table"))
+    found = {"matrix": matrix, "hotspots": R.in_tables(orders, allowed, "o_custkey"), "all": R.in_tables(orders, None, "o_custkey"), "none": R.in_tables(orders, allowed.limit(0), "o_custkey")}
+    counts = [df.agg(F.lit(kind).alias("kind"), F.count("*").alias("n")) for kind, df in found.items()]
+    return counts[0].union(counts[1]).union(counts[2]).union(counts[3])
+
+
+@query("SELECT o_orderpriority AS domain, count(*) AS tables, count(DISTINCT o_orderstatus) AS schemas, round(100.0 * sum(o_totalprice) / (SELECT max(t) FROM (SELECT sum(o_totalprice) AS t FROM orders GROUP BY o_orderpriority) x), 2) AS scaled, round(avg(o_custkey), 2) AS mean_complexity FROM orders GROUP BY o_orderpriority")
+def domain_complexity(spark, sf_dir):
+    return S.domain_matrix(read(spark, sf_dir, "orders"), "o_orderpriority", "o_totalprice", "o_orderstatus", "o_custkey")
+
+
+@query("""WITH p AS (SELECT user_id AS item, event_type AS peer, count(*) AS weight FROM events GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY item ORDER BY weight DESC, peer) AS rn FROM p)
+SELECT item, peer, weight FROM r WHERE rn <= 3""")
+def merged_peers(spark, sf_dir):
+    """The strongest peers of two runs together."""
+    events = read(spark, sf_dir, "events")
+    halves = [events.where(F.col("event_id") % 2 == i).groupBy(F.col("user_id").alias("item"), F.col("event_type").alias("peer")).agg(F.count("*").alias("weight")) for i in (0, 1)]
+    return B.merge_peers(*halves, most=3)
+
+
+@query("WITH r AS (SELECT lower(props) AS key, ts, event_id, row_number() OVER (PARTITION BY lower(props) ORDER BY ts DESC, event_id DESC) AS rn FROM events) SELECT key, event_id FROM r WHERE rn = 1 ORDER BY ts DESC, event_id DESC, key LIMIT 60")
+def newest_per_key(spark, sf_dir):
+    """The newest event of each text, the newest sixty of all."""
+    rows = read(spark, sf_dir, "events").select("ts", "event_id", "props")
+    return B.first_per_key(rows, F.lower("props"), ["ts", "event_id"], 60).select("key", "event_id")
+
+
+@query("""WITH o AS (SELECT o_orderkey % 4 AS k, lower(o_orderstatus) AS s FROM orders)
+SELECT 'סכום' AS token, concat('amount_', s) AS follower, count(*) AS n FROM o WHERE k IN (0, 3) GROUP BY ALL UNION ALL SELECT 'שם_לקוח', 'name', count(*) FROM o WHERE k = 3""")
+def mined_pairs(spark, sf_dir):
+    """Hebrew columns directly followed by columns of the catalog in statements of four kinds."""
+    o = read(spark, sf_dir, "orders")
+    amount = F.concat(F.lit("amount_"), F.lower("o_orderstatus"))
+    text = F.element_at(F.array(
+        F.concat(F.lit("SELECT [סכום], "), amount, F.lit(" FROM s.t WHERE k = "), "o_custkey"), F.concat(F.lit("SELECT [סכום], order_id, "), amount, F.lit(" FROM s.t")),
+        F.concat(F.lit("SELECT "), amount, F.lit(", [סכום], other FROM s.t")), F.concat(F.lit("SELECT [שם לקוח], Name, [סכום], "), amount, F.lit(" FROM s.t")),
+    ), (F.col("o_orderkey") % 4 + 1).cast("int"))
+    catalog = o.select(amount.alias("col")).union(o.select(F.lit("NAME"))).union(o.select(F.lit("order_id"))).distinct()
+    return X.mined_pairs(o.select(F.col("o_orderkey").alias("stmt"), text.alias("sql")), catalog)
+
+
+@query("SELECT count(*) FILTER (WHERE o_orderkey % 3 < 2) AS kept, count(*) FILTER (WHERE o_orderkey % 3 = 2) AS skipped, count(*) FILTER (WHERE o_orderkey % 3 < 2) AS written FROM orders")
+def schema_filter_counts(spark, sf_dir):
+    k = F.col("o_orderkey") % 3
+    text = F.when(k == 0, "SELECT a FROM sales.t").when(k == 1, "SELECT a FROM [CRM].t").otherwise("SELECT a FROM presales.t")
+    kept, seen = catalogs.of_schemas(read(spark, sf_dir, "orders").select(text.alias("sql")), ["sales", "crm"])
+    return kept.agg(*(F.lit(seen[n]).cast("long").alias(n) for n in ("kept", "skipped")), F.count("*").alias("written"))
+
+
+@query("SELECT o_orderkey, upper(o_orderstatus) AS found, o_totalprice / 1000 AS score FROM orders WHERE o_orderstatus = 'F'")
+def hooked_source(spark, sf_dir):
+    """A run whose source is a user's own function."""
+    source = lambda s: read(s, sf_dir, "orders").where("o_orderstatus = 'F'")
+    own = lambda df: df.select("o_orderkey", F.upper("o_orderstatus").alias("found"), "o_totalprice")
+    return R.run_with_hooks(spark, source, own, lambda df: df["o_totalprice"] / 1000).drop("o_totalprice")

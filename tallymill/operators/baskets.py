@@ -70,6 +70,30 @@ def merge_counts(*parts: DataFrame, keys: list[str]) -> DataFrame:
     return rows.groupBy(*keys).agg(*(F.sum(c).alias(c) for c in rows.columns if c not in keys))
 
 
+def merge_peers(*parts: DataFrame, most: int | None = MAX_PEERS) -> DataFrame:
+    """(item, peer, weight) of several partial results: weights of equal pairs summed, the strongest `most` peers of each item kept, ties by name; None keeps all."""
+    rows = parts[0]
+    for p in parts[1:]:
+        rows = rows.unionByName(p)
+    sums = rows.where("item is not null and peer is not null").groupBy("item", "peer").agg(F.sum("weight").alias("weight"))
+    if most is None:
+        return sums
+    rank = F.row_number().over(Window.partitionBy("item").orderBy(F.col("weight").desc(), "peer"))
+    return sums.withColumn("_at", rank).where(F.col("_at") <= most).drop("_at")
+
+
+def first_per_key(rows: DataFrame, key: Column, order: list[str], most: int | None = None, newest: bool = True) -> DataFrame:
+    """rows with their key column: of each key the newest row by order (the oldest if newest is false), the newest `most` in all if stated.
+
+    The first is a partial maximum of structs, not a window; rows equal in the order go by their other columns. Null keys are one key.
+    """
+    rest = [c for c in rows.columns if c not in order]
+    part = F.struct(*(F.struct(F.col(c).isNotNull().alias("some"), F.col(c).alias("v")).alias(c) for c in [*order, *rest]))
+    best = rows.groupBy(key.alias("key")).agg((F.max if newest else F.min)(part).alias("_b"))
+    out = best.select("key", *(F.col(f"_b.{c}.v").alias(c) for c in rows.columns))
+    return out if most is None else out.orderBy(*((F.col(c).desc() if newest else F.col(c)) for c in order), "key").limit(most)
+
+
 def telemetry(rows: DataFrame, text: Column, env: Column, wanted: str) -> DataFrame:
     """One row of ingestion counters: total, empty, of another environment, parsed."""
     empty = (F.trim(F.coalesce(text, F.lit(""))) == "") | F.startswith(F.ltrim(text), F.lit("--"))

@@ -16,9 +16,11 @@ from functools import reduce
 from operator import or_
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
+from ..functions.names import is_rtl
+from ..functions.text import normalize_name
 from ..plans.scratch import materialize, small_side
 
 #: What a text is cut into: texts and comments (dropped), names, numbers, other signs. Brackets behind a name are no quotes.
@@ -390,6 +392,19 @@ def column_refs(log: DataFrame, sql: str = "sql") -> DataFrame:
     return _rows(log, sql, lambda text: references(text)[1], "stmt string, pos int, role string, table_key string, name string")
 
 
+def mined_pairs(log: DataFrame, catalog: DataFrame, sql: str = "sql") -> DataFrame:
+    """(token, follower, n): right-to-left columns that are directly followed, in a statement's order, by a column of the catalog (col) in another script that doesn't end in _id.
+
+    The order is that of references, in a window for each statement; names are compared normalised.
+    """
+    name = normalize_name(F.col("name"))
+    rows = column_refs(log, sql).select("stmt", "pos", name.alias("token"))
+    follower = F.lead("token").over(Window.partitionBy("stmt").orderBy("pos"))
+    pairs = rows.withColumn("follower", follower).where(is_rtl(F.col("token")) & ~is_rtl(F.col("follower")) & ~F.col("follower").endswith("_id"))
+    known = catalog.select(normalize_name(F.col("col")).alias("follower")).distinct()
+    return pairs.join(known, "follower", "left_semi").groupBy("token", "follower").agg(F.count("*").alias("n"))
+
+
 def output_columns(log: DataFrame, sql: str = "sql") -> DataFrame:
     """(stmt, pos, name): a row for each named column that a statement gives back, in order."""
     return _rows(log, sql, outputs, "stmt string, pos int, name string")

@@ -26,6 +26,36 @@ def cards_in_scope(cards: DataFrame, allowed: DataFrame) -> DataFrame:
     return cards.join(hits.select("card").distinct(), "card", "left_semi")
 
 
+def in_domains(rows: DataFrame, domains: list[str] | None, column: str = "domain") -> DataFrame:
+    """Matrix rows of the domains; none stated keeps all."""
+    return rows.where(F.coalesce(F.col(column), F.lit("")).isin(domains)) if domains else rows
+
+
+def in_tables(rows: DataFrame, allowed: DataFrame | None, column: str = "table_key") -> DataFrame:
+    """Hotspots or search hits whose table is allowed (table); None keeps all, an empty table none."""
+    if allowed is None:
+        return rows
+    return rows.join(allowed.select(F.col("table").alias("_allowed")).distinct(), F.col(column) == F.col("_allowed"), "left_semi")
+
+
+def cards_by_scope(cards: DataFrame, inventory: DataFrame, least: float, domains: list[str] | None = None, portfolio: str | None = None) -> DataFrame:
+    """Rows of cards (card, kind, domain, tables ARRAY, confidence) of at least that confidence, of which any table is in the domains and the portfolio.
+
+    inventory is (table, domain, portfolio). Cards of the glossary's source pass whatever their tables; a card without
+    tables goes by its own domain; a table of an unknown portfolio passes. card numbers the rows.
+    """
+    rows = cards.where(F.coalesce("confidence", F.lit(0.0)) >= least)
+    named = F.filter(F.coalesce("tables", F.array().cast("array<string>")), lambda t: t.isNotNull() & (F.trim(t) != ""))
+    each = rows.select("card", F.explode(F.transform(named, lambda t: F.trim(t))).alias("table")).join(inventory.select("table", "domain", "portfolio"), "table", "left")
+    fits = F.col("domain").isin(domains) if domains else F.lit(True)
+    if portfolio is not None:
+        fits = fits & (F.coalesce("portfolio", F.lit("")).isin("", portfolio))
+    passed = each.where(fits).select("card").distinct().withColumn("_in", F.lit(True))
+    own = F.col("domain").isin(domains) if domains else F.lit(True)
+    keep = (F.lower("kind") == "glossary_source") | F.col("_in") | ((F.size(named) == 0) & own)
+    return rows.join(passed, "card", "left").where(F.coalesce(keep, F.lit(False))).select(*cards.columns)
+
+
 def review_queue(rows: DataFrame, chosen: DataFrame, key: str, least: float = 0.0, most: float = 1.0, status: str = "pending", batch: int | None = None) -> DataFrame:
     """rows (confidence, ...) with status, the action chosen for their key or pending: those of one status and range of confidence, the surest first in a batch."""
     of = chosen.groupBy(key).agg(F.max("action").alias("status"))
@@ -115,3 +145,8 @@ def with_hooks(rows: DataFrame, extractor: Frame, scorer: Callable[[DataFrame],
     if sink:
         sink(out)
     return out
+
+
+def run_with_hooks(spark: SparkSession, source: Callable[[SparkSession], DataFrame], extractor: Frame, scorer: Callable[[DataFrame], Column], sink: Callable[[DataFrame], None] | None = None) -> DataFrame:
+    """with_hooks() on what the user's own source reads."""
+    return with_hooks(source(spark), extractor, scorer, sink)

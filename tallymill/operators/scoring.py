@@ -87,11 +87,12 @@ def queue_counts(scored: DataFrame, by: str) -> DataFrame:
     return scored.groupBy(by).agg(*(F.count_if(F.col("queue") == q).alias(q) for q in ("red", "yellow", "green")), F.count("*").alias("total"))
 
 
-def domain_matrix(rows: DataFrame, domain: str, priority: str, schema: str) -> DataFrame:
-    """(domain, tables, schemas, scaled): summed priority, the greatest domain's being 100."""
-    sums = rows.groupBy(F.col(domain).alias("domain")).agg(F.count("*").alias("tables"), F.count_distinct(schema).alias("schemas"), F.sum(priority).alias("total"))
+def domain_matrix(rows: DataFrame, domain: str, priority: str, schema: str, complexity: str | None = None) -> DataFrame:
+    """(domain, tables, schemas, scaled): summed priority, the greatest domain's being 100; with mean_complexity if a column of it is named."""
+    more = [F.round(F.avg(complexity), 2).alias("mean_complexity")] if complexity else []
+    sums = rows.groupBy(F.col(domain).alias("domain")).agg(F.count("*").alias("tables"), F.count_distinct(schema).alias("schemas"), F.sum(priority).alias("total"), *more)
     top = sums.agg(F.max("total").alias("top"))
-    return sums.crossJoin(F.broadcast(top)).select("domain", "tables", "schemas", F.round(100.0 * F.col("total") / F.col("top"), 2).alias("scaled"))
+    return sums.crossJoin(F.broadcast(top)).select("domain", "tables", "schemas", F.round(100.0 * F.col("total") / F.col("top"), 2).alias("scaled"), *(["mean_complexity"] if complexity else []))
 
 
 def width_outliers(rows: DataFrame, domain: str, width: str, sigmas: float = 2.0) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import name_key
+from ..sources.catalogs import is_noise
 from .graph import symmetric
 
 
@@ -130,9 +131,9 @@ def history(rows: DataFrame, start: str, end: str, most: int) -> DataFrame:
 
 
 def batches(scripts: DataFrame) -> DataFrame:
-    """(script, pos, sql): scripts (script, text) cut at lines that hold only GO; blank parts and session settings go."""
+    """(script, pos, sql): scripts (script, text) cut at lines that hold only GO; blank parts and noise go, see is_noise()."""
     parts = scripts.select("script", F.posexplode(F.split("text", r"(?im)^[ \t]*GO[ \t]*\r?$")).alias("pos", "sql")).withColumn("sql", F.regexp_replace("sql", r"\A\s+|\s+\z", ""))
-    return parts.where((F.col("sql") != "") & ~F.col("sql").rlike(r"(?i)\A(set|use|dbcc|backup|restore)\b"))
+    return parts.where(~is_noise(F.col("sql")))
 
 
 def lint(log: DataFrame) -> DataFrame:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.scratch import materialize
+
 #: Administrative verbs, procedure prefixes and system catalogs of statements that tell nothing of a workload.
 NOISE = r"(?i)\A\s*(set|use|dbcc|backup|restore)\b|\A\s*(alter|create|drop)\s+database\b|\A\s*(exec(ute)?\s+)?(sp_|xp_)|\bsys\.|\binformation_schema\b|dm_exec|query_store|\bmsdb\.|\bmaster\."
 
@@ -76,6 +78,14 @@ def mentions_schema(sql: Column, schemas: list[str]) -> Column:
     return F.coalesce(sql.rlike(rf"(?i)(?<![a-z0-9_])\[?({'|'.join(rf'\Q{s}\E' for s in schemas)})\]?\."), F.lit(False)) if schemas else F.lit(True)
 
 
+def of_schemas(log: DataFrame, schemas: list[str], sql: str = "sql") -> tuple[DataFrame, dict[str, int]]:
+    """Statements that mention one of the schemas, written, and how many were kept and skipped, observed meanwhile."""
+    seen = Observation()
+    marked = log.withColumn("_kept", mentions_schema(F.col(sql), schemas))
+    watched = marked.observe(seen, F.count_if("_kept").alias("kept"), F.count_if(~F.col("_kept")).alias("skipped"))
+    return materialize(watched.where("_kept").drop("_kept")), dict(seen.get)
+
+
 def qualified(key: Column) -> Column:
     return key.contains(".")
 

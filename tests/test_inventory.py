@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from tallymill.functions import names as N
 from tallymill.functions import text as T
-from tallymill.operators import concepts, extract, graph, mapping, quality, rules, scoring, selection
-from tallymill.sources import bundles, logs
+from tallymill.operators import baskets, concepts, extract, graph, mapping, quality, reports, rules, scoring, selection
+from tallymill.sources import bundles, catalogs, logs
 
 
 def rows(df):
@@ -175,6 +175,36 @@ def test_drift_between_versions(spark):
     assert extract.outputs("SELECT x.a, b AS c, f(d), e g FROM (SELECT h FROM s.t) x UNION SELECT i FROM s.u") == [("a",), ("c",), ("g",), ("i",)]
 
 
+def test_scopes_of_reports(spark):
+    cards = spark.createDataFrame(
+        [(1, "confirmed", "A", ["t", None, " "], 0.9), (2, "confirmed", "A", None, 0.9), (3, "Glossary_Source", "B", ["q"], 0.9), (4, "confirmed", "B", ["u", " t "], 0.9), (5, "confirmed", "A", ["t"], 0.1), (6, None, None, ["t"], None), (7, "review", "A", ["u"], 0.9)],
+        "card int, kind string, domain string, tables array<string>, confidence double",
+    )
+    inventory = spark.createDataFrame([("t", "A", None), ("u", "B", "North"), ("u", "B", "North")], "table string, domain string, portfolio string")
+    ask = lambda *how: sorted(r.card for r in reports.cards_by_scope(cards, inventory, *how).collect())
+    assert ask(0.5, ["A"]) == [1, 2, 3, 4] and ask(0.5) == [1, 2, 3, 4, 7] and ask(0.5, ["B"], "South") == [3] and ask(0.5, ["B"], "North") == [3, 4, 7]
+    assert ask(0.0, ["A"]) == [1, 2, 3, 4, 5, 6]
+    assert reports.cards_by_scope(cards.limit(0), inventory, 0.0).count() == 0
+    assert reports.in_domains(inventory, None).count() == 3 and reports.in_domains(inventory, ["A"]).count() == 1
+    allowed = spark.createDataFrame([("t",), ("t",), (None,)], "table string")
+    assert [reports.in_tables(inventory, a, "table").count() for a in (None, allowed, allowed.limit(0))] == [3, 1, 0]
+
+
+def test_peers_firsts_and_pairs(spark):
+    parts = [spark.createDataFrame(r, "item string, peer string, weight int") for r in ([("a", "x", 2), ("a", "y", 1), (None, "x", 9)], [("a", "y", 1), ("a", "z", 1), ("b", None, 3)])]
+    assert rows(baskets.merge_peers(*parts, most=2)) == [("a", "x", 2), ("a", "y", 2)] and baskets.merge_peers(*parts, most=None).count() == 3 and baskets.merge_peers(parts[0].limit(0)).count() == 0
+    df = spark.createDataFrame([("K", 1, "a"), ("k", 2, None), ("k", 2, "b"), (None, 5, "c"), (None, None, "d")], "name string, at int, v string")
+    assert rows(baskets.first_per_key(df, F.lower("name"), ["at"])) == [("k", "k", 2, "b"), (None, None, 5, "c")]
+    assert [r.v for r in baskets.first_per_key(df, F.lower("name"), ["at"], 1).collect()] == ["c"] and baskets.first_per_key(df, F.lower("name"), ["at"], newest=False).where("key = 'k'").first().v == "a"
+    log = spark.createDataFrame([(1, "SELECT [סכום], Amount, [שם], x_id FROM s.t"), (2, "SELECT [סכום], amount, [שם], other FROM s.t"), (3, None)], "stmt int, sql string")
+    catalog = spark.createDataFrame([("AMOUNT",), ("amount",), ("x_id",), (None,)], "col string")
+    assert rows(extract.mined_pairs(log, catalog)) == [("סכום", "amount", 2)] and extract.mined_pairs(log.limit(0), catalog).count() == 0
+    kept, seen = catalogs.of_schemas(log, ["S"])
+    assert kept.count() == 2 and seen == {"kept": 2, "skipped": 1}
+    scripts = spark.createDataFrame([(1, "USE x\nGO\nSELECT 1\nGO\nEXEC sp_who\n go \nCREATE DATABASE d\nGO\n"), (2, None)], "script int, text string")
+    assert [r.sql for r in selection.batches(scripts).collect()] == ["SELECT 1"]
+
+
 def test_long_lines_are_dead_letters(spark, tmp_path):
     (tmp_path / "a.jsonl").write_text('{"sql": "short"}\n\n' + '{"sql": "' + "x" * 100 + '"}\n')
     every = logs.all_lines(spark, str(tmp_path))
