@@ -206,3 +206,38 @@ def hooked_source(spark, sf_dir):
     source = lambda s: read(s, sf_dir, "orders").where("o_orderstatus = 'F'")
     own = lambda df: df.select("o_orderkey", F.upper("o_orderstatus").alias("found"), "o_totalprice")
     return R.run_with_hooks(spark, source, own, lambda df: df["o_totalprice"] / 1000).drop("o_totalprice")
+
+
+@query(f"WITH {MAPPING} SELECT table_key, target, string_agg(concat(name, '→', target, ': ', strategy, ', ', printf('%.6f', confidence)), '; ' ORDER BY concat(name, '→', target, ': ', strategy, ', ', printf('%.6f', confidence))) AS citations FROM m WHERE bucket = 'merged' GROUP BY 1, 2")
+def mapping_citations(spark, sf_dir):
+    """Which names each merged column stands for, and why."""
+    return M.citations(part_mapping(spark, sf_dir))
+
+
+@query(f"""WITH {SCORED} SELECT item, domain, queue, status, confidence, criticality FROM sc WHERE (contains(lower(item), 'r.c1') OR contains(lower(domain), 'r.c1')) AND queue IN ('green', 'yellow')
+  AND k % 10 <> 4 AND confidence >= 20 AND criticality <= 80 ORDER BY confidence DESC, item LIMIT 40""")
+def table_search(spark, sf_dir):
+    """An interactive search: text in two columns, queues, bounds, rows that are done left out, the surest forty."""
+    rows, _ = scored_tables(spark, sf_dir)
+    done = read(spark, sf_dir, "customer").where("c_custkey % 10 = 4").select(F.concat(F.when(F.col("c_custkey") % 3 == 0, "CRM.").when(F.col("c_custkey") % 3 == 1, "hr.").otherwise(""), F.lit("c"), "c_custkey").alias("item"))
+    return L.table_search(rows, "R.C1", ("item", "domain"), None, ["green", "yellow"], done, 20, 80, "confidence", True, 40)
+
+
+ORDER_NAMES = [("o_orderkey", "מספר_הזמנה"), ("o_custkey", "קוד_לקוח"), ("o_totalprice", "סכום"), ("o_orderstatus", "סטטוס")]
+CUSTOMER_NAMES = [("c_custkey", "קוד_לקוח"), ("c_name", "שם_לקוח"), ("c_mktsegment", "מגזר")]
+
+
+@query("SELECT c_mktsegment AS segment, count(*) AS orders, round(sum(o_totalprice), 2) AS total FROM orders JOIN customer ON c_custkey = o_custkey WHERE o_orderstatus <> 'P' GROUP BY c_mktsegment")
+def renamed_views_joined(spark, sf_dir):
+    """Two views with Hebrew names joined to each other and grouped."""
+    R.renamed(read(spark, sf_dir, "orders"), ORDER_NAMES).createOrReplaceTempView("renamed_orders")
+    R.renamed(read(spark, sf_dir, "customer"), CUSTOMER_NAMES).createOrReplaceTempView("renamed_customers")
+    return spark.sql("SELECT c.`מגזר` AS segment, count(*) AS orders, round(sum(o.`סכום`), 2) AS total FROM renamed_orders o JOIN renamed_customers c ON c.`קוד_לקוח` = o.`קוד_לקוח` WHERE o.`סטטוס` <> 'P' GROUP BY c.`מגזר`")
+
+
+@query("SELECT c_custkey AS customer_id, o.orders, o.top FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS orders, max(o_totalprice) AS top FROM orders GROUP BY o_custkey) o ON o.o_custkey = c_custkey WHERE o.orders IS NULL OR o.orders > 12")
+def renamed_view_outer(spark, sf_dir):
+    """A base table joined to an aggregate of a view with Hebrew names, customers without orders kept."""
+    R.renamed(read(spark, sf_dir, "orders"), ORDER_NAMES).createOrReplaceTempView("renamed_orders")
+    read(spark, sf_dir, "customer").createOrReplaceTempView("base_customer")
+    return spark.sql("SELECT c_custkey AS customer_id, o.orders, o.top FROM base_customer LEFT JOIN (SELECT `קוד_לקוח` AS k, count(*) AS orders, max(`סכום`) AS top FROM renamed_orders GROUP BY `קוד_לקוח`) o ON o.k = c_custkey WHERE o.orders IS NULL OR o.orders > 12")

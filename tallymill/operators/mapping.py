@@ -147,6 +147,16 @@ def merged(mapping: DataFrame) -> DataFrame:
     return m.agg(*(F.sum(c).alias(c) for c in USES), F.max("confidence").alias("confidence"), F.bool_or("needs_review").alias("needs_review"), *lists)
 
 
+def citations(mapping: DataFrame) -> DataFrame:
+    """(table_key, target, citations): for each merged column the names that were merged into it, how and how surely, sorted, as one text.
+
+    A citation is name→target: strategy, confidence. Their number is bounded by a column's distinct spellings.
+    """
+    said = F.concat("name", F.lit("→"), "target", F.lit(": "), "strategy", F.lit(", "), F.format_string("%.6f", "confidence"))
+    m = mapping.where("bucket = 'merged' and target is not null").groupBy("table_key", "target")
+    return m.agg(F.array_join(F.sort_array(F.collect_set(said)), "; ").alias("citations"))
+
+
 def first_mappings(rows: DataFrame, order: list[Column | str]) -> DataFrame:
     """rows without those that follow another of the same table_key and target in an order; null targets are one target. The first is a partial minimum, so a hot target is no window."""
     rest = [c for c in rows.columns if c not in ("table_key", "target")]

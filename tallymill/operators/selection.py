@@ -59,6 +59,28 @@ def scored_query(
     return out if most is None else out.limit(most)
 
 
+def table_search(
+    rows: DataFrame, text: str = "", columns: tuple[str, ...] = ("item",), domain: str | None = None, queues: list[str] | None = None, done: DataFrame | None = None,
+    least_confidence: float | None = None, most_criticality: float | None = None, sort: str = "item", descending: bool = False, most: int | None = None,
+) -> DataFrame:
+    """Rows (item, domain, queue, confidence, criticality, ...) under the filters of an interactive search; a filter that isn't stated lets all pass.
+
+    The text stands in one of the columns, case aside; rows of done (item) are left out; a null confidence or
+    criticality fails a bound. Ties in the order go by item.
+    """
+    keep = F.lit(True)
+    if text:
+        keep = F.exists(F.array(*(F.lower(F.col(c).cast("string")) for c in columns)), lambda v: F.coalesce(F.contains(v, F.lit(text.lower())), F.lit(False)))
+    keep = keep & (F.col("domain") == domain) if domain else keep
+    keep = keep & F.col("queue").isin(queues) if queues else keep
+    keep = keep & (F.col("confidence") >= least_confidence) if least_confidence is not None else keep
+    keep = keep & (F.col("criticality") <= most_criticality) if most_criticality is not None else keep
+    found = rows.where(keep)
+    found = found if done is None else found.join(done.select("item").distinct(), "item", "left_anti").select(*rows.columns)
+    found = found.orderBy(F.col(sort).desc() if descending else F.col(sort), "item")
+    return found if most is None else found.limit(most)
+
+
 def bulk_split(selected: DataFrame, queues: DataFrame, asked: str = "green", dry_run: bool = False) -> DataFrame:
     """(item, proceed, reason): green items proceed, others are skipped with their queue named, unknown ones as unknown.
 

@@ -175,6 +175,16 @@ def test_drift_between_versions(spark):
     assert extract.outputs("SELECT x.a, b AS c, f(d), e g FROM (SELECT h FROM s.t) x UNION SELECT i FROM s.u") == [("a",), ("c",), ("g",), ("i",)]
 
 
+def test_table_search_and_citations(spark):
+    df = spark.createDataFrame([("a.T", "X", "red", 0.5, 3), ("b", None, "green", None, 1), ("c", "at", None, 0.9, None), ("d", "at", "red", 0.5, 9)], "item string, domain string, queue string, confidence double, criticality int")
+    ask = lambda *how, **more: [r.item for r in selection.table_search(df, *how, **more).collect()]
+    assert ask() == ["a.T", "b", "c", "d"] and ask("A", ("item", "domain")) == ["a.T", "c", "d"] and ask("A", ("item",)) == ["a.T"] and ask(queues=["red"], sort="criticality", descending=True) == ["d", "a.T"]
+    assert ask(least_confidence=0.5) == ["a.T", "c", "d"] and ask(most_criticality=3) == ["a.T", "b"] and ask(done=df.where("item = 'b'").union(df.limit(1))) == ["c", "d"] and ask(domain="X", most=1) == ["a.T"]
+    assert selection.table_search(df.limit(0), "a").count() == 0
+    m = spark.createDataFrame([("t", "B", "b", "exact", 0.98, "merged"), ("t", "a", "b", "blended", 0.8, "merged"), ("t", "a", "b", "blended", 0.8, "merged"), ("t", "z", None, "blended", 0.9, "merged"), ("t", "q", "b", "exact", 0.1, "trash")], "table_key string, name string, target string, strategy string, confidence double, bucket string")
+    assert rows(mapping.citations(m)) == [("t", "b", "B→b: exact, 0.980000; a→b: blended, 0.800000")] and mapping.citations(m.limit(0)).count() == 0
+
+
 def test_scopes_of_reports(spark):
     cards = spark.createDataFrame(
         [(1, "confirmed", "A", ["t", None, " "], 0.9), (2, "confirmed", "A", None, 0.9), (3, "Glossary_Source", "B", ["q"], 0.9), (4, "confirmed", "B", ["u", " t "], 0.9), (5, "confirmed", "A", ["t"], 0.1), (6, None, None, ["t"], None), (7, "review", "A", ["u"], 0.9)],
