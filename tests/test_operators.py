@@ -1,5 +1,10 @@
 """Small fixtures for the library's own operators."""
 
+import random
+import re
+from collections import Counter
+from itertools import combinations
+
 import pytest
 
 from tallymill.functions import text as T
@@ -125,3 +130,16 @@ def test_no_module_defines_a_name_twice():
     for path in [*root.glob("*.py"), *(root / "tallymill").rglob("*.py"), *(root / "tests").rglob("*.py")]:
         count = Counter(n.name for n in ast.parse(path.read_text()).body if isinstance(n, ast.FunctionDef | ast.ClassDef))
         assert max(count.values(), default=1) == 1, path
+
+
+def test_pairs_are_dealt_by_the_number_of_baskets(spark, monkeypatch, capsys):
+    rnd = random.Random(4)
+    data = {(rnd.randrange(40), rnd.randrange(9)) for _ in range(200)}
+    b = spark.createDataFrame(list(data), "stmt int, item int")
+    monkeypatch.setattr(baskets, "PART", 10)
+    want = Counter(p for s in range(40) for p in combinations(sorted(i for t, i in data if t == s), 2))
+    got = baskets.pair_weights(b)
+    assert {(r.a, r.b): r.weight for r in got.collect()} == want
+    got.explain()
+    assert f"hashpartitioning(stmt#, {-(-len(data) // 10)}), REPARTITION_BY_NUM" in re.sub(r"#\d+", "#", capsys.readouterr().out)
+    assert baskets.pair_weights(b.limit(0)).count() == 0
