@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 from collections import Counter
 from itertools import combinations
 
@@ -100,3 +101,26 @@ def test_blast_radius_stops_when_nothing_new_is_reached(spark):
     facts = spark.createDataFrame([(i, i % 2, 10.0 if i == 0 else 0.0) for i in range(6)], "node int, domain int, priority double")
     assert [(r.seed, r.reach, r.spread) for r in graph.blast_radius(edges, facts).collect()] == [(0, 4, 2)]
     assert graph.blast_radius(edges, facts, hops=99).first().reach == 6
+
+
+def test_blast_radius_follows_contenders_alone(spark, monkeypatch):
+    rnd = random.Random(8)
+    followed, own = [], graph.positions
+    monkeypatch.setattr(graph, "positions", lambda rows, *a: (followed.append(rows.count()), own(rows, *a))[1])
+    for nodes, links, most in ((150, 1800, 5), (80, 60, 5), (40, 30, 200), (9, 0, 3)):
+        pairs = {tuple(sorted(rnd.sample(range(nodes), 2))) for _ in range(links)}
+        facts = [(n, rnd.choice([None, 1, 2, 3]), float(rnd.randrange(30))) for n in range(nodes) if n % 7]
+        near = {n: {m for p in pairs if n in p for m in p} for n in range(nodes)}
+        domain, want = {n: d for n, d, _ in facts}, []
+        for seed, _, priority in facts:
+            met = {seed}
+            for _ in range(3):
+                met |= set().union(*(near[n] for n in met))
+            met = [n for n in met if n in domain]
+            reach, spread = len(met), len({domain[n] for n in met} - {None})
+            if priority >= 10 and (spread >= 2 or reach >= 4 or (spread >= 1 and reach >= 3) or (reach >= 2 and len(near[seed]) > 0)):
+                want.append((seed, reach, spread, round(min(100.0, 22.0 * spread + 2.5 * reach + 0.15 * priority), 4)))
+        edges = spark.createDataFrame([(a, b, 1) for a, b in pairs], "a int, b int, weight int")
+        got = graph.blast_radius(edges, spark.createDataFrame(facts, "node int, domain int, priority double"), most=most)
+        assert [tuple(r) for r in got.collect()] == sorted(want, key=lambda r: (-r[3], r[0]))[:most]
+    assert followed[0] < 40
