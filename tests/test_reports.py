@@ -124,3 +124,20 @@ def test_blast_radius_follows_contenders_alone(spark, monkeypatch):
         got = graph.blast_radius(edges, spark.createDataFrame(facts, "node int, domain int, priority double"), most=most)
         assert [tuple(r) for r in got.collect()] == sorted(want, key=lambda r: (-r[3], r[0]))[:most]
     assert followed[0] < 40
+
+
+def test_similarity_keeps_the_parts_of_a_graph_together(spark):
+    rnd = random.Random(6)
+    names = [f"n{x:04d}" for x in rnd.sample(range(10_000), 48)]
+    groups = [names[i : i + 12] for i in range(0, 48, 12)]
+    pairs = {tuple(sorted(p)): rnd.choice([1.0, 2.5, 16777217.0]) for g in groups for p in combinations(g, 2)}
+    edges = spark.createDataFrame([(a, b, w) for (a, b), w in pairs.items()], "a string, b string, weight double")
+    place = {r.node: r.p for r in graph._numbered(graph.symmetric(edges)).collect()}
+    assert sorted(place.values()) == list(range(48)) and all(max(place[n] for n in g) - min(place[n] for n in g) == 11 for g in groups)
+    w = {n: {} for n in names}
+    for (a, b), x in pairs.items():
+        w[a][b] = w[b][a] = x
+    size = {n: sum(x * x for x in w[n].values()) ** 0.5 for n in names}
+    want = {(a, b): (10, sum(w[a][k] * w[b][k] for k in w[a].keys() & w[b].keys()) / size[a] / size[b]) for g in groups for a, b in combinations(sorted(g), 2)}
+    got = {(r.a, r.b): (r.shared, r.cosine) for r in graph.similarity(edges, 12, 0).collect()}
+    assert got.keys() == want.keys() and all(got[k][0] == v[0] and abs(got[k][1] - v[1]) < 2e-6 for k, v in want.items())
