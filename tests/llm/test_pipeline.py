@@ -9,7 +9,7 @@ import pytest
 from test_llm import brute_groups, brute_targets, words
 
 import corpus_pipeline
-from tallymill.llm import bpe, nbsvm, queries, recompress
+from tallymill.llm import bpe, nbsvm, queries, recompress, similar, simhash
 
 COLUMNS = "doc_id long, text string, lang string, source string, n_chars long, fp string, `meta.x` int, _score double, `a``b c` int"
 
@@ -149,3 +149,18 @@ def test_empty_tables_go_through(spark, tmp_path):
     spark.createDataFrame([], COLUMNS).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_near_copies_come_through_the_fingerprint_index(spark, monkeypatch):
+    rnd = random.Random(5)
+    base = [" ".join(rnd.choice("abcdefghij") + str(rnd.randrange(300)) for _ in range(400)) for _ in range(4)]
+    texts = base + [t + f" end{i}" for i, t in enumerate(base)] + ["x y", " \n", ""]
+    rows = spark.createDataFrame([(i, t.encode()) for i, t in enumerate(texts)], "node long, raw binary")
+    asked, own = [], simhash.links
+    monkeypatch.setattr(simhash, "links", lambda nodes, *a: (asked.append(nodes.count()), own(nodes, *a))[1])
+    found = {tuple(sorted(r)) for r in similar.indexed(rows).collect()}
+    sets = [set(similar.shingles(t.encode()).tolist()) for t in texts]
+    assert found and found >= {(9, 10)} and all(5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]) for a, b in found)
+    docs = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars int")
+    assert sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()) == [0, 1, 2, 3, 8, 9]
+    assert len(asked) == 2
