@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import unicodedata
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -12,14 +16,28 @@ def is_ascii(c: Column) -> Column:
     return c.rlike(r"\A[\x00-\x7F]*\z")
 
 
-@F.pandas_udf(StringType())
-def _nfc(text: pd.Series) -> pd.Series:
-    return text.str.normalize("NFC") if text.notna().any() else text
+#: Bytes of text that are Python strings at a time.
+PIECE = 1 << 20
+
+
+def _normalized(text: pa.Array, form: str) -> pa.Array:
+    """text in a normal form, piece by piece: a batch of whole texts is never a list of strings at once."""
+    ends, at, out = np.cumsum(pc.fill_null(pc.binary_length(text), 0).to_numpy(zero_copy_only=False)), 0, []
+    while at < len(text):
+        end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PIECE, side="right")))
+        out.append(pa.array((x and unicodedata.normalize(form, x) for x in text.slice(at, end - at).to_pylist()), pa.string()))
+        at = end
+    return pa.concat_arrays(out) if out else pa.array([], pa.string())
+
+
+@F.arrow_udf(StringType())
+def _nfc(text: pa.Array) -> pa.Array:
+    return _normalized(text, "NFC")
 
 
-@F.pandas_udf(StringType())
-def _nfkc(text: pd.Series) -> pd.Series:
-    return text.str.normalize("NFKC") if text.notna().any() else text
+@F.arrow_udf(StringType())
+def _nfkc(text: pa.Array) -> pa.Array:
+    return _normalized(text, "NFKC")
 
 
 def normal_form(c: Column, compatible: bool = False) -> Column:

@@ -143,3 +143,18 @@ def test_pairs_are_dealt_by_the_number_of_baskets(spark, monkeypatch, capsys):
     got.explain()
     assert f"hashpartitioning(stmt#, {-(-len(data) // 10)}), REPARTITION_BY_NUM" in re.sub(r"#\d+", "#", capsys.readouterr().out)
     assert baskets.pair_weights(b.limit(0)).count() == 0
+
+
+def test_normal_forms_come_piece_by_piece(spark, monkeypatch):
+    import unicodedata
+
+    import pyarrow as pa
+
+    texts = ["e\u0301" * 50, None, "", "plain", "\ufb01" * 700, "\u1112\u1161\u11ab"] * 3
+    monkeypatch.setattr(T, "PIECE", 64)
+    got = T._normalized(pa.array(texts), "NFC").to_pylist()
+    assert got == [x and unicodedata.normalize("NFC", x) for x in texts] and T._normalized(pa.array([], pa.string()), "NFC").to_pylist() == []
+    df = spark.createDataFrame([(x,) for x in texts], "t string").coalesce(1)
+    for compatible in (False, True):
+        want = [x and unicodedata.normalize("NFKC" if compatible else "NFC", x) for x in texts]
+        assert sorted(map(str, want)) == sorted(str(r[0]) for r in df.select(T.normal_form(F.col("t"), compatible)).collect())
