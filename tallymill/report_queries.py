@@ -236,7 +236,7 @@ def stream_pairs(spark, sf_dir):
     """Pair weights kept up to date over a stream of statements, each with its tables."""
     path = _folder(spark, "statements")
     order_suppliers(spark, sf_dir).groupBy("stmt").agg(F.collect_set("item").alias("items")).write.parquet(path)
-    return C.drain(C.pairs(C.read_files(spark, path)), ["a", "b"]).select("a", "b", F.least("weight", F.lit(10000)).alias("weight"))
+    return C.drain_sums(C.read_files(spark, path), C.pairs, ["a", "b"]).select("a", "b", F.least("weight", F.lit(10000)).alias("weight"))
 
 
 @query("SELECT count(*) AS rows, true AS timed FROM events")

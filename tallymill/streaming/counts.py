@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -65,3 +66,21 @@ def drain(result: DataFrame, keys: list[str], reports: list | None = None) -> Da
     rest = [c for c in result.columns if c not in keys]
     rows = spark.read.parquet(f"{folder}/state")
     return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "_batch").alias("s")).select(*keys, "s.*")
+
+
+def drain_sums(stream: DataFrame, partial: Callable[[DataFrame], DataFrame], keys: list[str]) -> DataFrame:
+    """Run partial, which gives sums by keys, on each micro-batch of all input there is now, and return the sums over the batches.
+
+    Sums need no state between batches: each batch's are written by its number to the shared folder, so a repeated batch changes nothing.
+    """
+    spark = stream.sparkSession
+    folder = f"{scratch_dir(spark)}/stream-{uuid.uuid4().hex}"
+    schema = partial(spark.createDataFrame([], stream.schema)).schema
+    spark.createDataFrame([], schema).write.parquet(f"{folder}/parts/_b=-1")
+
+    def save(batch: DataFrame, number: int) -> None:
+        partial(batch).write.mode("overwrite").parquet(f"{folder}/parts/_b={number}")
+
+    stream.writeStream.option("checkpointLocation", f"{folder}/offsets").foreachBatch(save).trigger(availableNow=True).start().awaitTermination()
+    rows = spark.read.schema(schema).parquet(f"{folder}/parts/*")
+    return rows.groupBy(*keys).agg(*(F.sum(c).alias(c) for c in schema.names if c not in keys))

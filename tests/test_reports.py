@@ -96,6 +96,17 @@ def test_streamed_pairs_are_those_of_the_batch(spark, tmp_path):
     assert counts.progress(spark, reports_of).agg(F.sum("rows")).first()[0] == len(lists)
 
 
+def test_streamed_sums_keep_no_state(spark, tmp_path):
+    lists = [["a", "b", "b"], ["b", "a", "c"], [None, "c"], [], ["c", "a"]]
+    df = spark.createDataFrame([(x,) for x in lists], "items array<string>").repartition(3)
+    df.write.parquet(str(tmp_path / "in"))
+    df.limit(0).write.parquet(str(tmp_path / "none"))
+    want = Counter(p for x in lists for p in combinations(sorted({i for i in x if i}), 2))
+    got = counts.drain_sums(counts.read_files(spark, str(tmp_path / "in"), files_per_trigger=1), counts.pairs, ["a", "b"])
+    assert {(r.a, r.b): r.weight for r in got.collect()} == want
+    assert counts.drain_sums(counts.read_files(spark, str(tmp_path / "none")), counts.pairs, ["a", "b"]).count() == 0
+
+
 def test_blast_radius_stops_when_nothing_new_is_reached(spark):
     edges = spark.createDataFrame([(i, i + 1, 1) for i in range(5)], "a int, b int, weight int")
     facts = spark.createDataFrame([(i, i % 2, 10.0 if i == 0 else 0.0) for i in range(6)], "node int, domain int, priority double")
