@@ -22,6 +22,8 @@ from ..plans.scratch import drop_scratch, materialize
 from .scoring import positions
 
 THRESHOLD, FIRST, BLOCK, CHUNK = 0.88, 2048, 2048, 256
+#: Blocks of a side where leaders meet rows, as long as a block's vectors stay below SIDE_BYTES.
+SIDES, SIDE_BYTES = 16, 16 << 20
 
 
 def units(rows: DataFrame, order: str, vec: str) -> DataFrame:
@@ -49,19 +51,36 @@ def _near(x: np.ndarray, y: np.ndarray, threshold: float) -> tuple[np.ndarray, n
     return i[sure], j[sure]
 
 
-def _tiles(left: DataFrame, right: DataFrame, n_left: int, n_right: int, threshold: float, first_only: bool) -> DataFrame:
-    """(a, b): numbers of rows of left and right (n, dim, vec), a < b, at the threshold; first_only: the least a of each b in a tile."""
-    p, q = max(1, -(-n_left // BLOCK)), max(1, -(-n_right // BLOCK))
+def _blocks(n: int, dim: int) -> int:
+    """Blocks of n rows where few pairs reach the threshold: SIDES, unless that makes them smaller than BLOCK rows or larger than SIDE_BYTES."""
+    rows = min(max(BLOCK, -(-n // SIDES)), max(BLOCK, SIDE_BYTES // (8 * max(1, dim))))
+    return max(1, -(-n // rows))
+
+
+def _tiles(left: DataFrame, right: DataFrame, n_left: int, n_right: int, threshold: float, first_only: bool, dim: int = 1) -> DataFrame:
+    """(a, b): numbers of rows of left and right (n, dim, vec), a < b, at the threshold.
+
+    first_only: the least a of each b in a tile, for leaders, which are far from each other; blocks may be large, so that
+    rows are copied seldom. Otherwise left and right are the same rows, and every two blocks meet once.
+    """
+    p, q = (_blocks(n_left, dim), _blocks(n_right, dim)) if first_only else (max(1, -(-n_left // BLOCK)), max(1, -(-n_right // BLOCK)))
     block = lambda m: F.pmod(F.xxhash64("n"), F.lit(m)).cast("int")
     copies = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
     one = left.select("n", "dim", "vec", block(p).alias("p")).withColumn("q", copies(q))
     two = right.toDF(*right.columns).select("n", "dim", "vec", block(q).alias("q")).withColumn("p", copies(p))
+    if not first_only:
+        one, two = one.where("p <= q"), two.where("p <= q")
 
     def run(s: pa.Table, t: pa.Table) -> pa.Table:
         a = b = np.zeros(0, np.int64)
         if len(s) and len(t) and s.column("dim")[0].as_py():
             i, j = _near(_matrix(s.column("vec")), _matrix(t.column("vec")), threshold)
             a, b = s.column("n").to_numpy()[i], t.column("n").to_numpy()[j]
+            if not first_only:
+                a, b = np.minimum(a, b), np.maximum(a, b)
+                if s.column("p")[0].as_py() == t.column("q")[0].as_py():
+                    both = np.unique(np.stack((a, b)), axis=1)
+                    a, b = both[0], both[1]
             a, b = a[a < b], b[a < b]
             if first_only and len(b):
                 at = np.lexsort((a, b))
@@ -113,12 +132,13 @@ def leader_clusters(rows: DataFrame, order: str, vec: str, threshold: float = TH
     numbered = materialize(positions(units(rows, order, vec).withColumn("dim", F.size("vec")), ["order"], "n"))
     most, left, size, labels = numbered.count(), numbered.drop("order"), first, []
     total = most
+    dim = numbered.agg(F.max("dim")).first()[0] or 1
     while total:
         prefix = materialize(left.where(F.col("n") <= _cut(left, most, size)))
         count = prefix.count()
         pairs = materialize(_tiles(prefix, prefix, count, count, threshold, False))
         leads = materialize(prefix.join(_led(pairs), "n", "left_anti"))
-        claims = _tiles(leads, left, leads.count(), total, threshold, True).groupBy(F.col("b").alias("n")).agg(F.min("a").alias("lead"))
+        claims = _tiles(leads, left, leads.count(), total, threshold, True, dim).groupBy(F.col("b").alias("n")).agg(F.min("a").alias("lead"))
         decided = materialize(claims.union(leads.select("n", F.col("n").alias("lead"))))
         labels.append(decided)
         rest = materialize(left.join(decided.select("n"), "n", "left_anti"))

@@ -259,3 +259,20 @@ def test_shapes_keep_references_and_are_read_once(spark, monkeypatch):
     assert extract.table_refs(log.where("false")).count() == 0
     long = spark.createDataFrame([(1, "SELECT a FROM s.t WHERE b = '" + "x''" * 200_000 + "'"), (2, "(" * 20_000 + "SELECT a FROM s.t" + ")" * 20_000)], "stmt int, sql string")
     assert {r.table_key for r in extract.table_refs(long).collect()} == {"s.t"}
+
+
+def test_leaders_meet_rows_in_few_blocks():
+    assert leaders._blocks(0, 64) == leaders._blocks(2048, 64) == 1 and leaders._blocks(4096, 64) == 2
+    assert leaders._blocks(200_000, 64) == leaders._blocks(500_000, 64) == 16 and leaders._blocks(500_000, 4096) == 245
+
+
+def test_every_two_blocks_of_a_prefix_meet_once(spark, monkeypatch):
+    import random
+
+    rnd = random.Random(7)
+    monkeypatch.setattr(leaders, "BLOCK", 8)
+    data = [(n, 2, [1.0, 0.0] if rnd.random() < 0.5 else [0.0, 1.0]) for n in range(1, 41)]
+    df = spark.createDataFrame(data, "n bigint, dim int, vec array<double>")
+    got = [(r.a, r.b) for r in leaders._tiles(df, df, 40, 40, 0.88, False).collect()]
+    want = [(a, b) for a, _, v in data for b, _, w in data if a < b and v == w]
+    assert sorted(got) == sorted(want)
