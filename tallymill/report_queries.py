@@ -176,10 +176,10 @@ def sql_files(spark, sf_dir):
     """A file for each supplier, written and read whole."""
     path = _folder(spark, "sql")
     s = read(spark, sf_dir, "supplier")
-    text = F.concat(F.lit("SELECT "), "s_name", F.lit("\nFROM t"))
-    s.select(text.alias("value"), F.concat(F.col("s_suppkey").cast("string"), F.lit(".sql")).alias("name")).write.partitionBy("name").text(path)
-    rows = logs.read_sql_files(spark, path, "*.txt")
-    return rows.select(F.regexp_extract("path", r"name=([^/]*)\.sql/", 1).alias("name"), F.regexp_replace("text", r"\n\z", "").alias("text"))
+    text = F.concat(F.lit("SELECT "), F.coalesce("s_name", F.lit("")), F.lit("\nFROM t"))
+    logs.write_sql_files(s.select(F.col("s_suppkey").cast("string").alias("name"), text.alias("text")), path)
+    name = F.regexp_extract("path", r"/name=([^/]*)\.sql$", 1)
+    return logs.read_sql_files(spark, path).select(F.when(name != "", name).alias("name"), F.regexp_replace("text", r"\n\z", "").alias("text"))
 
 
 @query("SELECT o_orderkey AS id, concat(o_orderpriority, ' | \"', o_orderstatus, '\"') AS note FROM orders")

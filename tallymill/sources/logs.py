@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
+from urllib.parse import quote
 
+from pyarrow import fs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 MAX_LINE = 2 * 1024 * 1024
+#: Files that one task writes.
+FILES = 1_000
 LOG_SCHEMA = "sql string, query string, statement string, env string, dialect string, batch_id bigint, chunk_id bigint"
 
 
@@ -70,6 +76,38 @@ def read_sql_files(spark: SparkSession, roots: str | list[str], glob: str = "*.{
     return rows.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text")).distinct()
 
 
+def _store(path: str) -> tuple[fs.FileSystem, str]:
+    if path.startswith("/") or path.startswith("file:"):
+        return fs.LocalFileSystem(), "/" + path.removeprefix("file:").lstrip("/")
+    return fs.FileSystem.from_uri(path)
+
+
+def write_sql_files(rows: DataFrame, path: str) -> None:
+    """A file for each row (name STRING, text STRING): name=<name, percent-encoded>.sql, name.sql for a null, each text with a line end behind it.
+
+    Rows are dealt to tasks by their number, as a table of names is small in bytes and would be one task's. Each task has a
+    folder of its own; rows of equal names go to one task, the second and later to folders beside it. A file is moved into
+    place when it is whole, so tasks may run again. Spark's writer would take a folder and a commit for each name and,
+    on a local disk, run chmod for each file and folder.
+    """
+
+    def write(part):
+        store, root = _store(path)
+        last, again, folder = (), 0, ""
+        for name, text in part:
+            again = again + 1 if (name,) == last else 0
+            last, into = (name,), f"{root}/{TaskContext.get().partitionId():06d}{f'-{again}' if again else ''}"
+            if into != folder:
+                store.create_dir(folder := into, recursive=True)
+            draft = f"{folder}/.{uuid.uuid4().hex}"
+            with store.open_output_stream(draft, compression=None) as out:
+                out.write(f"{text or ''}\n".encode())
+            store.move(draft, f"{folder}/name{'' if name is None else '=' + quote(name, safe='')}.sql")
+
+    n = max(1, -(-rows.count() // FILES))
+    rows.select("name", "text").repartition(n, "name").sortWithinPartitions("name", "text").foreachPartition(write)
+
+
 def write_tickets(rows: DataFrame, path: str) -> None:
     """One CSV row a table, every field quoted, texts on one line."""
     flat = lambda c: F.array_join(F.filter(F.transform(F.split(c, r"\r?\n"), lambda x: F.trim(x)), lambda x: x != ""), " | ")

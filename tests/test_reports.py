@@ -8,6 +8,7 @@ from itertools import combinations
 
 from pyspark.sql import functions as F
 
+from tallymill import report_queries
 from tallymill.functions import text as T
 from tallymill.operators import extract, graph, reports, scoring
 from tallymill.sources import logs
@@ -152,3 +153,20 @@ def test_similarity_keeps_the_parts_of_a_graph_together(spark):
     want = {(a, b): (10, sum(w[a][k] * w[b][k] for k in w[a].keys() & w[b].keys()) / size[a] / size[b]) for g in groups for a, b in combinations(sorted(g), 2)}
     got = {(r.a, r.b): (r.shared, r.cosine) for r in graph.similarity(edges, 12, 0).collect()}
     assert got.keys() == want.keys() and all(got[k][0] == v[0] and abs(got[k][1] - v[1]) < 2e-6 for k, v in want.items())
+
+
+def test_sql_files_are_dealt_to_tasks(spark, tmp_path, monkeypatch):
+    rows = [(i, f"s{i}") for i in range(40)] + [(7, "again"), (7, "once more"), (None, "no key"), (41, None)]
+    spark.createDataFrame(rows, "s_suppkey long, s_name string").coalesce(1).write.parquet(str(tmp_path / "supplier.parquet"))
+    monkeypatch.setattr(logs, "FILES", 5, raising=False)
+    monkeypatch.setattr(report_queries, "_folder", lambda spark, name: f"file://{tmp_path}/{name}")
+    got = sorted((str(r.name), r.text) for r in report_queries.sql_files(spark, str(tmp_path)).collect())
+    assert got == sorted((str(k), f"SELECT {n or ''}\nFROM t") for k, n in rows)
+    assert len({p.parent.name.split("-")[0] for p in (tmp_path / "sql").rglob("*.sql")}) > 4
+    assert not [p for p in (tmp_path / "sql").rglob("*") if p.is_file() and p.suffix != ".sql"]
+
+
+def test_sql_files_of_odd_names(spark, tmp_path):
+    names = ["a/b", "..", ".hidden", "_x", "", "é%2F = 1", None, "plain"]
+    logs.write_sql_files(spark.createDataFrame([(n, f"text of {n}") for n in names] + [("void", None)], "name string, text string"), str(tmp_path / "odd"))
+    assert sorted(r.text for r in logs.read_sql_files(spark, str(tmp_path / "odd")).collect()) == sorted(["\n", *(f"text of {n}\n" for n in names)])
