@@ -158,3 +158,11 @@ def test_normal_forms_come_piece_by_piece(spark, monkeypatch):
     for compatible in (False, True):
         want = [x and unicodedata.normalize("NFKC" if compatible else "NFC", x) for x in texts]
         assert sorted(map(str, want)) == sorted(str(r[0]) for r in df.select(T.normal_form(F.col("t"), compatible)).collect())
+
+
+def test_repeats_count_once_without_a_written_table(spark, monkeypatch):
+    log = spark.createDataFrame([(1, "a"), (1, "a"), (1, "b"), (2, "b"), (2, "a"), (2, "a"), (3, "c"), (None, "a"), (4, None), (5, "b"), (5, "c")], "s int, t string").repartition(3)
+    want = rows(baskets.pair_weights(baskets.baskets(log, "s", "t")))
+    monkeypatch.setattr(baskets, "materialize", None)
+    assert rows(baskets.pair_weights(baskets.touches(log, "s", "t"), repeats=True)) == want == [("a", "b", 2), ("b", "c", 1)]
+    assert baskets.pair_weights(baskets.touches(log.limit(0), "s", "t"), repeats=True).count() == 0

@@ -170,3 +170,34 @@ def test_sql_files_of_odd_names(spark, tmp_path):
     names = ["a/b", "..", ".hidden", "_x", "", "é%2F = 1", None, "plain"]
     logs.write_sql_files(spark.createDataFrame([(n, f"text of {n}") for n in names] + [("void", None)], "name string, text string"), str(tmp_path / "odd"))
     assert sorted(r.text for r in logs.read_sql_files(spark, str(tmp_path / "odd")).collect()) == sorted(["\n", *(f"text of {n}\n" for n in names)])
+
+
+def test_edges_are_packed_before_they_are_copied(spark, monkeypatch):
+    rnd = random.Random(9)
+    pairs = {p: rnd.randrange(1, 4) for p in combinations(range(300), 2)}
+    edges = spark.createDataFrame([(a, b, w) for (a, b), w in pairs.items()], "a long, b long, weight long")
+    packed, own = [], graph.materialize
+    monkeypatch.setattr(graph, "materialize", lambda df, *a: (packed.append(own(df, *a)), packed[-1])[1])
+    got = graph.similarity(edges, 64, 0, summed=True)
+    assert got.count() == 300 * 299 // 2 and got.where("shared = 298").count() == got.count()
+    cells = [df for df in packed if "data" in df.columns]
+    assert len(cells) == 1 and cells[0].agg(F.sum("n")).first()[0] == 2 * len(pairs)
+    assert cells[0].agg(F.sum(F.octet_length("data"))).first()[0] < 2 * len(pairs)  # a byte for an edge's both directions, eight before
+    assert not [df for df in packed if df.columns == ["src", "dst", "weight"]]
+
+
+def test_tiles_sum_all_ranges_and_any_weights(spark, monkeypatch):
+    monkeypatch.setattr(graph, "RANGE", 8)
+    monkeypatch.setattr(graph, "PACKED", 100)
+    rnd = random.Random(10)
+    pairs = {p: rnd.choice([1.0, -2.0, 0.5, 0.1, 2.0**40, 0.0]) for p in combinations(range(50), 2) if rnd.random() < 0.5 or p[0] == 0}
+    edges = spark.createDataFrame([(a, b, w) for (a, b), w in pairs.items()], "a int, b int, weight double").repartition(3)
+    w = {n: {} for n in range(50)}
+    for (a, b), x in pairs.items():
+        w[a][b] = w[b][a] = x
+    size = {n: sum(x * x for x in w[n].values()) ** 0.5 for n in w}
+    want = {(a, b): (len(w[a].keys() & w[b].keys()), sum(w[a][k] * w[b][k] for k in w[a].keys() & w[b].keys()) / size[a] / size[b]) for a, b in combinations(range(50), 2) if w[a].keys() & w[b].keys()}
+    for summed in (False, True):
+        for hub in (0, 26):  # tiles alone, tiles and joins
+            got = {(r.a, r.b): (r.shared, r.cosine) for r in graph.similarity(edges, 12, hub, summed).collect()}
+            assert got.keys() == want.keys() and all(got[k][0] == v[0] and abs(got[k][1] - v[1]) < 2e-6 for k, v in want.items())
