@@ -201,3 +201,15 @@ def test_tiles_sum_all_ranges_and_any_weights(spark, monkeypatch):
         for hub in (0, 26):  # tiles alone, tiles and joins
             got = {(r.a, r.b): (r.shared, r.cosine) for r in graph.similarity(edges, 12, hub, summed).collect()}
             assert got.keys() == want.keys() and all(got[k][0] == v[0] and abs(got[k][1] - v[1]) < 2e-6 for k, v in want.items())
+
+
+def test_similarities_are_counted_without_being_written(spark, tmp_path, monkeypatch):
+    from tallymill import checking_queries
+    from tallymill.operators import quality
+
+    lines = [(1, 1), (1, 2), (1, 2), (2, 1), (2, 3), (3, 2), (3, 3), (4, 9), (None, 5), (6, None)]
+    spark.createDataFrame(lines, "l_orderkey long, l_suppkey long").write.parquet(str(tmp_path / "lineitem.parquet"))
+    written, own = [], quality.materialize
+    monkeypatch.setattr(quality, "materialize", lambda df, *a: (written.append(df.columns), own(df, *a))[1])
+    assert tuple(checking_queries.co_occurrence_figures(spark, str(tmp_path)).first()) == (4, 3, 3, 3)
+    assert written == [["a", "b", "weight"]]
