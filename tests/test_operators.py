@@ -166,3 +166,12 @@ def test_repeats_count_once_without_a_written_table(spark, monkeypatch):
     monkeypatch.setattr(baskets, "materialize", None)
     assert rows(baskets.pair_weights(baskets.touches(log, "s", "t"), repeats=True)) == want == [("a", "b", 2), ("b", "c", 1)]
     assert baskets.pair_weights(baskets.touches(log.limit(0), "s", "t"), repeats=True).count() == 0
+
+
+def test_all_peers_of_an_item_count(spark):
+    pairs = [(0, i, 1 + i % 7) for i in range(1, 121)] + [(3, 5, 6), (3, 9, 6)]
+    edges = spark.createDataFrame(pairs, "a long, b long, weight long")
+    got = {r.item: (r.n_peers, r.peer_weight, r.best_peer) for r in baskets.co_peers(edges).collect()}
+    assert got[0] == (120, sum(1 + i % 7 for i in range(1, 121)), 6)
+    assert got[3] == (3, 16, 5) and got[120] == (1, 2, 0) and len(got) == 121
+    assert baskets.co_peers(edges.limit(0)).count() == 0
