@@ -175,3 +175,11 @@ def test_all_peers_of_an_item_count(spark):
     assert got[0] == (120, sum(1 + i % 7 for i in range(1, 121)), 6)
     assert got[3] == (3, 16, 5) and got[120] == (1, 2, 0) and len(got) == 121
     assert baskets.co_peers(edges.limit(0)).count() == 0
+
+
+def test_all_clusters_are_listed(spark):
+    nodes = spark.range(9001).select(F.col("id").alias("node"))
+    edges = spark.createDataFrame([(0, 1, 5), (1, 2, 3), (7, 8, 3), (8, 9, 2)], "a long, b long, weight long")
+    got = graph.clusters(nodes, edges, least=3).collect()
+    assert len(got) == 8998 and sum(r["size"] for r in got) == 9001
+    assert [tuple(r) for r in got[:4]] == [(0, 3, 8), (7, 2, 3), (3, 1, 0), (4, 1, 0)] and got[-1].cluster == 9000
