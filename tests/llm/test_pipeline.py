@@ -164,3 +164,27 @@ def test_near_copies_come_through_the_fingerprint_index(spark, monkeypatch):
     docs = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars int")
     assert sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()) == [0, 1, 2, 3, 8, 9]
     assert len(asked) == 2
+
+
+@pytest.mark.parametrize("block", [2, similar.BLOCK])
+def test_every_pair_that_the_index_can_see_is_checked(spark, block):
+    rnd = random.Random(6)
+    word = lambda: rnd.choice("abcdefghij") + str(rnd.randrange(3000))
+    texts = []
+    for _ in range(3):  # a long refrain decides the fingerprint, the verses decide the sets: copies of a verse are like each other alone
+        refrain = " ".join([" ".join(word() for _ in range(61))] * 100)
+        verses = [" ".join(word() for _ in range(100)) for _ in range(4)]
+        texts += [f"{refrain} {v}{end}" for end in ("", " end", " other end") for v in verses]
+    texts += [" ".join(word() for _ in range(50)) for _ in range(5)]
+    prints = [simhash.fingerprint(t.encode()) for t in texts]
+    sets = [set(similar.shingles(t.encode()).tolist()) for t in texts]
+    like = lambda a, b: 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])
+    want = [(a, b) for b in range(len(texts)) for a in range(b) if (prints[a] ^ prints[b]).bit_count() <= 3 and like(a, b)]
+    assert len(want) >= 24 and not any(like(a, b) for a in range(4) for b in range(a))
+    found = [tuple(r) for r in similar.indexed(spark.createDataFrame([(i, t.encode()) for i, t in enumerate(texts)], "node long, raw binary"), block).collect()]
+    root = list(range(len(texts)))
+    for a, b in found:
+        assert like(a, b)
+        x, y = root[a], root[b]
+        root = [x if r == y else r for r in root]
+    assert all(root[a] == root[b] for a, b in want)
